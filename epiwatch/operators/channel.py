@@ -52,8 +52,11 @@ def endemic_channel(series: DataFrame, cfg: Config, year: Column) -> DataFrame:
 
 
 def _fmt1(col: Column) -> Column:
-    """One-decimal text of a number ('nan' when missing), as the insight shows it."""
-    return F.coalesce(F.format_string("%.1f", col), F.lit("nan"))
+    """One-decimal text of a number ('nan' when missing), as the insight shows it.
+
+    ``format_number`` rounds half-even on the exact binary value, like Python's
+    ``{:.1f}``; its digit grouping is removed."""
+    return F.coalesce(F.regexp_replace(F.format_number(col, 1), ",", ""), F.lit("nan"))
 
 
 def zone(val: Column, q1: Column, q2: Column, q3: Column) -> Column:
