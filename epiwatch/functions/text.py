@@ -1,9 +1,10 @@
 """String helpers that keep Python's Unicode whitespace semantics on the JVM.
 
-Java's ``trim`` strips only ASCII control/space characters and ``\\s`` is ASCII
-unless ``(?U)`` is set.  Python's ``str.strip``/``\\s`` also cover NBSP, the
-Unicode space separators and the information separators U+001C..U+001F, so the
-character class below adds those explicitly.
+Spark's default ``trim`` strips only the ASCII space and ``\\s`` is ASCII unless
+``(?U)`` is set.  Python's ``str.strip``/``\\s`` also cover tabs, NBSP, the
+Unicode space separators and the information separators U+001C..U+001F.  The
+helpers use ``trim`` with that explicit character set (a plain character scan,
+no regex) and test blankness as "trims to empty".
 """
 
 from __future__ import annotations
@@ -13,22 +14,22 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Python-compatible whitespace class for Java regex (used with the (?U) flag).
-_WS = r"[\s\x{1c}-\x{1f}]"
-_TRIM_PATTERN = rf"(?U)^{_WS}+|{_WS}+$"
-_BLANK_PATTERN = rf"(?U)^{_WS}*$"
+# Every character for which Python's str.isspace() is true.
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+                 + "".join(chr(c) for c in range(0x2000, 0x200B))
+                 + "\u2028\u2029\u202f\u205f\u3000")
+_REGEX_META = set(".^$*+?{}[]\\|()")
 
 
 def utrim(col: Column | str) -> Column:
     """Strip leading/trailing Unicode whitespace (``str.strip()`` semantics)."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.regexp_replace(c, _TRIM_PATTERN, "")
+    return F.trim(c, F.lit(PY_WHITESPACE))
 
 
 def is_blank(col: Column | str) -> Column:
     """True when the text is empty or whitespace only (NULL stays NULL)."""
-    c = F.col(col) if isinstance(col, str) else col
-    return c.rlike(_BLANK_PATTERN)
+    return utrim(col) == F.lit("")
 
 
 def blank_to_null(col: Column | str) -> Column:
@@ -40,7 +41,10 @@ def replace_all(col: Column | str, pairs: Iterable[tuple[str, str]]) -> Column:
     """Apply regex replacements one after another (dictionary order)."""
     c = F.col(col) if isinstance(col, str) else col
     for pattern, replacement in pairs:
-        c = F.regexp_replace(c, pattern, replacement.replace("\\", "\\\\").replace("$", "\\$"))
+        if not (set(pattern) & _REGEX_META):   # literal pattern: plain substring replace
+            c = F.replace(c, F.lit(pattern), F.lit(replacement))
+        else:
+            c = F.regexp_replace(c, pattern, replacement.replace("\\", "\\\\").replace("$", "\\$"))
     return c
 
 

@@ -93,15 +93,18 @@ def forecast(series: DataFrame, keys: Sequence[str], cfg: Config) -> DataFrame:
     return out.withColumn("over_q3", F.coalesce(F.col("projected") > F.col("q3"), F.lit(False)))
 
 
-def evaluation(fc: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """MAE over weeks with an observed rate, MAPE over those with rate > 0
-    (percent); NULL when the target year has no data."""
+def _eval_aggs() -> list[Column]:
     real, proj = F.col("real_rate"), F.col("projected")
     both = real.isNotNull() & proj.isNotNull()
     mae = F.avg(F.when(both, F.abs(proj - real)))
     mape = F.avg(F.when(both & (real > 0), F.abs(real - proj) / real)) * F.lit(100.0)
-    return (fc.groupBy(*keys, TARGET_YEAR)
-            .agg(mae.alias("mae"), mape.alias("mape"), F.count_if(both).alias("eval_weeks")))
+    return [mae.alias("mae"), mape.alias("mape"), F.count_if(both).alias("eval_weeks")]
+
+
+def evaluation(fc: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """MAE over weeks with an observed rate, MAPE over those with rate > 0
+    (percent); NULL when the target year has no data."""
+    return fc.groupBy(*keys, TARGET_YEAR).agg(*_eval_aggs())
 
 
 def quality_band(mape: Column) -> Column:
@@ -116,10 +119,9 @@ def kpis(fc: DataFrame, keys: Sequence[str]) -> DataFrame:
     over Q3, MAE, MAPE, model quality band and the risk flag."""
     keys = list(keys)
     best = F.min(F.struct((-F.col("projected")).alias("n"), F.col(WEEK).alias("w")))
-    agg = (fc.groupBy(*keys, TARGET_YEAR)
+    out = (fc.groupBy(*keys, TARGET_YEAR)
            .agg(best["w"].alias("peak_week"), F.max("projected").alias("peak_rate"),
-                F.count_if(F.col("over_q3")).alias("weeks_over_q3")))
-    out = agg.join(evaluation(fc, keys), keys + [TARGET_YEAR])
+                F.count_if(F.col("over_q3")).alias("weeks_over_q3"), *_eval_aggs()))
     return (out.withColumn("quality", quality_band(F.col("mape")))
             .withColumn("epidemic_risk", F.col("weeks_over_q3") > 0)
             .withColumns({c: stable(c) for c in ("peak_rate", "mae", "mape")}))

@@ -25,8 +25,8 @@ from ..operators import channel, forecast, pscore, rankings, trend
 from ..operators.clean import (blanks_to_null, clean_feed, exclude_causes, filter_service,
                                fix_spelling, standardise_feed)
 from ..operators.joins import orphan_audit
-from ..operators.rates import (TARGET, eval_year, matched_targets, select_scope, weekly_series,
-                               baseline_years)
+from ..operators.rates import (TARGET, baseline_years, eval_year, matched_targets, scoped_series,
+                               select_scope)
 from ..sources import landing
 from .etl import joined, long_visits
 
@@ -57,8 +57,9 @@ def _year(m):
     return eval_year(m, CFG)
 
 
-def _series(m, by_target=False):
-    return weekly_series(m, CFG, by_target)
+def _series(spark, d, by_target=False):
+    totals = landing.weekly_totals(spark, d, CFG, by_target)
+    return scoped_series(totals, [TARGET] if by_target else [])
 
 
 def _first(m, col):
@@ -251,25 +252,25 @@ def share_of_leading_cause(spark, d):
 
 @query
 def weekly_pooled_rate(spark, d):
-    return rankings.rounded(_series(_m(spark, d)), RATE)
+    return rankings.rounded(_series(spark, d), RATE)
 
 
 @query
 def endemic_channel(spark, d):
     m = _m(spark, d)
-    return channel.round_channel(channel.endemic_channel(_series(m), CFG, _year(m)))
+    return channel.round_channel(channel.endemic_channel(_series(spark, d), CFG, _year(m)))
 
 
 @query
 def zone_by_week(spark, d):
     m = _m(spark, d)
-    return channel.zones(channel.endemic_channel(_series(m), CFG, _year(m)))
+    return channel.zones(channel.endemic_channel(_series(spark, d), CFG, _year(m)))
 
 
 @query
 def week_lookup(spark, d):
     m = _m(spark, d)
-    chan = channel.endemic_channel(_series(m), CFG, _year(m))
+    chan = channel.endemic_channel(_series(spark, d), CFG, _year(m))
     z = channel.zones(chan)
     last = chan.select(SCOPE, "last_week").distinct()
     return z.join(last, SCOPE).where(F.col(WEEK) == F.col("last_week")).drop("last_week")
@@ -278,7 +279,7 @@ def week_lookup(spark, d):
 @query
 def interpolated_weeks(spark, d):
     m = _m(spark, d)
-    raw = channel.channel_raw(_series(m), CFG)
+    raw = channel.channel_raw(_series(spark, d), CFG)
     from ..operators.reshape import interpolate_linear
     return raw.select(SCOPE, WEEK, stable("q2").alias("q2_raw"),
                       stable(interpolate_linear("q2", [SCOPE])).alias("q2"))
@@ -286,13 +287,13 @@ def interpolated_weeks(spark, d):
 
 @query
 def baseline_slice(spark, d):
-    return rankings.rounded(baseline_years(_series(_m(spark, d)), CFG), RATE)
+    return rankings.rounded(baseline_years(_series(spark, d), CFG), RATE)
 
 
 @query
 def peak_week(spark, d):
     m = _m(spark, d)
-    cur = _series(m).where(F.col(YEAR) == _year(m))
+    cur = _series(spark, d).where(F.col(YEAR) == _year(m))
     return rankings.rounded(rankings.arg_max(cur, RATE, WEEK, [SCOPE]).withColumnRenamed("max_" + RATE, RATE), RATE)
 
 
@@ -301,19 +302,19 @@ def peak_week(spark, d):
 @query
 def pscore_weekly(spark, d):
     m = _m(spark, d)
-    return pscore.round_pscore(pscore.pscore(select_scope(_series(m), GLOBAL_SCOPE), CFG, _year(m)))
+    return pscore.round_pscore(pscore.pscore(select_scope(_series(spark, d), GLOBAL_SCOPE), CFG, _year(m)))
 
 
 @query
 def pscore_by_area(spark, d):
     m = _m(spark, d)
-    return pscore.round_pscore(pscore.pscore(_series(m), CFG, _year(m)))
+    return pscore.round_pscore(pscore.pscore(_series(spark, d), CFG, _year(m)))
 
 
 @query
 def pscore_summary(spark, d):
     m = _m(spark, d)
-    return pscore.pscore_summary(pscore.pscore(_series(m), CFG, _year(m)))
+    return pscore.pscore_summary(pscore.pscore(_series(spark, d), CFG, _year(m)))
 
 
 # -- smoothed trend --------------------------------------------------------------
@@ -321,68 +322,68 @@ def pscore_summary(spark, d):
 @query
 def moving_average(spark, d):
     m = _m(spark, d)
-    sm = trend.smoothed(_series(m), _year(m), CFG.smoothing_window)
+    sm = trend.smoothed(_series(spark, d), _year(m), CFG.smoothing_window)
     return sm.withColumns({C.RAW_SERIES: stable(C.RAW_SERIES), C.SMOOTH_SERIES: stable(C.SMOOTH_SERIES)})
 
 
 @query
 def moving_average_long(spark, d):
     m = _m(spark, d)
-    return trend.smoothed_long(trend.smoothed(_series(m), _year(m), CFG.smoothing_window))
+    return trend.smoothed_long(trend.smoothed(_series(spark, d), _year(m), CFG.smoothing_window))
 
 
 # -- forecast --------------------------------------------------------------------
 
 @query
 def harmonic_features(spark, d):
-    s = _series(_m(spark, d))
+    s = _series(spark, d)
     feats = forecast.harmonic_features(forecast.training_rows(s, [SCOPE], CFG), [SCOPE], CFG)
     return feats.withColumns({c: stable(c) for c in (RATE, "t", "sin1", "cos1", "sin2", "cos2")})
 
 
 @query
 def training_slice(spark, d):
-    s = _series(_m(spark, d))
+    s = _series(spark, d)
     return rankings.rounded(forecast.training_rows(s, [SCOPE], CFG), RATE)
 
 
 @query
 def wls_forecast(spark, d):
-    s = select_scope(_series(_m(spark, d)), GLOBAL_SCOPE)
+    s = select_scope(_series(spark, d), GLOBAL_SCOPE)
     return forecast.round_forecast(forecast.forecast(s, [SCOPE], CFG))
 
 
 @query
 def forecast_by_area(spark, d):
-    return forecast.round_forecast(forecast.forecast(_series(_m(spark, d)), [SCOPE], CFG))
+    return forecast.round_forecast(forecast.forecast(_series(spark, d), [SCOPE], CFG))
 
 
 @query
 def forecast_exceedance(spark, d):
-    fc = forecast.forecast(_series(_m(spark, d)), [SCOPE], CFG)
+    fc = forecast.forecast(_series(spark, d), [SCOPE], CFG)
     return forecast.round_forecast(fc).select(SCOPE, forecast.TARGET_YEAR, WEEK, "projected", "q3", "over_q3")
 
 
 @query
 def forecast_eval(spark, d):
-    ev = forecast.evaluation(forecast.forecast(_series(_m(spark, d)), [SCOPE], CFG), [SCOPE])
+    ev = forecast.evaluation(forecast.forecast(_series(spark, d), [SCOPE], CFG), [SCOPE])
     return ev.withColumns({"mae": stable("mae"), "mape": stable("mape")})
 
 
 @query
 def forecast_kpis(spark, d):
-    return forecast.kpis(forecast.forecast(_series(_m(spark, d)), [SCOPE], CFG), [SCOPE])
+    return forecast.kpis(forecast.forecast(_series(spark, d), [SCOPE], CFG), [SCOPE])
 
 
 @query
 def forecast_by_cause(spark, d):
-    s = _series(_m(spark, d), by_target=True)
+    s = _series(spark, d, by_target=True)
     return forecast.round_forecast(forecast.forecast(s, [SCOPE, TARGET], CFG))
 
 
 @query
 def forecast_cause_kpis(spark, d):
-    s = _series(_m(spark, d), by_target=True)
+    s = _series(spark, d, by_target=True)
     return forecast.kpis(forecast.forecast(s, [SCOPE, TARGET], CFG), [SCOPE, TARGET])
 
 
@@ -425,7 +426,7 @@ def scalar_text(spark, d):
 
 @query
 def scalar_numeric(spark, d):
-    s = select_scope(_series(_m(spark, d)), GLOBAL_SCOPE)
+    s = select_scope(_series(spark, d), GLOBAL_SCOPE)
     r = F.col(RATE)
     a = F.lit(2 * math.pi) * F.col(WEEK).cast("double") / F.lit(C.WEEKS_PER_YEAR)
     return s.select(

@@ -72,17 +72,17 @@ def write_master(raw: DataFrame, pop: DataFrame, cfg: Config, path: str) -> dict
     df = joined(raw, pop, cfg).withColumn("_orphan", F.col(POPULATION).isNull())
     out = with_rates(df)
     out = out.select(*master_column_order(out.drop("_orphan")), "_orphan")
-    # Range-partition on the year directory plus near-unique keys: every task
-    # writes one or two year directories, sorted by area and week (row-group
-    # statistics then prune scope filters), and a hot year or area is split
-    # across tasks instead of landing in one.  No fixed count: AQE sizes it.
-    order = [c for c in (YEAR, AREA, "week", FACILITY, CAUSE, AGE_GROUP) if c in out.columns]
-    # The audit is observed above the exchange, so the range-bound sampling
-    # pass does not count rows twice.
+    # Rebalance on the year directory: AQE splits a hot year into several
+    # advisory-sized tasks and merges small ones, so a task writes few
+    # directories with few, large files, and no sampling pass re-runs the
+    # pipeline.  Inside a task rows are sorted by area and week, so row-group
+    # statistics prune scope and week filters on later scans.
     obs = Observation("etl_audit")
-    out = (out.repartitionByRange(*order)
+    order = [c for c in (YEAR, AREA, "week") if c in out.columns]
+    out = (out.hint("rebalance", YEAR)
            .observe(obs, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_orphan")).alias("orphan_rows"))
-           .drop("_orphan"))
+           .drop("_orphan")
+           .sortWithinPartitions(*order))
     out.write.mode("overwrite").partitionBy(YEAR).parquet(path)
     return dict(obs.get)
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import Config, driver_defaults
+from ..operators.rates import area_week_totals
 from ..plans.etl import dashboard_view, write_master
 from . import driver_tables
 from .store import fingerprint, materialise, materialise_df
@@ -32,16 +33,31 @@ def population(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise_df(spark, "population", key, lambda: driver_tables.population(spark, sf_dir))
 
 
+def _master_key(spark: SparkSession, sf_dir: str, cfg: Config) -> str:
+    return fingerprint(spark, _paths(sf_dir, sorted(set(RAW_SOURCES) | set(POP_SOURCES))),
+                       "master-v1" + repr(cfg))
+
+
 def master(spark: SparkSession, sf_dir: str, cfg: Config | None = None) -> DataFrame:
     """Scan of the published master fact (ETL run first when missing)."""
     cfg = cfg or driver_defaults()
-    key = fingerprint(spark, _paths(sf_dir, sorted(set(RAW_SOURCES) | set(POP_SOURCES))),
-                      "master-v1" + repr(cfg))
-    path = materialise(spark, "master", key,
+    path = materialise(spark, "master", _master_key(spark, sf_dir, cfg),
                        lambda p: write_master(raw_feed(spark, sf_dir), population(spark, sf_dir), cfg, p))
     return spark.read.parquet(path)
 
 
+def weekly_totals(spark: SparkSession, sf_dir: str, cfg: Config | None = None,
+                  by_target: bool = False) -> DataFrame:
+    """The shared weekly cube: visits and population per (area[, cause target],
+    year, week), aggregated from the master once per master version and kept
+    as a small table; every series-based query (channel, P-Score, trend,
+    forecast) reads it instead of re-aggregating the fact table."""
+    cfg = cfg or driver_defaults()
+    key = _master_key(spark, sf_dir, cfg) + ("-t" if by_target else "")
+    return materialise_df(spark, "weekly", key,
+                          lambda: area_week_totals(analysed(spark, sf_dir, cfg), cfg, by_target))
+
+
 def analysed(spark: SparkSession, sf_dir: str, cfg: Config | None = None) -> DataFrame:
     """Master as the analytics see it (recoded cause, care level)."""
     cfg = cfg or driver_defaults()
