@@ -83,13 +83,19 @@ def facility_ranking(m: DataFrame, cfg: Config, year, area: str) -> DataFrame:
     return ranked(mean_rate_by(_slice(m, year, cfg.week_window, area), keys), RATE, keys)
 
 
+def total_of(agg: DataFrame, col: str = VISITS):
+    """Grand total of an aggregated frame as a scalar subquery.
+
+    Summing the per-key aggregate instead of the fact slice lets Spark reuse
+    the aggregate's exchange, so the fact table is scanned once; no
+    un-partitioned window is needed."""
+    return agg.select(F.sum(col)).scalar()
+
+
 def area_share(m: DataFrame, cfg: Config, year) -> DataFrame:
-    """Visits per area and share of the total (F3).  The total is a scalar
-    subquery over the same slice, not an un-partitioned window."""
-    s = _slice(m, year, cfg.week_window)
-    total = s.select(F.sum(VISITS)).scalar()
-    return (visits_by(s, [AREA])
-            .withColumn("share", stable(safe_div(F.col(VISITS), total))))
+    """Visits per area and share of the total."""
+    by_area = visits_by(_slice(m, year, cfg.week_window), [AREA])
+    return by_area.withColumn("share", stable(safe_div(F.col(VISITS), total_of(by_area))))
 
 
 def mean_rate_profile(m: DataFrame, cfg: Config, year, keys: Sequence[str], area=None, age=None) -> DataFrame:
@@ -145,9 +151,10 @@ def insights(m: DataFrame, cfg: Config, year, area=None, age=None) -> DataFrame:
     """Leading cause by visits, its share of the total, the leading age
     group by mean rate (when no age filter is set) and the total, as one row."""
     s = _slice(m, year, cfg.week_window, area, age)
-    lead = arg_max(visits_by(s, [CAUSE]), VISITS, CAUSE).select(
+    by_cause = visits_by(s, [CAUSE])
+    lead = arg_max(by_cause, VISITS, CAUSE).select(
         F.col(CAUSE).alias("leading_cause"), F.col("max_" + VISITS).alias("leading_cause_visits"))
-    out = lead.withColumn("total_visits", s.select(F.sum(VISITS)).scalar())
+    out = lead.withColumn("total_visits", total_of(by_cause))
     out = out.withColumn("leading_cause_pct",
                          stable(safe_div(F.col("leading_cause_visits"), F.col("total_visits")) * 100))
     if age is None:

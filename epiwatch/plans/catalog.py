@@ -132,9 +132,9 @@ def care_level(spark, d):
 @query
 def selector_values(spark, d):
     m = _m(spark, d)
-    parts = [m.select(F.lit(k).alias("kind"), F.col(k).cast("string").alias("value")).distinct()
-             for k in (YEAR, AREA, AGE_GROUP)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("value"))
+                      for k in (YEAR, AREA, AGE_GROUP)])
+    return m.select(F.inline(pairs)).where(F.col("value").isNotNull()).distinct()
 
 
 # -- rankings and profiles -------------------------------------------------------
@@ -241,7 +241,7 @@ def share_of_leading_cause(spark, d):
     m = _m(spark, d)
     s = rankings._slice(m, _year(m), CFG.week_window)
     by_cause = rankings.visits_by(s, [CAUSE])
-    total = s.select(F.sum(VISITS)).scalar()
+    total = rankings.total_of(by_cause)
     lead = rankings.arg_max(by_cause, VISITS, CAUSE).select(CAUSE).scalar()
     return by_cause.select(CAUSE, VISITS, F.lit(total).alias("total_visits"),
                            stable(safe_div(F.col(VISITS), F.lit(total)) * 100).alias("share_pct"),

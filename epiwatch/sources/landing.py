@@ -15,6 +15,9 @@ from ..plans.etl import dashboard_view, write_master
 from . import driver_tables
 from .store import fingerprint, materialise, materialise_df
 
+# Bump when the landing or ETL logic changes, so stored tables are rebuilt.
+STORE_VERSION = "2"
+
 RAW_SOURCES = ("lineitem", "orders", "customer", "supplier", "nation", "region", "part")
 POP_SOURCES = ("customer", "nation", "orders")
 
@@ -24,18 +27,18 @@ def _paths(sf_dir: str, names) -> list[str]:
 
 
 def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = fingerprint(spark, _paths(sf_dir, RAW_SOURCES), "raw-v1")
+    key = fingerprint(spark, _paths(sf_dir, RAW_SOURCES), f"raw-{STORE_VERSION}")
     return materialise_df(spark, "raw", key, lambda: driver_tables.raw_feed(spark, sf_dir))
 
 
 def population(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = fingerprint(spark, _paths(sf_dir, POP_SOURCES), "pop-v1")
+    key = fingerprint(spark, _paths(sf_dir, POP_SOURCES), f"pop-{STORE_VERSION}")
     return materialise_df(spark, "population", key, lambda: driver_tables.population(spark, sf_dir))
 
 
 def _master_key(spark: SparkSession, sf_dir: str, cfg: Config) -> str:
     return fingerprint(spark, _paths(sf_dir, sorted(set(RAW_SOURCES) | set(POP_SOURCES))),
-                       "master-v1" + repr(cfg))
+                       f"master-{STORE_VERSION}" + repr(cfg))
 
 
 def master(spark: SparkSession, sf_dir: str, cfg: Config | None = None) -> DataFrame:
