@@ -1,0 +1,7 @@
+"""No streaming operators.
+
+The surveillance feed is published as a whole weekly snapshot and replaced in
+full; there is no event stream, watermark, window over event time or state to
+maintain.  Refreshes are batch jobs: see ``epiwatch.sources.refresh`` and
+``epiwatch.plans.etl.run_pipeline``.
+"""
