@@ -30,14 +30,15 @@ RANK_TOL = 1e-12
 
 
 def wls_window_fit(df: DataFrame, part: Sequence[str], xs: Sequence[str], y: str = "y",
-                   w: str = "w", tol: float = RANK_TOL) -> DataFrame:
+                   w: str = "w", tol: float = RANK_TOL, keep_inputs: bool = False) -> DataFrame:
     """Adds ``fit`` (fitted/predicted value) and ``deficient`` (bool) columns.
 
-    ``y`` may be anything on weight-0 rows (it is ignored there).
+    ``y`` may be anything on weight-0 rows (it is ignored there).  With
+    ``keep_inputs`` the design columns, ``y`` and ``w`` are passed through.
     """
     W = Window.partitionBy(*part)
     xs = list(xs)
-    keep = [c for c in df.columns if c not in xs]
+    keep = [c for c in df.columns if keep_inputs or c not in xs]
     # original squared norms (for the relative rank test) and training size
     out = df.select(*keep, *[F.col(c).alias(f"_q{i}") for i, c in enumerate(xs)],
                     F.coalesce(F.col(y), F.lit(0.0)).cast("double").alias("_r"),
@@ -61,7 +62,7 @@ def wls_window_fit(df: DataFrame, part: Sequence[str], xs: Sequence[str], y: str
             (F.col("_r") - b_r * qj).alias("_r"),
             (F.col("_fit") + b_r * qj).alias("_fit"),
             (F.col("_def") | ~ok).alias("_def"))
-    result = [c for c in keep if c not in (y, w)]
+    result = [c for c in keep if keep_inputs or c not in (y, w)]
     return out.select(*result, F.col("_fit").alias("fit"), F.col("_def").alias("deficient"))
 
 
@@ -100,8 +101,9 @@ def fallback_fit(df: DataFrame, part: Sequence[str], xs: Sequence[str], y: str =
 def wls_fit(df: DataFrame, part: Sequence[str], xs: Sequence[str], y: str = "y",
             w: str = "w") -> DataFrame:
     """Window solve for well-posed series, ``applyInPandas`` for the rest."""
-    fitted = wls_window_fit(df, part, xs, y, w)
-    good = fitted.where(~F.col("deficient"))
-    bad_keys = fitted.where(F.col("deficient")).select(*part).distinct()
-    bad = fallback_fit(df.join(bad_keys, list(part), "left_semi"), part, xs, y, w)
-    return good.unionByName(bad.select(*good.columns))
+    fitted = wls_window_fit(df, part, xs, y, w, keep_inputs=True)
+    out_cols = [c for c in df.columns if c not in list(xs) + [y, w]] + ["fit", "deficient"]
+    good = fitted.where(~F.col("deficient")).select(*out_cols)
+    # Deficient series carry their own inputs: no second scan or semi join.
+    bad = fallback_fit(fitted.where(F.col("deficient")).select(*df.columns), part, xs, y, w)
+    return good.unionByName(bad.select(*out_cols))

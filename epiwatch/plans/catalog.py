@@ -62,8 +62,15 @@ def _series(spark, d, by_target=False):
     return scoped_series(totals, [TARGET] if by_target else [])
 
 
-def _first(m, col):
-    return m.select(F.min(col)).scalar()
+def _first_area(spark, d):
+    """First territory in sorted order (the selector default), read from the
+    small weekly cube instead of scanning the fact table."""
+    return landing.weekly_totals(spark, d, CFG).select(F.min(AREA)).scalar()
+
+
+def _first_age_group():
+    """First age group in sorted order among the configured bands."""
+    return sorted(label for _, label in CFG.age_columns)[0]
 
 
 # -- ETL stage (B1-B10, C1, D1-D3, E3, J19) -----------------------------------
@@ -160,13 +167,13 @@ def top10_facilities(spark, d):
 @query
 def top10_facilities_by_age(spark, d):
     m = _m(spark, d)
-    return rankings.top_facilities_by_visits(m, CFG, _year(m), _first(m, AGE_GROUP))
+    return rankings.top_facilities_by_visits(m, CFG, _year(m), _first_age_group())
 
 
 @query
 def facility_ranking(spark, d):
     m = _m(spark, d)
-    return rankings.facility_ranking(m, CFG, _year(m), _first(m, AREA))
+    return rankings.facility_ranking(m, CFG, _year(m), _first_area(spark, d))
 
 
 @query
@@ -196,7 +203,7 @@ def profile_cause_level(spark, d):
 @query
 def facility_week(spark, d):
     m = _m(spark, d)
-    return rankings.week_mean_by(m, CFG, _year(m), FACILITY, area=_first(m, AREA))
+    return rankings.week_mean_by(m, CFG, _year(m), FACILITY, area=_first_area(spark, d))
 
 
 @query
@@ -392,7 +399,7 @@ def forecast_cause_kpis(spark, d):
 @query
 def filtered_slice(spark, d):
     m = _m(spark, d)
-    s = rankings._slice(m, _year(m), CFG.week_window, area=_first(m, AREA))
+    s = rankings._slice(m, _year(m), CFG.week_window, area=_first_area(spark, d))
     return s.select(FACILITY, AREA, CAUSE, CARE_LEVEL, AGE_GROUP, YEAR, WEEK, VISITS, POPULATION, RATE)
 
 
