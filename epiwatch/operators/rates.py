@@ -71,17 +71,28 @@ def matched_targets(cause: Column, targets: Sequence[str]) -> Column:
 
 
 def area_week_totals(master: DataFrame, cfg: Config, by_target: bool = False) -> DataFrame:
-    """Visits and population summed per (area[, target], year, week)."""
-    df = master
+    """Visits and population summed per (area[, target], year, week).
+
+    For cause targets the fact table is first reduced per (area, cause, year,
+    week) -- a partial aggregate -- and the substring match runs on that small
+    table; sums of sums are exact, so the result equals matching every row.
+    """
     keys = [AREA]
-    if by_target:
-        df = df.select("*", F.explode(matched_targets(F.col(CAUSE), cfg.target_causes)).alias(TARGET))
-        keys.append(TARGET)
     if cfg.denominator == "distinct_cell":
-        cells = (df.groupBy(*keys, YEAR, WEEK, AGE_GROUP)
-                 .agg(F.sum(VISITS).alias(VISITS), F.max(POPULATION).alias(POPULATION)))
-        df = cells
-    elif cfg.denominator != "row_sum":
+        df = master
+        if by_target:
+            df = df.select("*", F.explode(matched_targets(F.col(CAUSE), cfg.target_causes)).alias(TARGET))
+            keys.append(TARGET)
+        df = (df.groupBy(*keys, YEAR, WEEK, AGE_GROUP)
+              .agg(F.sum(VISITS).alias(VISITS), F.max(POPULATION).alias(POPULATION)))
+    elif cfg.denominator == "row_sum":
+        df = master
+        if by_target:
+            df = (master.groupBy(AREA, CAUSE, YEAR, WEEK)
+                  .agg(F.sum(VISITS).alias(VISITS), F.sum(POPULATION).alias(POPULATION))
+                  .select("*", F.explode(matched_targets(F.col(CAUSE), cfg.target_causes)).alias(TARGET)))
+            keys.append(TARGET)
+    else:
         raise ValueError(f"unknown denominator {cfg.denominator!r}")
     return (df.groupBy(*keys, YEAR, WEEK)
             .agg(F.sum(VISITS).alias(VISITS), F.sum(POPULATION).alias(POPULATION)))
