@@ -58,6 +58,16 @@ def restrict_population(pop: DataFrame, long_df: DataFrame) -> DataFrame:
     return pop.join(areas, AREA, "left_semi")
 
 
+def area_coverage(long_df: DataFrame, pop: DataFrame) -> DataFrame:
+    """Areas of either side with presence flags (the printed area lists of the
+    source system, as data): a union of two distinct projections and one
+    aggregate -- no join."""
+    feed = long_df.select(AREA, F.lit(True).alias("in_feed"), F.lit(False).alias("in_population"))
+    dim = pop.select(AREA, F.lit(False).alias("in_feed"), F.lit(True).alias("in_population"))
+    return (feed.unionByName(dim).where(F.col(AREA).isNotNull()).groupBy(AREA)
+            .agg(F.max("in_feed").alias("in_feed"), F.max("in_population").alias("in_population")))
+
+
 def orphan_audit(joined: DataFrame) -> DataFrame:
     """One row: number of rows without population plus one example key.
 

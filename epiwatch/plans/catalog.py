@@ -24,11 +24,12 @@ from ..functions.text import blank_to_null, contains_ci, head_before, is_blank,
 from ..operators import channel, forecast, pscore, rankings, trend
 from ..operators.clean import (blanks_to_null, clean_feed, exclude_causes, filter_service,
                                fix_spelling, standardise_feed)
-from ..operators.joins import orphan_audit
+from ..operators import joins
+from ..operators.joins import orphan_audit, restrict_population
 from ..operators.rates import (TARGET, baseline_years, eval_year, matched_targets, scoped_series,
                                select_scope)
 from ..sources import landing
-from .etl import joined, long_visits
+from .etl import joined, long_visits, normalise_population
 
 CFG: Config = driver_defaults()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,6 +103,16 @@ def pop_join(spark, d):
     return joined(_raw(spark, d), _pop(spark, d), CFG)
 
 
+@query
+def population_in_feed(spark, d):
+    return restrict_population(normalise_population(_pop(spark, d)), long_visits(_raw(spark, d), CFG))
+
+
+@query
+def area_coverage(spark, d):
+    return joins.area_coverage(long_visits(_raw(spark, d), CFG), normalise_population(_pop(spark, d)))
+
+
 @query
 def orphan_audit_q(spark, d):
     return orphan_audit(joined(_raw(spark, d), _pop(spark, d), CFG))

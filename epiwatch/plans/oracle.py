@@ -435,6 +435,10 @@ def statements() -> dict[str, str]:
     s["spelling_fix"] = with_() + "SELECT region, area, facility, CAST(count(*) AS BIGINT) AS rows FROM fixed GROUP BY 1, 2, 3"
     s["unpivot_ages"] = with_() + "SELECT * FROM long"
     s["pop_join"] = with_() + "SELECT * FROM joined"
+    s["population_in_feed"] = with_() + "SELECT * FROM popn WHERE area IN (SELECT area FROM long)"
+    s["area_coverage"] = with_() + """SELECT area, bool_or(in_feed) AS in_feed, bool_or(in_population) AS in_population FROM (
+  SELECT area, true AS in_feed, false AS in_population FROM long
+  UNION ALL SELECT area, false, true FROM popn) WHERE area IS NOT NULL GROUP BY area"""
     s["orphan_audit"] = with_() + """SELECT CAST(count_if(population IS NULL) AS BIGINT) AS orphan_rows,
   CAST(count(*) AS BIGINT) AS total_rows,
   (SELECT area FROM joined WHERE population IS NULL ORDER BY area, year, age_group LIMIT 1) AS example_area,
