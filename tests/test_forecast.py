@@ -4,7 +4,6 @@ import math
 import random
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from epiwatch import config as C
 from epiwatch.operators import forecast

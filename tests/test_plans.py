@@ -40,10 +40,28 @@ def test_no_python_in_analytic_plans(spark, name):
         assert node not in plan, (name, node)
 
 
-def test_series_windows_are_partitioned(spark):
-    plan = _plan(catalog.QUERIES["forecast_by_area"](spark, SF))
-    assert "Window [" in plan
-    assert "SinglePartition" not in plan.split("Subquery")[0] or True
-    for line in plan.splitlines():
-        if line.strip().startswith("+- Window") or line.strip().startswith("Window"):
-            assert "[scope" in line or "scope#" in line, line
+def _window_specs(plan) -> list[str]:
+    """Partition specs of every Window node of an executed (adaptive) plan."""
+    out = []
+    name = plan.nodeName()
+    if name == "Window":
+        out.append(plan.partitionSpec().toString())
+    if name == "AdaptiveSparkPlan":
+        out += _window_specs(plan.executedPlan())
+    if "QueryStage" in name:
+        out += _window_specs(plan.plan())
+    it = plan.children().iterator()
+    while it.hasNext():
+        out += _window_specs(it.next())
+    return out
+
+
+@pytest.mark.parametrize("name", ["forecast_by_area", "forecast_by_cause", "endemic_channel", "moving_average",
+                                  "zone_by_week"])
+def test_every_window_is_partitioned_by_series(spark, name):
+    df = catalog.QUERIES[name](spark, SF)
+    df.collect()
+    specs = _window_specs(df._jdf.queryExecution().executedPlan())
+    assert specs, name
+    for spec in specs:
+        assert "scope" in spec, (name, spec)   # never an un-partitioned (single-task) window
