@@ -16,7 +16,7 @@ from test_etl import FEED_SCHEMA, _row
 def published(spark, tmp_path_factory):
     rnd = random.Random(1)
     rows = []
-    areas = ["Talcahuano", "Tome", "Penco"]
+    areas = ["Norte", "Tome", "Sur"]
     causes = ["Influenza (J09-J11)", "Neumonía (J12-J18)", "IRA Alta (J00-J06)"]
     for year in range(2014, 2026):
         if year in (2020, 2021):
@@ -29,7 +29,7 @@ def published(spark, tmp_path_factory):
                     rows.append(_row(area=area, cause=cause, year=year, week=week, counts=counts,
                                      fac=f"Hospital {area}"))
     feed = spark.createDataFrame(rows, FEED_SCHEMA)
-    pop_rows = [(a, y, g, 1000.0 + 10 * y % 7) for a in ["Talcahuano", "Tomé", "Penco"]
+    pop_rows = [(a, y, g, 1000.0 + 10 * y % 7) for a in ["Norte", "Tomé", "Sur"]
                 for y in range(2014, 2026) for g in C.FEED_AGE_COLUMNS.values()]
     pop = spark.createDataFrame(pop_rows, "ComunaGlosa string, Anio int, grupo_etario string, Poblacion double")
     d = tmp_path_factory.mktemp("api")
@@ -50,8 +50,8 @@ def test_single_scope_equals_bulk(published):
     m, cfg = published
     for fn, order in ((api.channel, ["scope", "week"]), (api.pscore, ["scope", "week"]),
                       (api.smoothed, ["scope", "week"])):
-        bulk = fn(m, cfg).where(F.col("scope") == "Penco")
-        one = fn(m, cfg, scope="Penco")
+        bulk = fn(m, cfg).where(F.col("scope") == "Sur")
+        one = fn(m, cfg, scope="Sur")
         assert _rows(bulk, order) == _rows(one, order)
     bulk = api.forecast(m, cfg).where(F.col("scope") == C.GLOBAL_SCOPE)
     one = api.forecast(m, cfg, scope=C.GLOBAL_SCOPE)
@@ -82,7 +82,7 @@ def test_rankings_and_kpis(published):
     m, cfg = published
     areas = api.ranking(m, cfg, "areas", year=2024).collect()
     assert [r.area for r in areas] == sorted([r.area for r in areas], key=lambda a: -[x.rate for x in areas if x.area == a][0])
-    assert {r.area for r in areas} == {"Talcahuano", "Tomé", "Penco"}
+    assert {r.area for r in areas} == {"Norte", "Tomé", "Sur"}
     k = api.kpis(m, cfg, year=2024).collect()[0]
     assert k.hospital_pct == 100.0
     z = api.zones(m, cfg, scope=C.GLOBAL_SCOPE, week=5).collect()
