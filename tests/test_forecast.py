@@ -90,3 +90,20 @@ def test_kpis_peak_first_week_and_bands(spark):
     r = forecast.kpis(fc, ["scope"]).collect()[0]
     assert r.peak_week == 1 and r.peak_rate == 3.0 and r.weeks_over_q3 == 1
     assert r.mape is None and r.quality is None and r.epidemic_risk
+
+
+def test_window_solver_equals_mllib_weighted_normal_equations(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    rnd = random.Random(2)
+    rows = [(y, w, rnd.uniform(5, 40)) for y in range(2014, 2025) for w in range(1, 53) if y not in (2020, 2021, 2022)]
+    s = spark.createDataFrame([("G",) + r for r in rows], "scope string, year int, week int, rate double")
+    feats = forecast.harmonic_features(forecast.training_rows(s, ["scope"], CFG), ["scope"], CFG)
+    vec = VectorAssembler(inputCols=list(forecast.FEATURES[1:]), outputCol="f").transform(feats)
+    model = LinearRegression(featuresCol="f", labelCol="rate", weightCol="weight", solver="normal",
+                             regParam=0.0, fitIntercept=True, standardization=False).fit(vec)
+    got = {r.week: r.projected for r in forecast.forecast(s, ["scope"], CFG).collect()}
+    for w in (1, 13, 26, 40, 52):
+        x = _design(2025, w)
+        exp = max(0.0, model.intercept + sum(c * v for c, v in zip(model.coefficients, x[1:])))
+        assert abs(got[w] - exp) < 1e-6
