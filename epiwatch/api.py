@@ -44,8 +44,11 @@ def load(spark: SparkSession, master_root: str, cfg: Config) -> DataFrame:
     return dashboard_view(read_current(spark, master_root), cfg)
 
 
-def _year(m: DataFrame, cfg: Config, year):
-    return F.lit(year) if year is not None else eval_year(m, cfg)
+def _year(df: DataFrame, cfg: Config, year):
+    """Selected year, else the configured one, else the latest year of ``df``
+    (for series-based analyses ``df`` is the weekly series, so the default
+    reuses its aggregate instead of scanning the fact table)."""
+    return F.lit(year) if year is not None else eval_year(df, cfg)
 
 
 def ranking(m: DataFrame, cfg: Config, kind: str, year: int | None = None,
@@ -107,27 +110,32 @@ def series(m: DataFrame, cfg: Config, scope: str | None = None, by_cause: bool =
 
 def channel(m: DataFrame, cfg: Config, year: int | None = None, scope: str | None = None) -> DataFrame:
     """Endemic channel (Q1-Q3 over the baseline years, interpolated) with the year's rate."""
-    return _channel.round_channel(_channel.endemic_channel(series(m, cfg, scope), cfg, _year(m, cfg, year)))
+    s = series(m, cfg, scope)
+    return _channel.round_channel(_channel.endemic_channel(s, cfg, _year(s, cfg, year)))
 
 
 def zones(m: DataFrame, cfg: Config, year: int | None = None, scope: str | None = None,
           week: int | None = None) -> DataFrame:
     """Zone, insight, action and direction per observed week (or one week)."""
-    z = _channel.zones(_channel.endemic_channel(series(m, cfg, scope), cfg, _year(m, cfg, year)))
+    s = series(m, cfg, scope)
+    z = _channel.zones(_channel.endemic_channel(s, cfg, _year(s, cfg, year)))
     return z if week is None else z.where(F.col("week") == week)
 
 
 def pscore(m: DataFrame, cfg: Config, year: int | None = None, scope: str | None = None) -> DataFrame:
-    return _pscore.round_pscore(_pscore.pscore(series(m, cfg, scope), cfg, _year(m, cfg, year)))
+    s = series(m, cfg, scope)
+    return _pscore.round_pscore(_pscore.pscore(s, cfg, _year(s, cfg, year)))
 
 
 def pscore_summary(m: DataFrame, cfg: Config, year: int | None = None, scope: str | None = None) -> DataFrame:
-    return _pscore.pscore_summary(_pscore.pscore(series(m, cfg, scope), cfg, _year(m, cfg, year)))
+    s = series(m, cfg, scope)
+    return _pscore.pscore_summary(_pscore.pscore(s, cfg, _year(s, cfg, year)))
 
 
 def smoothed(m: DataFrame, cfg: Config, year: int | None = None, scope: str | None = None,
              window: int | None = None, long: bool = False) -> DataFrame:
-    sm = _trend.smoothed(series(m, cfg, scope), _year(m, cfg, year), window or cfg.smoothing_window)
+    s = series(m, cfg, scope)
+    sm = _trend.smoothed(s, _year(s, cfg, year), window or cfg.smoothing_window)
     return _trend.smoothed_long(sm) if long else sm
 
 

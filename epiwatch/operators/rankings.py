@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import (AGE_GROUP, AREA, CARE_LEVEL, CAUSE, FACILITY, LEVEL_HOSPITAL, LEVEL_PRIMARY,
@@ -147,21 +147,64 @@ def arg_max(df: DataFrame, value: str, key: str, group: Sequence[str] = ()) -> D
             .select(*cols, F.col("_b.k").alias(key), F.col("max_" + value)))
 
 
+def _rate_sum_parts():
+    """Exact-mean parts (decimal sum, count) so means can be finished after a
+    grouping-sets aggregate."""
+    return [F.sum(F.col(RATE).cast("decimal(18,2)")).alias("_rs"), F.count(RATE).alias("_rn")]
+
+
+def _finish_mean(name: str = RATE) -> Column:
+    return (F.col("_rs").cast("double") / F.nullif(F.col("_rn"), F.lit(0))).alias(name)
+
+
 def insights(m: DataFrame, cfg: Config, year, area=None, age=None) -> DataFrame:
     """Leading cause by visits, its share of the total, the leading age
-    group by mean rate (when no age filter is set) and the total, as one row."""
+    group by mean rate (when no age filter is set) and the total, as one row.
+
+    One grouping-sets aggregate (cause | age group) feeds one conditional
+    global aggregate: a single scan and two small shuffles."""
     s = _slice(m, year, cfg.week_window, area, age)
-    by_cause = visits_by(s, [CAUSE])
-    lead = arg_max(by_cause, VISITS, CAUSE).select(
-        F.col(CAUSE).alias("leading_cause"), F.col("max_" + VISITS).alias("leading_cause_visits"))
-    out = lead.withColumn("total_visits", total_of(by_cause))
-    out = out.withColumn("leading_cause_pct",
-                         stable(safe_div(F.col("leading_cause_visits"), F.col("total_visits")) * 100))
-    if age is None:
-        by_age = mean_rate_by(s, [AGE_GROUP])
-        lead_age = arg_max(by_age, RATE, AGE_GROUP).select(AGE_GROUP)
-        return out.withColumn("leading_age_group", lead_age.scalar())
-    return out.withColumn("leading_age_group", F.lit(age))
+    both = (s.groupingSets([[CAUSE], [AGE_GROUP]], CAUSE, AGE_GROUP)
+            .agg(F.sum(VISITS).alias(VISITS), *_rate_sum_parts(), F.grouping_id().alias("_g"))
+            .select(CAUSE, AGE_GROUP, VISITS, "_g", _finish_mean()))
+    is_cause = (F.col("_g") == 1) & F.col(CAUSE).isNotNull()
+    is_age = (F.col("_g") == 2) & F.col(AGE_GROUP).isNotNull()
+    lead_c = F.min(F.when(is_cause & F.col(VISITS).isNotNull(),
+                          F.struct((-F.col(VISITS)).alias("n"), F.col(CAUSE).alias("k"))))
+    lead_a = F.min(F.when(is_age & F.col(RATE).isNotNull(),
+                          F.struct((-F.col(RATE)).alias("n"), F.col(AGE_GROUP).alias("k"))))
+    one = both.agg(lead_c.alias("_c"), lead_a.alias("_a"),
+                   F.sum(F.when(is_cause, F.col(VISITS))).alias("total_visits"))
+    out = one.select(F.col("_c.k").alias("leading_cause"), (-F.col("_c.n")).alias("leading_cause_visits"),
+                     "total_visits",
+                     stable(safe_div(-F.col("_c.n"), F.col("total_visits")) * 100).alias("leading_cause_pct"),
+                     (F.col("_a.k") if age is None else F.lit(age)).alias("leading_age_group"))
+    # the source reports nothing when the slice is empty
+    return out.where(F.col("leading_cause").isNotNull())
+
+
+def overview(m: DataFrame, cfg: Config, year) -> DataFrame:
+    """Area ranking, top-k causes and top-k facilities from one
+    grouping-sets aggregate over the slice: one scan, one shuffle of partial
+    aggregates, then a rank window partitioned by ranking kind (over the
+    aggregated groups only)."""
+    s = _slice(m, year, cfg.week_window)
+    agg = (s.groupingSets([[AREA], [CAUSE], [AREA, FACILITY]], AREA, CAUSE, FACILITY)
+           .agg(*_rate_sum_parts(), F.grouping_id().alias("_g"))
+           .select(AREA, CAUSE, FACILITY, "_g", _finish_mean()))
+    # grouping_id bits follow (area, cause, facility); a set bit = grouped away
+    kind = (F.when(F.col("_g") == 3, F.lit("areas")).when(F.col("_g") == 5, F.lit("causes"))
+            .otherwise(F.lit("facilities")))
+    key = F.when(F.col("_g") == 5, F.col(CAUSE)).otherwise(F.col(AREA))
+    key2 = F.when(F.col("_g") == 2, F.col(FACILITY))
+    rows = agg.select(kind.alias("ranking"), key.alias("key"), key2.alias("key2"), RATE)
+    rows = rows.where(F.col("key").isNotNull() & ((F.col("ranking") != "facilities") | F.col("key2").isNotNull()))
+    w = Window.partitionBy("ranking").orderBy(F.col(RATE).desc_nulls_last(), F.col("key").asc(), F.col("key2").asc())
+    limit = (F.when(F.col("ranking") == "causes", F.lit(cfg.top_causes))
+             .when(F.col("ranking") == "facilities", F.lit(cfg.top_facilities)))
+    return (rows.withColumn("_rn", F.row_number().over(w))
+            .where(limit.isNull() | (F.col("_rn") <= limit))
+            .select("ranking", "key", "key2", stable(RATE).alias(RATE)))
 
 
 def peak_area(m: DataFrame, cfg: Config, year) -> DataFrame:

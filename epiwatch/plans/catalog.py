@@ -238,14 +238,7 @@ def insights(spark, d):
 @query
 def overview_bundle(spark, d):
     m = _m(spark, d)
-    y = _year(m)
-    a = rankings.top_areas(m, CFG, y).select(F.lit("areas").alias("ranking"), F.col(AREA).alias("key"),
-                                             F.lit(None).cast("string").alias("key2"), RATE)
-    c = rankings.top_causes(m, CFG, y).select(F.lit("causes").alias("ranking"), F.col(CAUSE).alias("key"),
-                                              F.lit(None).cast("string").alias("key2"), RATE)
-    f = rankings.top_facilities(m, CFG, y).select(F.lit("facilities").alias("ranking"),
-                                                  F.col(AREA).alias("key"), F.col(FACILITY).alias("key2"), RATE)
-    return a.unionByName(c).unionByName(f)
+    return rankings.overview(m, CFG, _year(m))
 
 
 @query
