@@ -65,7 +65,7 @@ def zone(val: Column, q1: Column, q2: Column, q3: Column) -> Column:
             .when(val < q3, F.lit(C.ZONE_ALARM)).otherwise(F.lit(C.ZONE_EPIDEMIC)))
 
 
-def zones(chan: DataFrame) -> DataFrame:
+def zones(chan: DataFrame, keep_last_week: bool = False) -> DataFrame:
     """J10 + F2 for every week with an observed rate: zone, insight, action and
     the week-over-week direction against week-1 of the dense spine."""
     val, q1, q2, q3 = (F.col(c) for c in (CURRENT, "q1", "q2", "q3"))
@@ -84,7 +84,8 @@ def zones(chan: DataFrame) -> DataFrame:
             .where(val.isNotNull())
             .select(SCOPE, WEEK, stable(val).alias(CURRENT), stable(q1).alias("q1"),
                     stable(q2).alias("q2"), stable(q3).alias("q3"),
-                    z.alias("zone"), insight.alias("insight"), action.alias("action"), "trend"))
+                    z.alias("zone"), insight.alias("insight"), action.alias("action"), "trend",
+                    *(["last_week"] if keep_last_week else [])))
 
 
 def round_channel(chan: DataFrame) -> DataFrame:

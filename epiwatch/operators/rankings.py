@@ -114,10 +114,19 @@ def top_causes_by_visits(s: DataFrame, k: int) -> DataFrame:
 
 
 def cause_level_profile(m: DataFrame, cfg: Config, year, area=None, age=None) -> DataFrame:
-    """Visits by cause x care level, restricted to the top-k causes."""
-    s = _slice(m, year, cfg.week_window, area, age)
-    top = top_causes_by_visits(s, cfg.top_causes)
-    return visits_by(s, [CAUSE, CARE_LEVEL]).join(top, CAUSE, "left_semi")
+    """Visits by cause x care level, restricted to the top-k causes.
+
+    The slice is scanned and aggregated once.  Cause totals are a window
+    partitioned by cause over that aggregate; the top-k cut ranks the
+    aggregated cause x level rows (at most #causes x #levels rows), so the
+    only global step never sees fact-sized input.  (A semi join against a
+    separate top-k subquery would be pushed below the aggregate by Catalyst
+    and scan the slice twice.)"""
+    by_level = visits_by(_slice(m, year, cfg.week_window, area, age), [CAUSE, CARE_LEVEL])
+    per_cause = by_level.withColumn("_t", F.sum(VISITS).over(Window.partitionBy(CAUSE)))
+    rank = F.dense_rank().over(Window.orderBy(F.col("_t").desc_nulls_last(), F.col(CAUSE).asc()))
+    return (per_cause.withColumn("_r", rank).where(F.col("_r") <= cfg.top_causes)
+            .select(CAUSE, CARE_LEVEL, VISITS))
 
 
 def kpi_totals(m: DataFrame, cfg: Config, year, area=None, age=None) -> DataFrame:

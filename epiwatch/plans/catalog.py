@@ -281,10 +281,8 @@ def zone_by_week(spark, d):
 @query
 def week_lookup(spark, d):
     m = _m(spark, d)
-    chan = channel.endemic_channel(_series(spark, d), CFG, _year(m))
-    z = channel.zones(chan)
-    last = chan.select(SCOPE, "last_week").distinct()
-    return z.join(last, SCOPE).where(F.col(WEEK) == F.col("last_week")).drop("last_week")
+    z = channel.zones(channel.endemic_channel(_series(spark, d), CFG, _year(m)), keep_last_week=True)
+    return z.where(F.col(WEEK) == F.col("last_week")).drop("last_week")
 
 
 @query
