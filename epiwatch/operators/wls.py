@@ -22,48 +22,55 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 RANK_TOL = 1e-12
 
 
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def wls_window_fit(df: DataFrame, part: Sequence[str], xs: Sequence[str], y: str = "y",
                    w: str = "w", tol: float = RANK_TOL, keep_inputs: bool = False) -> DataFrame:
     """Adds ``fit`` (fitted/predicted value) and ``deficient`` (bool) columns.
 
     ``y`` may be anything on weight-0 rows (it is ignored there).  With
     ``keep_inputs`` the design columns, ``y`` and ``w`` are passed through.
+    Each elimination step is one ``selectExpr`` (window sums written as SQL),
+    so building the plan costs a handful of JVM calls, not one per term.
     """
-    W = Window.partitionBy(*part)
     xs = list(xs)
-    keep = [c for c in df.columns if keep_inputs or c not in xs]
-    # original squared norms (for the relative rank test) and training size
-    out = df.select(*keep, *[F.col(c).alias(f"_q{i}") for i, c in enumerate(xs)],
-                    F.coalesce(F.col(y), F.lit(0.0)).cast("double").alias("_r"),
-                    F.lit(0.0).alias("_fit"),
-                    *[F.sum(F.col(w) * F.col(c) * F.col(c)).over(W).alias(f"_n{i}") for i, c in enumerate(xs)],
-                    (F.count_if(F.col(w) > 0).over(W) < len(xs)).alias("_def"))
     k = len(xs)
+    over = "OVER (PARTITION BY " + ", ".join(_q(c) for c in part) + ")"
+    keep = [c for c in df.columns if keep_inputs or c not in xs]
+    wq = _q(w)
+    first = ([_q(c) for c in keep]
+             + [f"CAST({_q(c)} AS DOUBLE) AS _q{i}" for i, c in enumerate(xs)]
+             + [f"CAST(coalesce({_q(y)}, 0D) AS DOUBLE) AS _r", "0D AS _fit"]
+             + [f"sum({wq} * {_q(c)} * {_q(c)}) {over} AS _n{i}" for i, c in enumerate(xs)]
+             + [f"count_if({wq} > 0) {over} < {k} AS _def"])
+    out = df.selectExpr(*first)
+    carried = [_q(c) for c in keep] + [f"_n{i}" for i in range(k)]
     for j in range(k):
-        qj = F.col(f"_q{j}")
-        den = F.sum(F.col(w) * qj * qj).over(W)
-        ok = den > F.lit(tol) * F.col(f"_n{j}")
-
-        def coef(h):
-            return F.when(ok, F.sum(F.col(w) * qj * h).over(W) / den).otherwise(F.lit(0.0))
-
-        b_r = coef(F.col("_r"))
-        new_cols = {f"_q{h}": F.col(f"_q{h}") - coef(F.col(f"_q{h}")) * qj for h in range(j + 1, k)}
-        out = out.select(
-            *[c for c in out.columns if c not in new_cols and c not in ("_r", "_fit", "_def")],
-            *[e.alias(n) for n, e in new_cols.items()],
-            (F.col("_r") - b_r * qj).alias("_r"),
-            (F.col("_fit") + b_r * qj).alias("_fit"),
-            (F.col("_def") | ~ok).alias("_def"))
-    result = [c for c in keep if keep_inputs or c not in (y, w)]
-    return out.select(*result, F.col("_fit").alias("fit"), F.col("_def").alias("deficient"))
+        # window sums of step j, then the updates that use them
+        sums = [f"sum({wq} * _q{j} * _q{j}) {over} AS _den"]
+        sums += [f"sum({wq} * _q{j} * _q{h}) {over} AS _s{h}" for h in range(j + 1, k)]
+        sums.append(f"sum({wq} * _q{j} * _r) {over} AS _sr")
+        out = out.selectExpr("*", *sums)
+        ok = f"(_den > {tol!r}D * _n{j})"
+
+        def coef(s_: str) -> str:
+            return f"(CASE WHEN {ok} THEN {s_} / _den ELSE 0D END)"
+        upd = [f"_q{i}" for i in range(j + 1)]
+        upd += [f"_q{h} - {coef(f'_s{h}')} * _q{j} AS _q{h}" for h in range(j + 1, k)]
+        upd += [f"_r - {coef('_sr')} * _q{j} AS _r", f"_fit + {coef('_sr')} * _q{j} AS _fit",
+                f"_def OR NOT {ok} AS _def"]
+        out = out.selectExpr(*carried, *upd)
+    result = [_q(c) for c in keep if keep_inputs or c not in (y, w)]
+    return out.selectExpr(*result, "_fit AS fit", "_def AS deficient")
 
 
 def lstsq_group(xs: Sequence[str], y: str = "y", w: str = "w"):
