@@ -142,6 +142,18 @@ def cause_recode(spark, d):
             .agg(F.count(F.lit(1)).alias("rows")))
 
 
+@query
+def cause_drift(spark, d):
+    """Feed-drift audit: trimmed cause labels without a recode entry (kept
+    as they are by the recode, reported here) with their row and visit counts."""
+    m = landing.master(spark, d, CFG)
+    known = [k for k, _ in CFG.cause_labels]
+    label = utrim(CAUSE)
+    return (m.where(~label.isin(known) if known else F.lit(True))
+            .groupBy(label.alias("cause"))
+            .agg(F.count(F.lit(1)).alias("rows"), F.sum(VISITS).alias(VISITS)))
+
+
 @query
 def care_level(spark, d):
     return _m(spark, d).groupBy(FACILITY_TYPE, CARE_LEVEL).agg(F.count(F.lit(1)).alias("rows"))

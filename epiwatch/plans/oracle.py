@@ -451,6 +451,9 @@ FROM joined"""
   {stable(exact_mean('rate'))} AS mean_rate FROM master GROUP BY year"""
     s["cause_recode"] = with_() + (f"SELECT cause AS cause_raw, {_recode(utrim('cause'))} AS cause, "
                                    "CAST(count(*) AS BIGINT) AS rows FROM master GROUP BY 1, 2")
+    known = ", ".join(q(k) for k, _ in CFG.cause_labels) or "NULL"
+    s["cause_drift"] = with_() + (f"SELECT {utrim('cause')} AS cause, CAST(count(*) AS BIGINT) AS rows, "
+                                  f"sum(visits) AS visits FROM master WHERE {utrim('cause')} NOT IN ({known}) GROUP BY 1")
     s["care_level"] = with_() + "SELECT facility_type, care_level, CAST(count(*) AS BIGINT) AS rows FROM m GROUP BY 1, 2"
     s["selector_values"] = with_() + """SELECT DISTINCT 'year' AS kind, CAST(year AS VARCHAR) AS value FROM m
 UNION ALL SELECT DISTINCT 'area', area FROM m
