@@ -63,11 +63,17 @@ def build_master(raw: DataFrame, pop: DataFrame, cfg: Config) -> DataFrame:
     return df.select(*master_column_order(df))
 
 
-def write_master(raw: DataFrame, pop: DataFrame, cfg: Config, path: str) -> dict:
+def write_master(raw: DataFrame, pop: DataFrame, cfg: Config, path: str,
+                 feed_by_year: bool = False) -> dict:
     """Run the ETL and write the master (A4), partitioned by year.
 
     The orphan audit (D3) is collected with ``observe`` during the same pass,
     so the audit costs no extra scan.  Returns the audit numbers.
+
+    ``feed_by_year``: the feed is stored partitioned by year, so every scan
+    task holds one year and writes one directory -- the ETL runs without any
+    shuffle (the population side is broadcast).  Otherwise the rows are
+    rebalanced on the year first, so tasks do not each write every year.
     """
     df = joined(raw, pop, cfg).withColumn("_orphan", F.col(POPULATION).isNull())
     out = with_rates(df)
@@ -79,8 +85,9 @@ def write_master(raw: DataFrame, pop: DataFrame, cfg: Config, path: str) -> dict
     # statistics prune scope and week filters on later scans.
     obs = Observation("etl_audit")
     order = [c for c in (YEAR, AREA, "week") if c in out.columns]
-    out = (out.hint("rebalance", YEAR)
-           .observe(obs, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_orphan")).alias("orphan_rows"))
+    if not feed_by_year:
+        out = out.hint("rebalance", YEAR)
+    out = (out.observe(obs, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_orphan")).alias("orphan_rows"))
            .drop("_orphan")
            .sortWithinPartitions(*order))
     out.write.mode("overwrite").partitionBy(YEAR).parquet(path)
@@ -104,12 +111,17 @@ def run_pipeline(spark, feed_path: str, population_path: str, out_root: str,
     from ..sources.parquet import read_table
     from ..sources.refresh import publish
 
+    from ..config import FEED_COLUMNS
+    from ..sources.store import partition_columns
+
     raw = read_table(spark, feed_path, what="weekly feed")
     pop = read_table(spark, population_path, what="population table")
+    parts = partition_columns(spark, feed_path)
+    by_year = bool(parts) and FEED_COLUMNS.get(parts[0], parts[0]) == YEAR
     audit: dict = {}
 
     def _write(path: str):
-        audit.update(write_master(raw, pop, cfg, path))
+        audit.update(write_master(raw, pop, cfg, path, feed_by_year=by_year))
 
     ok, msg = publish(spark, out_root, _write,
                       required=[AREA, YEAR, AGE_GROUP, VISITS, POPULATION, RATE])

@@ -90,3 +90,23 @@ def test_pipeline_publish_and_failed_refresh_keeps_old(spark, scratch):
     from epiwatch.sources.parquet import MissingInputError
     with pytest.raises(MissingInputError):
         run_pipeline(spark, f"{scratch}/nope", f"{scratch}/pop", f"{scratch}/master", C.surveillance_defaults())
+
+
+def test_year_partitioned_feed_gives_same_master(spark, scratch):
+    from epiwatch.sources.store import partition_columns
+    rows = [_row(year=y, week=w) for y in (2018, 2019) for w in (1, 2)]
+    feed = spark.createDataFrame(rows, FEED_SCHEMA)
+    pop = _pop(spark, [("Tomé", y, g, 100.0) for y in (2018, 2019) for g in C.FEED_AGE_COLUMNS.values()])
+    feed.write.partitionBy("Anio").parquet(f"{scratch}/feed_by_year")
+    feed.write.parquet(f"{scratch}/feed_flat")
+    pop.write.parquet(f"{scratch}/pop")
+    assert partition_columns(spark, f"{scratch}/feed_by_year") == ["Anio"]
+    assert partition_columns(spark, f"{scratch}/feed_flat") == []
+    cfg = C.surveillance_defaults()
+    out = {}
+    for name in ("feed_by_year", "feed_flat"):
+        ok, msg, audit = run_pipeline(spark, f"{scratch}/{name}", f"{scratch}/pop", f"{scratch}/m_{name}", cfg)
+        assert ok, msg
+        cols = ["year", "week", "age_group", "visits", "population", "rate"]
+        out[name] = sorted(tuple(r) for r in read_current(spark, f"{scratch}/m_{name}").select(*cols).collect())
+    assert out["feed_by_year"] == out["feed_flat"] and len(out["feed_flat"]) == 20
