@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from ..config import (AGE_GROUP, AREA, CARE_LEVEL, CAUSE, FACILITY, LEVEL_HOSPITAL, LEVEL_PRIMARY,
                       RATE, VISITS, WEEK, Config)
 from ..functions.numeric import exact_mean_2dp, safe_div, stable
+from .rates import optional_eq, year_weeks
 
 
-def _slice(df: DataFrame, year, weeks, area=None, age=None) -> DataFrame:
-    from .rates import optional_eq, year_weeks
+def year_slice(df: DataFrame, year, weeks, area=None, age=None) -> DataFrame:
+    """Rows of one year and week window, optionally one area / age group."""
     out = year_weeks(df, year, weeks)
     out = optional_eq(out, AREA, area)
     return optional_eq(out, AGE_GROUP, age)
@@ -60,27 +61,27 @@ def ranked(df: DataFrame, value: str, keys: Sequence[str], k: int | None = None,
 
 
 def top_areas(m: DataFrame, cfg: Config, year) -> DataFrame:
-    return ranked(mean_rate_by(_slice(m, year, cfg.week_window), [AREA]), RATE, [AREA])
+    return ranked(mean_rate_by(year_slice(m, year, cfg.week_window), [AREA]), RATE, [AREA])
 
 
 def top_causes(m: DataFrame, cfg: Config, year) -> DataFrame:
-    return ranked(mean_rate_by(_slice(m, year, cfg.week_window), [CAUSE]), RATE, [CAUSE], cfg.top_causes)
+    return ranked(mean_rate_by(year_slice(m, year, cfg.week_window), [CAUSE]), RATE, [CAUSE], cfg.top_causes)
 
 
 def top_facilities(m: DataFrame, cfg: Config, year) -> DataFrame:
     keys = [AREA, FACILITY]
-    return ranked(mean_rate_by(_slice(m, year, cfg.week_window), keys), RATE, keys, cfg.top_facilities)
+    return ranked(mean_rate_by(year_slice(m, year, cfg.week_window), keys), RATE, keys, cfg.top_facilities)
 
 
 def top_facilities_by_visits(m: DataFrame, cfg: Config, year, age: str, area=None) -> DataFrame:
     keys = [FACILITY, CARE_LEVEL]
-    agg = visits_by(_slice(m, year, cfg.week_window, area, age), keys)
+    agg = visits_by(year_slice(m, year, cfg.week_window, area, age), keys)
     return ranked(agg, VISITS, keys, cfg.top_facilities)
 
 
 def facility_ranking(m: DataFrame, cfg: Config, year, area: str) -> DataFrame:
     keys = [FACILITY, CARE_LEVEL]
-    return ranked(mean_rate_by(_slice(m, year, cfg.week_window, area), keys), RATE, keys)
+    return ranked(mean_rate_by(year_slice(m, year, cfg.week_window, area), keys), RATE, keys)
 
 
 def total_of(agg: DataFrame, col: str = VISITS):
@@ -94,12 +95,12 @@ def total_of(agg: DataFrame, col: str = VISITS):
 
 def area_share(m: DataFrame, cfg: Config, year) -> DataFrame:
     """Visits per area and share of the total."""
-    by_area = visits_by(_slice(m, year, cfg.week_window), [AREA])
+    by_area = visits_by(year_slice(m, year, cfg.week_window), [AREA])
     return by_area.withColumn("share", stable(safe_div(F.col(VISITS), total_of(by_area))))
 
 
 def mean_rate_profile(m: DataFrame, cfg: Config, year, keys: Sequence[str], area=None, age=None) -> DataFrame:
-    return rounded(mean_rate_by(_slice(m, year, cfg.week_window, area, age), keys), RATE)
+    return rounded(mean_rate_by(year_slice(m, year, cfg.week_window, area, age), keys), RATE)
 
 
 def profile_who(m: DataFrame, cfg: Config, year, area=None, age=None) -> DataFrame:
@@ -122,7 +123,7 @@ def cause_level_profile(m: DataFrame, cfg: Config, year, area=None, age=None) ->
     only global step never sees fact-sized input.  (A semi join against a
     separate top-k subquery would be pushed below the aggregate by Catalyst
     and scan the slice twice.)"""
-    by_level = visits_by(_slice(m, year, cfg.week_window, area, age), [CAUSE, CARE_LEVEL])
+    by_level = visits_by(year_slice(m, year, cfg.week_window, area, age), [CAUSE, CARE_LEVEL])
     per_cause = by_level.withColumn("_t", F.sum(VISITS).over(Window.partitionBy(CAUSE)))
     rank = F.dense_rank().over(Window.orderBy(F.col("_t").desc_nulls_last(), F.col(CAUSE).asc()))
     return (per_cause.withColumn("_r", rank).where(F.col("_r") <= cfg.top_causes)
@@ -131,7 +132,7 @@ def cause_level_profile(m: DataFrame, cfg: Config, year, area=None, age=None) ->
 
 def kpi_totals(m: DataFrame, cfg: Config, year, area=None, age=None) -> DataFrame:
     """Total, hospital and primary-care visits and their shares (percent)."""
-    s = _slice(m, year, cfg.week_window, area, age)
+    s = year_slice(m, year, cfg.week_window, area, age)
     total = F.sum(VISITS)
     hosp = F.sum(F.when(F.col(CARE_LEVEL) == LEVEL_HOSPITAL, F.col(VISITS)).otherwise(0.0))
     prim = F.sum(F.when(F.col(CARE_LEVEL) == LEVEL_PRIMARY, F.col(VISITS)).otherwise(0.0))
@@ -172,7 +173,7 @@ def insights(m: DataFrame, cfg: Config, year, area=None, age=None) -> DataFrame:
 
     One grouping-sets aggregate (cause | age group) feeds one conditional
     global aggregate: a single scan and two small shuffles."""
-    s = _slice(m, year, cfg.week_window, area, age)
+    s = year_slice(m, year, cfg.week_window, area, age)
     both = (s.groupingSets([[CAUSE], [AGE_GROUP]], CAUSE, AGE_GROUP)
             .agg(F.sum(VISITS).alias(VISITS), *_rate_sum_parts(), F.grouping_id().alias("_g"))
             .select(CAUSE, AGE_GROUP, VISITS, "_g", _finish_mean()))
@@ -197,7 +198,7 @@ def overview(m: DataFrame, cfg: Config, year) -> DataFrame:
     grouping-sets aggregate over the slice: one scan, one shuffle of partial
     aggregates, then a rank window partitioned by ranking kind (over the
     aggregated groups only)."""
-    s = _slice(m, year, cfg.week_window)
+    s = year_slice(m, year, cfg.week_window)
     agg = (s.groupingSets([[AREA], [CAUSE], [AREA, FACILITY]], AREA, CAUSE, FACILITY)
            .agg(*_rate_sum_parts(), F.grouping_id().alias("_g"))
            .select(AREA, CAUSE, FACILITY, "_g", _finish_mean()))
@@ -218,7 +219,7 @@ def overview(m: DataFrame, cfg: Config, year) -> DataFrame:
 
 def peak_area(m: DataFrame, cfg: Config, year) -> DataFrame:
     """Area with the highest mean rate (first on ties) and that rate."""
-    by_area = mean_rate_by(_slice(m, year, cfg.week_window), [AREA])
+    by_area = mean_rate_by(year_slice(m, year, cfg.week_window), [AREA])
     return rounded(arg_max(by_area, RATE, AREA).withColumnRenamed("max_" + RATE, RATE), RATE)
 
 
@@ -234,4 +235,4 @@ def head_rows(df: DataFrame, order: Sequence[str], n: int = 5, where: Column | N
 
 
 def week_mean_by(m: DataFrame, cfg: Config, year, key: str, area=None, age=None) -> DataFrame:
-    return rounded(mean_rate_by(_slice(m, year, cfg.week_window, area, age), [WEEK, key]), RATE)
+    return rounded(mean_rate_by(year_slice(m, year, cfg.week_window, area, age), [WEEK, key]), RATE)

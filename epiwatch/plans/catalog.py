@@ -21,13 +21,12 @@ from ..config import (AGE_GROUP, AREA, CARE_LEVEL, CAUSE, FACILITY, FACILITY_TYP
 from ..functions.classify import recode_cause
 from ..functions.numeric import clip_lower, exact_mean_2dp, round_half_even, safe_div, stable
 from ..functions.text import blank_to_null, contains_ci, head_before, is_blank, replace_all, utrim
-from ..operators import channel, forecast, pscore, rankings, trend
+from ..operators import channel, forecast, joins, pscore, rankings, trend
 from ..operators.clean import (blanks_to_null, clean_feed, exclude_causes, filter_service,
                                fix_spelling, standardise_feed)
-from ..operators import joins
-from ..operators.joins import orphan_audit, restrict_population
 from ..operators.rates import (TARGET, baseline_years, eval_year, matched_targets, scoped_series,
                                select_scope)
+from ..operators.reshape import interpolate_linear
 from ..sources import landing
 from .etl import joined, long_visits, normalise_population
 
@@ -35,9 +34,12 @@ CFG: Config = driver_defaults()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
-def query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+def query(fn=None, *, name: str | None = None):
+    """Register ``fn`` under its own name (or ``name``)."""
+    def register(f):
+        QUERIES[name or f.__name__] = f
+        return f
+    return register(fn) if fn is not None else register
 
 
 # -- shared inputs -----------------------------------------------------------
@@ -58,6 +60,12 @@ def _year(m):
     return eval_year(m, CFG)
 
 
+def _series_year(spark, d):
+    """Evaluated year for series-based queries: the configured one, else the
+    latest year of the small weekly cube (no fact-table scan)."""
+    return eval_year(landing.weekly_totals(spark, d, CFG), CFG)
+
+
 def _series(spark, d, by_target=False):
     totals = landing.weekly_totals(spark, d, CFG, by_target)
     return scoped_series(totals, [TARGET] if by_target else [])
@@ -105,7 +113,7 @@ def pop_join(spark, d):
 
 @query
 def population_in_feed(spark, d):
-    return restrict_population(normalise_population(_pop(spark, d)), long_visits(_raw(spark, d), CFG))
+    return joins.restrict_population(normalise_population(_pop(spark, d)), long_visits(_raw(spark, d), CFG))
 
 
 @query
@@ -113,9 +121,9 @@ def area_coverage(spark, d):
     return joins.area_coverage(long_visits(_raw(spark, d), CFG), normalise_population(_pop(spark, d)))
 
 
-@query
-def orphan_audit_q(spark, d):
-    return orphan_audit(joined(_raw(spark, d), _pop(spark, d), CFG))
+@query(name="orphan_audit")
+def orphan_audit_rows(spark, d):
+    return joins.orphan_audit(joined(_raw(spark, d), _pop(spark, d), CFG))
 
 
 @query
@@ -262,7 +270,7 @@ def peak_area(spark, d):
 @query
 def share_of_leading_cause(spark, d):
     m = _m(spark, d)
-    s = rankings._slice(m, _year(m), CFG.week_window)
+    s = rankings.year_slice(m, _year(m), CFG.week_window)
     by_cause = rankings.visits_by(s, [CAUSE])
     total = rankings.total_of(by_cause)
     lead = rankings.arg_max(by_cause, VISITS, CAUSE).select(CAUSE).scalar()
@@ -280,28 +288,23 @@ def weekly_pooled_rate(spark, d):
 
 @query
 def endemic_channel(spark, d):
-    m = _m(spark, d)
-    return channel.round_channel(channel.endemic_channel(_series(spark, d), CFG, _year(m)))
+    return channel.round_channel(channel.endemic_channel(_series(spark, d), CFG, _series_year(spark, d)))
 
 
 @query
 def zone_by_week(spark, d):
-    m = _m(spark, d)
-    return channel.zones(channel.endemic_channel(_series(spark, d), CFG, _year(m)))
+    return channel.zones(channel.endemic_channel(_series(spark, d), CFG, _series_year(spark, d)))
 
 
 @query
 def week_lookup(spark, d):
-    m = _m(spark, d)
-    z = channel.zones(channel.endemic_channel(_series(spark, d), CFG, _year(m)), keep_last_week=True)
+    z = channel.zones(channel.endemic_channel(_series(spark, d), CFG, _series_year(spark, d)), keep_last_week=True)
     return z.where(F.col(WEEK) == F.col("last_week")).drop("last_week")
 
 
 @query
 def interpolated_weeks(spark, d):
-    m = _m(spark, d)
     raw = channel.channel_raw(_series(spark, d), CFG)
-    from ..operators.reshape import interpolate_linear
     return raw.select(SCOPE, WEEK, stable("q2").alias("q2_raw"),
                       stable(interpolate_linear("q2", [SCOPE])).alias("q2"))
 
@@ -313,8 +316,7 @@ def baseline_slice(spark, d):
 
 @query
 def peak_week(spark, d):
-    m = _m(spark, d)
-    cur = _series(spark, d).where(F.col(YEAR) == _year(m))
+    cur = _series(spark, d).where(F.col(YEAR) == _series_year(spark, d))
     return rankings.rounded(rankings.arg_max(cur, RATE, WEEK, [SCOPE]).withColumnRenamed("max_" + RATE, RATE), RATE)
 
 
@@ -322,35 +324,30 @@ def peak_week(spark, d):
 
 @query
 def pscore_weekly(spark, d):
-    m = _m(spark, d)
-    return pscore.round_pscore(pscore.pscore(select_scope(_series(spark, d), GLOBAL_SCOPE), CFG, _year(m)))
+    return pscore.round_pscore(pscore.pscore(select_scope(_series(spark, d), GLOBAL_SCOPE), CFG, _series_year(spark, d)))
 
 
 @query
 def pscore_by_area(spark, d):
-    m = _m(spark, d)
-    return pscore.round_pscore(pscore.pscore(_series(spark, d), CFG, _year(m)))
+    return pscore.round_pscore(pscore.pscore(_series(spark, d), CFG, _series_year(spark, d)))
 
 
 @query
 def pscore_summary(spark, d):
-    m = _m(spark, d)
-    return pscore.pscore_summary(pscore.pscore(_series(spark, d), CFG, _year(m)))
+    return pscore.pscore_summary(pscore.pscore(_series(spark, d), CFG, _series_year(spark, d)))
 
 
 # -- smoothed trend --------------------------------------------------------------
 
 @query
 def moving_average(spark, d):
-    m = _m(spark, d)
-    sm = trend.smoothed(_series(spark, d), _year(m), CFG.smoothing_window)
+    sm = trend.smoothed(_series(spark, d), _series_year(spark, d), CFG.smoothing_window)
     return sm.withColumns({C.RAW_SERIES: stable(C.RAW_SERIES), C.SMOOTH_SERIES: stable(C.SMOOTH_SERIES)})
 
 
 @query
 def moving_average_long(spark, d):
-    m = _m(spark, d)
-    return trend.smoothed_long(trend.smoothed(_series(spark, d), _year(m), CFG.smoothing_window))
+    return trend.smoothed_long(trend.smoothed(_series(spark, d), _series_year(spark, d), CFG.smoothing_window))
 
 
 # -- forecast --------------------------------------------------------------------
@@ -413,7 +410,7 @@ def forecast_cause_kpis(spark, d):
 @query
 def filtered_slice(spark, d):
     m = _m(spark, d)
-    s = rankings._slice(m, _year(m), CFG.week_window, area=_first_area(spark, d))
+    s = rankings.year_slice(m, _year(m), CFG.week_window, area=_first_area(spark, d))
     return s.select(FACILITY, AREA, CAUSE, CARE_LEVEL, AGE_GROUP, YEAR, WEEK, VISITS, POPULATION, RATE)
 
 
@@ -471,6 +468,3 @@ def head_active_rows(spark, d):
     return rankings.head_rows(m, [AREA, YEAR, WEEK, FACILITY, CAUSE, AGE_GROUP], 5,
                               F.col(VISITS) > 0)
 
-
-# The audit query is registered under its operator name.
-QUERIES["orphan_audit"] = QUERIES.pop("orphan_audit_q")
