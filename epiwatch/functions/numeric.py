@@ -34,14 +34,21 @@ def pooled_rate(visits_sum: Column | str, pop_sum: Column | str) -> Column:
     return safe_div(visits_sum, pop_sum) * F.lit(RATE_SCALE)
 
 
+def cents(col: Column | str) -> Column:
+    """A 2-decimal value as an exact integer number of hundredths."""
+    return F.rint(_c(col) * F.lit(100.0)).cast("bigint")
+
+
 def exact_mean_2dp(col: Column | str) -> Column:
-    """Mean of a 2-decimal double column, summed exactly as decimal.
+    """Mean of a 2-decimal double column, summed exactly as integer hundredths.
 
     The sum does not depend on row order, so the mean is bit-identical across
-    partitionings (and across engines).  NULLs are skipped; empty -> NULL.
+    partitionings (and equal to a DECIMAL(18,2) sum).  A bigint buffer keeps
+    the aggregation in primitive, code-generated arithmetic.  NULLs are
+    skipped; empty -> NULL.
     """
     c = _c(col)
-    total = F.sum(c.cast("decimal(18,2)")).cast("double")
+    total = F.sum(cents(c)).cast("double") / F.lit(100.0)
     return total / F.nullif(F.count(c), F.lit(0))
 
 

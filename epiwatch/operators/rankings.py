@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import (AGE_GROUP, AREA, CARE_LEVEL, CAUSE, FACILITY, LEVEL_HOSPITAL, LEVEL_PRIMARY,
                       RATE, VISITS, WEEK, Config)
-from ..functions.numeric import exact_mean_2dp, safe_div, stable
+from ..functions.numeric import cents, exact_mean_2dp, safe_div, stable
 from .rates import optional_eq, year_weeks
 
 
@@ -27,7 +27,7 @@ def year_slice(df: DataFrame, year, weeks, area=None, age=None) -> DataFrame:
 
 
 def mean_rate_by(df: DataFrame, keys: Sequence[str], name: str = RATE) -> DataFrame:
-    """Mean of row rates per key (exact decimal sum), NULL keys dropped.
+    """Mean of row rates per key (exact integer-hundredths sum), NULL keys dropped.
 
     The value is left unrounded so that rankings and arg-max see the exact
     order; ``rounded`` applies the reporting precision at the very end.
@@ -158,13 +158,13 @@ def arg_max(df: DataFrame, value: str, key: str, group: Sequence[str] = ()) -> D
 
 
 def _rate_sum_parts():
-    """Exact-mean parts (decimal sum, count) so means can be finished after a
+    """Exact-mean parts (sum of hundredths, count) so means can be finished after a
     grouping-sets aggregate."""
-    return [F.sum(F.col(RATE).cast("decimal(18,2)")).alias("_rs"), F.count(RATE).alias("_rn")]
+    return [F.sum(cents(RATE)).alias("_rs"), F.count(RATE).alias("_rn")]
 
 
 def _finish_mean(name: str = RATE) -> Column:
-    return (F.col("_rs").cast("double") / F.nullif(F.col("_rn"), F.lit(0))).alias(name)
+    return (F.col("_rs").cast("double") / F.lit(100.0) / F.nullif(F.col("_rn"), F.lit(0))).alias(name)
 
 
 def insights(m: DataFrame, cfg: Config, year, area=None, age=None) -> DataFrame:
