@@ -24,8 +24,7 @@ from ..functions.text import blank_to_null, contains_ci, head_before, is_blank,
 from ..operators import channel, forecast, joins, pscore, rankings, trend
 from ..operators.clean import (blanks_to_null, clean_feed, exclude_causes, filter_service,
                                fix_spelling, standardise_feed)
-from ..operators.rates import (TARGET, baseline_years, eval_year, matched_targets, scoped_series,
-                               select_scope)
+from ..operators.rates import TARGET, baseline_years, eval_year, matched_targets, select_scope
 from ..operators.reshape import interpolate_linear
 from ..sources import landing
 from .etl import joined, long_visits, normalise_population
@@ -63,18 +62,18 @@ def _year(m):
 def _series_year(spark, d):
     """Evaluated year for series-based queries: the configured one, else the
     latest year of the small weekly cube (no fact-table scan)."""
-    return eval_year(landing.weekly_totals(spark, d, CFG), CFG)
+    return eval_year(landing.weekly_series(spark, d, CFG), CFG)
 
 
 def _series(spark, d, by_target=False):
-    totals = landing.weekly_totals(spark, d, CFG, by_target)
-    return scoped_series(totals, [TARGET] if by_target else [])
+    return landing.weekly_series(spark, d, CFG, by_target)
 
 
 def _first_area(spark, d):
     """First territory in sorted order (the selector default), read from the
     small weekly cube instead of scanning the fact table."""
-    return landing.weekly_totals(spark, d, CFG).select(F.min(AREA)).scalar()
+    return (landing.weekly_series(spark, d, CFG).where(F.col(SCOPE) != GLOBAL_SCOPE)
+            .select(F.min(SCOPE)).scalar())
 
 
 def _first_age_group():

@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import Config, driver_defaults
-from ..operators.rates import area_week_totals
+from ..operators.rates import TARGET, area_week_totals, scoped_series
 from ..plans.etl import dashboard_view, write_master
 from . import driver_tables
 from .store import fingerprint, materialise, materialise_df
 
 # Bump when the landing or ETL logic changes, so stored tables are rebuilt.
-STORE_VERSION = "4"
+STORE_VERSION = "5"
 
 RAW_SOURCES = ("lineitem", "orders", "customer", "supplier", "nation", "region", "part")
 POP_SOURCES = ("customer", "nation", "orders")
@@ -53,16 +53,24 @@ def master(spark: SparkSession, sf_dir: str, cfg: Config | None = None) -> DataF
     return spark.read.parquet(path)
 
 
-def weekly_totals(spark: SparkSession, sf_dir: str, cfg: Config | None = None,
+def weekly_series(spark: SparkSession, sf_dir: str, cfg: Config | None = None,
                   by_target: bool = False) -> DataFrame:
-    """The shared weekly cube: visits and population per (area[, cause target],
-    year, week), aggregated from the master once per master version and kept
-    as a small table; every series-based query (channel, P-Score, trend,
-    forecast) reads it instead of re-aggregating the fact table."""
+    """The shared weekly cube: visits, population and pooled rate per
+    (scope[, cause target], year, week) -- every area plus the "Global"
+    roll-up -- aggregated from the master once per master version and kept as
+    a small table.  Every series-based query (channel, P-Score, trend,
+    forecast) reads it instead of re-aggregating the fact table.
+
+    The table is a few rows per scope-week, so it is also cached: later scans
+    of the same path are served from memory (Spark's cache manager matches
+    them), and a lost executor only means re-reading the small file."""
     cfg = cfg or driver_defaults()
     key = _master_key(spark, sf_dir, cfg) + ("-t" if by_target else "")
-    return materialise_df(spark, "weekly", key,
-                          lambda: area_week_totals(analysed(spark, sf_dir, cfg), cfg, by_target))
+    extra = [TARGET] if by_target else []
+    df = materialise_df(spark, "weekly", key,
+                        lambda: scoped_series(area_week_totals(analysed(spark, sf_dir, cfg), cfg, by_target),
+                                              extra))
+    return df.cache()
 
 
 def analysed(spark: SparkSession, sf_dir: str, cfg: Config | None = None) -> DataFrame:
