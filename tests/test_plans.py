@@ -65,3 +65,30 @@ def test_every_window_is_partitioned_by_series(spark, name):
     assert specs, name
     for spec in specs:
         assert "scope" in spec, (name, spec)   # never an un-partitioned (single-task) window
+
+
+def _scans(plan) -> list[str]:
+    """File scans executed by an adaptive plan (reused exchanges do not re-scan)."""
+    out = []
+    name = plan.nodeName()
+    if name.startswith("Scan"):
+        out.append(plan.toString())
+    if name == "AdaptiveSparkPlan":
+        out += _scans(plan.executedPlan())
+    if "QueryStage" in name:
+        out += _scans(plan.plan())
+    it = plan.children().iterator()
+    while it.hasNext():
+        out += _scans(it.next())
+    sub = plan.subqueries().iterator()
+    while sub.hasNext():
+        out += _scans(sub.next())
+    return out
+
+
+def test_fact_table_scanned_at_most_once_per_query(spark):
+    for name, fn in catalog.QUERIES.items():
+        df = fn(spark, SF)
+        df.collect()
+        master_scans = [s for s in _scans(df._jdf.queryExecution().executedPlan()) if "/master-" in s]
+        assert len(master_scans) <= 1, (name, len(master_scans))
