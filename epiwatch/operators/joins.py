@@ -18,24 +18,30 @@ POPULATION_KEYS = (AREA, YEAR, AGE_GROUP)
 
 def estimated_size_bytes(df: DataFrame) -> int:
     """Optimizer size estimate of ``df`` (no job is run)."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(stats.sizeInBytes().toString())
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return size if isinstance(size, int) else int(size.toString())
+
+
+_UNITS = {"b": 1, "k": 1024, "kb": 1024, "m": 1024 ** 2, "mb": 1024 ** 2, "g": 1024 ** 3, "gb": 1024 ** 3}
 
 
 def broadcast_limit(df: DataFrame) -> int:
-    conf = df.sparkSession.conf
-    raw = conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    """The session's auto-broadcast threshold in bytes (<= 0: broadcasts off)."""
+    raw = str(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")).strip().lower()
+    num = raw.rstrip("bkmg")
+    unit = raw[len(num):] or "b"
     try:
-        limit = int(str(raw).strip().lower().rstrip("b"))
+        return int(float(num) * _UNITS.get(unit, 1))
     except ValueError:
-        limit = 10 * 1024 * 1024
-    return limit if limit > 0 else 10 * 1024 * 1024
+        return 10 * 1024 * 1024
 
 
 def broadcast_if_small(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Hint ``broadcast`` only when the estimated size is within ``max_bytes``
-    (default: the session's auto-broadcast threshold)."""
+    (default: the session's auto-broadcast threshold; none when disabled)."""
     limit = max_bytes if max_bytes is not None else broadcast_limit(df)
+    if limit <= 0:
+        return df
     try:
         size = estimated_size_bytes(df)
     except Exception:  # estimate unavailable: leave the choice to Spark/AQE

@@ -92,3 +92,20 @@ def test_fact_table_scanned_at_most_once_per_query(spark):
         df.collect()
         master_scans = [s for s in _scans(df._jdf.queryExecution().executedPlan()) if "/master-" in s]
         assert len(master_scans) <= 1, (name, len(master_scans))
+
+
+def test_broadcast_hint_respects_threshold(spark):
+    from epiwatch.operators.joins import broadcast_if_small, broadcast_limit
+    small = spark.range(10)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+        assert broadcast_limit(small) == 10 * 1024 * 1024
+        assert "broadcast" in broadcast_if_small(small)._jdf.queryExecution().logical().toString().lower()
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert "broadcast" not in broadcast_if_small(small)._jdf.queryExecution().logical().toString().lower()
+        big = spark.range(10 ** 9)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+        assert "broadcast" not in broadcast_if_small(big)._jdf.queryExecution().logical().toString().lower()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
