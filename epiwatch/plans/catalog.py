@@ -364,44 +364,45 @@ def training_slice(spark, d):
     return rankings.rounded(forecast.training_rows(s, [SCOPE], CFG), RATE)
 
 
+def _forecasts(spark, d, by_target=False):
+    return landing.forecasts(spark, d, CFG, by_target)
+
+
 @query
 def wls_forecast(spark, d):
-    s = select_scope(_series(spark, d), GLOBAL_SCOPE)
-    return forecast.round_forecast(forecast.forecast(s, [SCOPE], CFG))
+    return forecast.round_forecast(select_scope(_forecasts(spark, d), GLOBAL_SCOPE))
 
 
 @query
 def forecast_by_area(spark, d):
-    return forecast.round_forecast(forecast.forecast(_series(spark, d), [SCOPE], CFG))
+    return forecast.round_forecast(_forecasts(spark, d))
 
 
 @query
 def forecast_exceedance(spark, d):
-    fc = forecast.forecast(_series(spark, d), [SCOPE], CFG)
-    return forecast.round_forecast(fc).select(SCOPE, forecast.TARGET_YEAR, WEEK, "projected", "q3", "over_q3")
+    fc = forecast.round_forecast(_forecasts(spark, d))
+    return fc.select(SCOPE, forecast.TARGET_YEAR, WEEK, "projected", "q3", "over_q3")
 
 
 @query
 def forecast_eval(spark, d):
-    ev = forecast.evaluation(forecast.forecast(_series(spark, d), [SCOPE], CFG), [SCOPE])
+    ev = forecast.evaluation(_forecasts(spark, d), [SCOPE])
     return ev.withColumns({"mae": stable("mae"), "mape": stable("mape")})
 
 
 @query
 def forecast_kpis(spark, d):
-    return forecast.kpis(forecast.forecast(_series(spark, d), [SCOPE], CFG), [SCOPE])
+    return forecast.kpis(_forecasts(spark, d), [SCOPE])
 
 
 @query
 def forecast_by_cause(spark, d):
-    s = _series(spark, d, by_target=True)
-    return forecast.round_forecast(forecast.forecast(s, [SCOPE, TARGET], CFG))
+    return forecast.round_forecast(_forecasts(spark, d, by_target=True))
 
 
 @query
 def forecast_cause_kpis(spark, d):
-    s = _series(spark, d, by_target=True)
-    return forecast.kpis(forecast.forecast(s, [SCOPE, TARGET], CFG), [SCOPE, TARGET])
+    return forecast.kpis(_forecasts(spark, d, by_target=True), [SCOPE, TARGET])
 
 
 # -- filters and scalar functions ------------------------------------------------

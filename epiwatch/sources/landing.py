@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import Config, driver_defaults
+from ..operators.forecast import forecast
 from ..operators.rates import TARGET, area_week_totals, scoped_series
 from ..plans.etl import dashboard_view, write_master
 from . import driver_tables
@@ -73,6 +74,20 @@ def weekly_series(spark: SparkSession, sf_dir: str, cfg: Config | None = None,
     return df.cache()
 
 
+def forecasts(spark: SparkSession, sf_dir: str, cfg: Config | None = None,
+              by_target: bool = False) -> DataFrame:
+    """The harmonic forecast of every series (scope[, cause target]) and target
+    year, computed in one job from the weekly cube and stored once per master
+    version (values unrounded); forecast tables, evaluations and KPIs are
+    derived from it.  Small (52 rows per series), so it is cached as well."""
+    cfg = cfg or driver_defaults()
+    key = _master_key(spark, sf_dir, cfg) + ("-t" if by_target else "")
+    keys = ["scope", TARGET] if by_target else ["scope"]
+    df = materialise_df(spark, "forecast", key,
+                        lambda: forecast(weekly_series(spark, sf_dir, cfg, by_target), keys, cfg))
+    return df.cache()
+
+
 def analysed(spark: SparkSession, sf_dir: str, cfg: Config | None = None) -> DataFrame:
     """Master as the analytics see it (recoded cause, care level)."""
     cfg = cfg or driver_defaults()

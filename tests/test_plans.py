@@ -56,10 +56,19 @@ def _window_specs(plan) -> list[str]:
     return out
 
 
-@pytest.mark.parametrize("name", ["forecast_by_area", "forecast_by_cause", "endemic_channel", "moving_average",
+def _forecast_plan(spark, by_target):
+    from epiwatch.operators import forecast
+    keys = ["scope", "target"] if by_target else ["scope"]
+    return forecast.forecast(landing.weekly_series(spark, SF, driver_defaults(), by_target), keys, driver_defaults())
+
+
+@pytest.mark.parametrize("name", ["forecast", "forecast_by_cause", "endemic_channel", "moving_average",
                                   "zone_by_week"])
 def test_every_window_is_partitioned_by_series(spark, name):
-    df = catalog.QUERIES[name](spark, SF)
+    if name.startswith("forecast"):
+        df = _forecast_plan(spark, name.endswith("cause"))
+    else:
+        df = catalog.QUERIES[name](spark, SF)
     df.collect()
     specs = _window_specs(df._jdf.queryExecution().executedPlan())
     assert specs, name
