@@ -8,12 +8,13 @@ the residual are updated, and the fit accumulates ``b_r * x_j``.  Rows with
 weight 0 (the future weeks) do not influence the sums but are transformed with
 the same coefficients, so their ``fit`` is the prediction ``x_future . b``.
 
-The plan is one hash exchange on the series keys and six stacked Window
-operators over the same partitioning; no Python, no driver loop.  Series that
-are rank-deficient (a column collapses to ~0 after orthogonalisation, or fewer
-training rows than columns) are flagged; their minimum-norm solution is
-computed by ``fallback_fit`` with ``applyInPandas`` (numpy ``lstsq``), one small
-group per series.
+The plan is one hash exchange on the series keys and seven stacked Window
+operators (column norms, then six elimination steps) over the same
+partitioning; no Python, no driver loop.  Series that are rank-deficient (a
+column collapses to ~0 after orthogonalisation, or fewer training rows than
+columns) are flagged; their minimum-norm solution is computed by
+``fallback_fit`` with ``applyInPandas`` (numpy ``lstsq``), one small group per
+series.
 """
 
 from __future__ import annotations
