@@ -1,8 +1,11 @@
-"""Landed inputs and the published master for a folder of test tables.
-
-``land`` writes the raw weekly feed and the population table derived from the
-star-schema tables (the role of the downloaded files), ``master`` runs the ETL
-once per input fingerprint and returns a scan of the published fact.
+"""Landed inputs, the published master and its derived tables for a folder of
+test tables.
+
+``raw_feed`` / ``population`` land the weekly feed and the population table
+derived from the star-schema tables (the role of the downloaded files);
+``master`` runs the ETL; ``weekly_series`` and ``forecasts`` hold the shared
+weekly cube and the all-series forecast.  Each is written once per input
+fingerprint (sources.store) and then scanned with pruning and pushdown.
 """
 
 from __future__ import annotations

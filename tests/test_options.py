@@ -50,3 +50,11 @@ def test_required_only_drop_variant(spark):
     df = spark.createDataFrame([("a", None, 1.0), ("b", "x", None), (None, "y", 2.0)], "k string, lat string, v double")
     assert drop_incomplete(df).count() == 0
     assert drop_incomplete(df, ["k", "v"]).count() == 1
+
+
+def test_training_years_slice(spark):
+    from epiwatch.operators.rates import training_years
+    cfg = C.Config(excluded_years=(2020, 2021, 2022))
+    df = spark.createDataFrame([(y,) for y in range(2018, 2026)], "year int")
+    got = sorted(r.year for r in training_years(df, cfg, 2025).collect())
+    assert got == [2018, 2019, 2023, 2024]
