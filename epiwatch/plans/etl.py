@@ -50,17 +50,22 @@ def with_rates(df: DataFrame) -> DataFrame:
             .withColumn(RATE, row_rate(F.col(VISITS), F.col(POPULATION))))
 
 
-def master_column_order(df: DataFrame) -> list[str]:
-    tail = [VISITS, AGE_GROUP, POPULATION]
-    ids = [c for c in df.columns if c not in tail + [RATE]]
-    pop_extras = []  # extra population columns arrive after population via the join
-    return ids + tail + pop_extras + [RATE]
+def population_extras(pop: DataFrame) -> list[str]:
+    """Population columns other than the join keys and the population itself;
+    they flow into the master after ``population`` (a left merge appends them)."""
+    return [c for c in normalise_population(pop).columns if c not in (AREA, YEAR, AGE_GROUP, POPULATION)]
+
+
+def master_column_order(df: DataFrame, extras: list[str]) -> list[str]:
+    tail = [VISITS, AGE_GROUP, POPULATION] + extras
+    ids = [c for c in df.columns if c not in tail + [RATE, "_orphan"]]
+    return ids + tail + [RATE]
 
 
 def build_master(raw: DataFrame, pop: DataFrame, cfg: Config) -> DataFrame:
     """The master fact as a lazy DataFrame."""
     df = with_rates(joined(raw, pop, cfg))
-    return df.select(*master_column_order(df))
+    return df.select(*master_column_order(df, population_extras(pop)))
 
 
 def write_master(raw: DataFrame, pop: DataFrame, cfg: Config, path: str,
@@ -77,7 +82,7 @@ def write_master(raw: DataFrame, pop: DataFrame, cfg: Config, path: str,
     """
     df = joined(raw, pop, cfg).withColumn("_orphan", F.col(POPULATION).isNull())
     out = with_rates(df)
-    out = out.select(*master_column_order(out.drop("_orphan")), "_orphan")
+    out = out.select(*master_column_order(out, population_extras(pop)), "_orphan")
     # Rebalance on the year directory: AQE splits a hot year into several
     # advisory-sized tasks and merges small ones, so a task writes few
     # directories with few, large files, and no sampling pass re-runs the

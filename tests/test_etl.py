@@ -110,3 +110,13 @@ def test_year_partitioned_feed_gives_same_master(spark, scratch):
         cols = ["year", "week", "age_group", "visits", "population", "rate"]
         out[name] = sorted(tuple(r) for r in read_current(spark, f"{scratch}/m_{name}").select(*cols).collect())
     assert out["feed_by_year"] == out["feed_flat"] and len(out["feed_flat"]) == 20
+
+
+def test_extra_population_columns_flow_after_population(spark):
+    feed = spark.createDataFrame([_row()], FEED_SCHEMA)
+    pop = spark.createDataFrame([("Tomé", 2019, g, 100.0, "proj-2017") for g in C.FEED_AGE_COLUMNS.values()],
+                                "ComunaGlosa string, Anio int, grupo_etario string, Poblacion double, fuente string")
+    m = build_master(feed, pop, C.surveillance_defaults())
+    cols = m.columns
+    assert cols[-1] == "rate" and cols.index("fuente") == cols.index("population") + 1
+    assert {r.fuente for r in m.collect()} == {"proj-2017"}
