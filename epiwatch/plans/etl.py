@@ -68,34 +68,38 @@ def build_master(raw: DataFrame, pop: DataFrame, cfg: Config) -> DataFrame:
     return df.select(*master_column_order(df, population_extras(pop)))
 
 
-def write_master(raw: DataFrame, pop: DataFrame, cfg: Config, path: str,
-                 feed_by_year: bool = False) -> dict:
-    """Run the ETL and write the master (A4), partitioned by year.
-
-    The orphan audit (D3) is collected with ``observe`` during the same pass,
-    so the audit costs no extra scan.  Returns the audit numbers.
+def master_for_write(raw: DataFrame, pop: DataFrame, cfg: Config, feed_by_year: bool = False,
+                     observation: Observation | None = None) -> DataFrame:
+    """The master rows exactly as ``write_master`` writes them.
 
     ``feed_by_year``: the feed is stored partitioned by year, so every scan
     task holds one year and writes one directory -- the ETL runs without any
     shuffle (the population side is broadcast).  Otherwise the rows are
-    rebalanced on the year first, so tasks do not each write every year.
+    rebalanced on the year first (AQE splits a hot year into advisory-sized
+    tasks and merges small ones), so tasks do not each write every year.
+    Inside a task rows are sorted by area and week, so row-group statistics
+    prune scope and week filters on later scans.  The orphan audit (D3) is an
+    ``observe`` above any exchange, so no pass counts rows twice.
     """
     df = joined(raw, pop, cfg).withColumn("_orphan", F.col(POPULATION).isNull())
     out = with_rates(df)
     out = out.select(*master_column_order(out, population_extras(pop)), "_orphan")
-    # Rebalance on the year directory: AQE splits a hot year into several
-    # advisory-sized tasks and merges small ones, so a task writes few
-    # directories with few, large files, and no sampling pass re-runs the
-    # pipeline.  Inside a task rows are sorted by area and week, so row-group
-    # statistics prune scope and week filters on later scans.
-    obs = Observation("etl_audit")
-    order = [c for c in (YEAR, AREA, "week") if c in out.columns]
     if not feed_by_year:
         out = out.hint("rebalance", YEAR)
-    out = (out.observe(obs, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_orphan")).alias("orphan_rows"))
-           .drop("_orphan")
-           .sortWithinPartitions(*order))
-    out.write.mode("overwrite").partitionBy(YEAR).parquet(path)
+    if observation is not None:
+        out = out.observe(observation, F.count(F.lit(1)).alias("rows"),
+                          F.count_if(F.col("_orphan")).alias("orphan_rows"))
+    order = [c for c in (YEAR, AREA, "week") if c in out.columns]
+    return out.drop("_orphan").sortWithinPartitions(*order)
+
+
+def write_master(raw: DataFrame, pop: DataFrame, cfg: Config, path: str,
+                 feed_by_year: bool = False) -> dict:
+    """Run the ETL and write the master (A4), partitioned by year; returns the
+    orphan audit collected during the same pass (no extra scan)."""
+    obs = Observation("etl_audit")
+    (master_for_write(raw, pop, cfg, feed_by_year, obs)
+     .write.mode("overwrite").partitionBy(YEAR).parquet(path))
     return dict(obs.get)
 
 

@@ -118,3 +118,14 @@ def test_broadcast_hint_respects_threshold(spark):
         assert "broadcast" not in broadcast_if_small(big)._jdf.queryExecution().logical().toString().lower()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_etl_on_year_partitioned_feed_has_no_shuffle(spark):
+    from epiwatch.plans.etl import master_for_write
+    raw, pop = landing.raw_feed(spark, SF), landing.population(spark, SF)
+    plan = master_for_write(raw, pop, driver_defaults(), feed_by_year=True)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    # the only exchange is the broadcast of the population table
+    assert plan.count("Exchange") == plan.count("BroadcastExchange") >= 1
+    flat = master_for_write(raw, pop, driver_defaults(), feed_by_year=False)._jdf.queryExecution().executedPlan().toString()
+    assert flat.count("Exchange") > flat.count("BroadcastExchange")
