@@ -117,17 +117,15 @@ def top_causes_by_visits(s: DataFrame, k: int) -> DataFrame:
 def cause_level_profile(m: DataFrame, cfg: Config, year, area=None, age=None) -> DataFrame:
     """Visits by cause x care level, restricted to the top-k causes.
 
-    The slice is scanned and aggregated once.  Cause totals are a window
-    partitioned by cause over that aggregate; the top-k cut ranks the
-    aggregated cause x level rows (at most #causes x #levels rows), so the
-    only global step never sees fact-sized input.  (A semi join against a
-    separate top-k subquery would be pushed below the aggregate by Catalyst
-    and scan the slice twice.)"""
+    The slice is scanned and aggregated once: the cause totals are rolled up
+    from the cause x level aggregate (Spark reuses its exchange), the top-k is
+    a per-task heap (TakeOrderedAndProject), and the k causes -- a list whose
+    size is the configured k -- are broadcast into an inner join.  (A semi
+    join would be pushed below the aggregate and scan the slice twice.)"""
     by_level = visits_by(year_slice(m, year, cfg.week_window, area, age), [CAUSE, CARE_LEVEL])
-    per_cause = by_level.withColumn("_t", F.sum(VISITS).over(Window.partitionBy(CAUSE)))
-    rank = F.dense_rank().over(Window.orderBy(F.col("_t").desc_nulls_last(), F.col(CAUSE).asc()))
-    return (per_cause.withColumn("_r", rank).where(F.col("_r") <= cfg.top_causes)
-            .select(CAUSE, CARE_LEVEL, VISITS))
+    top = ranked(by_level.groupBy(CAUSE).agg(F.sum(VISITS).alias("_t")), "_t", [CAUSE],
+                 cfg.top_causes, round_value=False).select(CAUSE)
+    return by_level.join(F.broadcast(top), CAUSE).select(CAUSE, CARE_LEVEL, VISITS)
 
 
 def kpi_totals(m: DataFrame, cfg: Config, year, area=None, age=None) -> DataFrame:
@@ -195,26 +193,42 @@ def insights(m: DataFrame, cfg: Config, year, area=None, age=None) -> DataFrame:
 
 def overview(m: DataFrame, cfg: Config, year) -> DataFrame:
     """Area ranking, top-k causes and top-k facilities from one
-    grouping-sets aggregate over the slice: one scan, one shuffle of partial
-    aggregates, then a rank window partitioned by ranking kind (over the
-    aggregated groups only)."""
+    grouping-sets aggregate over the slice: one scan and one shuffle of
+    partial aggregates; each ranking is then a sort (areas) or a per-task
+    top-k heap (causes, facilities) over the aggregated groups."""
     s = year_slice(m, year, cfg.week_window)
     agg = (s.groupingSets([[AREA], [CAUSE], [AREA, FACILITY]], AREA, CAUSE, FACILITY)
            .agg(*_rate_sum_parts(), F.grouping_id().alias("_g"))
-           .select(AREA, CAUSE, FACILITY, "_g", _finish_mean()))
-    # grouping_id bits follow (area, cause, facility); a set bit = grouped away
-    kind = (F.when(F.col("_g") == 3, F.lit("areas")).when(F.col("_g") == 5, F.lit("causes"))
-            .otherwise(F.lit("facilities")))
-    key = F.when(F.col("_g") == 5, F.col(CAUSE)).otherwise(F.col(AREA))
-    key2 = F.when(F.col("_g") == 2, F.col(FACILITY))
-    rows = agg.select(kind.alias("ranking"), key.alias("key"), key2.alias("key2"), RATE)
-    rows = rows.where(F.col("key").isNotNull() & ((F.col("ranking") != "facilities") | F.col("key2").isNotNull()))
-    w = Window.partitionBy("ranking").orderBy(F.col(RATE).desc_nulls_last(), F.col("key").asc(), F.col("key2").asc())
-    limit = (F.when(F.col("ranking") == "causes", F.lit(cfg.top_causes))
-             .when(F.col("ranking") == "facilities", F.lit(cfg.top_facilities)))
-    return (rows.withColumn("_rn", F.row_number().over(w))
-            .where(limit.isNull() | (F.col("_rn") <= limit))
-            .select("ranking", "key", "key2", stable(RATE).alias(RATE)))
+           .select(AREA, CAUSE, FACILITY, "_g", "_rn", _finish_mean()))
+
+    def kind(gid: int, keys: list[str]) -> DataFrame:
+        # grouping_id bits follow (area, cause, facility); a set bit = grouped
+        # away.  The whole test also reads an aggregate output (_rn), so
+        # Catalyst cannot push any part of it below the aggregate: the three
+        # branches keep one identical aggregate and share its exchange (one
+        # scan of the slice).
+        cond = F.col("_g") == gid
+        for k in keys:
+            cond = cond & F.col(k).isNotNull()
+        return agg.where(F.when(F.col("_rn") >= 0, cond).otherwise(F.lit(False)))
+
+    null_s = F.lit(None).cast("string")
+    cols = ["ranking", "key", "key2", RATE]
+    areas = ranked(kind(3, [AREA]), RATE, [AREA])
+    causes = ranked(kind(5, [CAUSE]), RATE, [CAUSE], cfg.top_causes)
+    facs = ranked(kind(2, [AREA, FACILITY]), RATE, [AREA, FACILITY], cfg.top_facilities)
+    # An always-empty first branch holds the aggregate's original attribute
+    # ids, so the three real branches are renewed copies of one identical
+    # plan and share a single exchange (the optimizer drops the empty branch).
+    empty = agg.where(F.lit(False)).select(null_s.alias("ranking"), null_s.alias("key"), null_s.alias("key2"), RATE)
+    return (empty
+            .unionByName(areas.select(F.lit("areas").alias("ranking"), F.col(AREA).alias("key"),
+                                      null_s.alias("key2"), RATE))
+            .unionByName(causes.select(F.lit("causes").alias("ranking"), F.col(CAUSE).alias("key"),
+                                       null_s.alias("key2"), RATE))
+            .unionByName(facs.select(F.lit("facilities").alias("ranking"), F.col(AREA).alias("key"),
+                                     F.col(FACILITY).alias("key2"), RATE))
+            .select(*cols))
 
 
 def peak_area(m: DataFrame, cfg: Config, year) -> DataFrame:
