@@ -100,3 +100,18 @@ def test_partition_count_does_not_change_results(spark, published):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert a == b
+
+
+def test_profiles_and_filters(published):
+    m, cfg = published
+    who_all = api.profile(m, cfg, "who", year=2024).collect()
+    assert {r.age_group for r in who_all} == set(C.FEED_AGE_COLUMNS.values())
+    who_age = api.profile(m, cfg, "who", year=2024, age="65oMas").collect()
+    assert len(who_age) == 3 and all(r.visits > 0 for r in who_age)          # facilities by visits
+    by_level = api.profile(m, cfg, "causes_by_level", year=2024, weeks=(1, 10)).collect()
+    assert {r.cause for r in by_level} <= {"Influenza", "Neumonía", "IRA Alta"}
+    ins = api.insights(m, cfg, year=2024, area="Sur", age="1a4Anios").collect()[0]
+    assert ins.leading_age_group == "1a4Anios" and ins.total_visits > 0
+    assert api.ranking(m, cfg, "facilities_in_area", year=2024, area="Sur").count() == 1
+    long = api.smoothed(m, cfg, scope=C.GLOBAL_SCOPE, long=True, window=3).collect()
+    assert {r.series for r in long} == {C.RAW_SERIES, C.SMOOTH_SERIES}
