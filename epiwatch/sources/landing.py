@@ -17,7 +17,7 @@ from ..operators.forecast import forecast
 from ..operators.rates import TARGET, area_week_totals, scoped_series
 from ..plans.etl import dashboard_view, write_master
 from . import driver_tables
-from .store import fingerprint, materialise, materialise_df
+from .store import fingerprint, materialise, materialise_df, read_published
 
 # Bump when the landing or ETL logic changes, so stored tables are rebuilt.
 STORE_VERSION = "6"
@@ -54,7 +54,7 @@ def master(spark: SparkSession, sf_dir: str, cfg: Config | None = None) -> DataF
     path = materialise(spark, "master", _master_key(spark, sf_dir, cfg),
                        lambda p: write_master(raw_feed(spark, sf_dir), population(spark, sf_dir), cfg, p,
                                               feed_by_year=True))
-    return spark.read.parquet(path)
+    return read_published(spark, path)
 
 
 def weekly_series(spark: SparkSession, sf_dir: str, cfg: Config | None = None,
