@@ -98,6 +98,26 @@ def area_week_totals(master: DataFrame, cfg: Config, by_target: bool = False) ->
             .agg(F.sum(VISITS).alias(VISITS), F.sum(POPULATION).alias(POPULATION)))
 
 
+def cause_week_totals(master: DataFrame) -> DataFrame:
+    """Visits and population per (area, cause, year, week): the one fact-table
+    aggregate from which every row-sum series (all causes, or per cause
+    target) is rolled up."""
+    return (master.groupBy(AREA, CAUSE, YEAR, WEEK)
+            .agg(F.sum(VISITS).alias(VISITS), F.sum(POPULATION).alias(POPULATION)))
+
+
+def totals_from_cause_cube(cube: DataFrame, cfg: Config, by_target: bool = False) -> DataFrame:
+    """``area_week_totals`` for the row-sum denominator, rolled up from the
+    (area, cause, year, week) cube instead of the fact table."""
+    keys = [AREA]
+    df = cube
+    if by_target:
+        df = cube.select("*", F.explode(matched_targets(F.col(CAUSE), cfg.target_causes)).alias(TARGET))
+        keys.append(TARGET)
+    return (df.groupBy(*keys, YEAR, WEEK)
+            .agg(F.sum(VISITS).alias(VISITS), F.sum(POPULATION).alias(POPULATION)))
+
+
 def scoped_series(totals: DataFrame, extra_keys: Sequence[str] = ()) -> DataFrame:
     """Per-area rows plus a "Global" roll-up: (scope, *extra, year, week, visits,
     population, rate).  Filtering on ``scope`` prunes the unused branch."""
