@@ -41,7 +41,9 @@ def regime_weight(year: Column, cfg: Config) -> Column:
 def training_rows(series: DataFrame, keys: Sequence[str], cfg: Config) -> DataFrame:
     """B17 + B19 for every target year: each row is repeated for the target
     years it trains (an array filter + explode; no join)."""
-    targets = F.array(*[F.lit(t) for t in cfg.target_years])
+    if not cfg.target_years:
+        raise ValueError("no target years configured for the forecast")
+    targets = F.array(*[F.lit(int(t)) for t in cfg.target_years])
     applies = F.filter(targets, lambda t: F.col(YEAR) < t)
     return (series.where(~F.col(YEAR).isin(list(cfg.excluded_years)) & F.col(RATE).isNotNull())
             .select(*keys, F.explode(applies).alias(TARGET_YEAR), YEAR, WEEK, RATE))

@@ -66,7 +66,9 @@ def matched_targets(cause: Column, targets: Sequence[str]) -> Column:
     The relational reading of a loop of substring filters: a theta join with a
     fixed target list, written as an array filter so no join is planned.
     """
-    arr = F.array(*[F.lit(t) for t in targets])
+    if not targets:
+        raise ValueError("no cause targets configured")
+    arr = F.array(*[F.lit(str(t)) for t in targets])
     return F.filter(arr, lambda t: contains_ci(cause, t))
 
 

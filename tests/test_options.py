@@ -58,3 +58,14 @@ def test_training_years_slice(spark):
     df = spark.createDataFrame([(y,) for y in range(2018, 2026)], "year int")
     got = sorted(r.year for r in training_years(df, cfg, 2025).collect())
     assert got == [2018, 2019, 2023, 2024]
+
+
+def test_empty_target_lists_fail_clearly(spark):
+    import pytest
+    from epiwatch.operators import forecast
+    from epiwatch.operators.rates import matched_targets
+    s = spark.createDataFrame([("G", 2019, 1, 1.0)], "scope string, year int, week int, rate double")
+    with pytest.raises(ValueError):
+        forecast.training_rows(s, ["scope"], C.Config(target_years=()))
+    with pytest.raises(ValueError):
+        matched_targets(F.col("cause"), ())
