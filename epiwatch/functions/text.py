@@ -65,7 +65,10 @@ def head_before(col: Column | str, sep: str = " (") -> Column:
 
 
 def contains_ci(col: Column | str, needle: str | Column) -> Column:
-    """Case-insensitive literal substring test; NULL text gives false."""
+    """Case-insensitive literal substring test; NULL text gives false.
+
+    Both sides are upper-cased, as pandas ``str.contains(case=False,
+    regex=False)`` does (this differs from lower-casing for e.g. 'ß')."""
     c = F.col(col) if isinstance(col, str) else col
     n = F.lit(needle) if isinstance(needle, str) else needle
-    return F.coalesce(F.lower(c).contains(F.lower(n)), F.lit(False))
+    return F.coalesce(F.upper(c).contains(F.upper(n)), F.lit(False))

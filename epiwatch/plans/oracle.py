@@ -177,7 +177,7 @@ SERIES = f"""totals AS (
 
 TARGETS = "targets(target) AS (VALUES " + ", ".join(f"({q(t)})" for t in CFG.target_causes) + ")"
 SERIES_T = f"""{TARGETS}, tm AS (
-  SELECT m.*, targets.target FROM m JOIN targets ON contains(lower(m.cause), lower(targets.target))
+  SELECT m.*, targets.target FROM m JOIN targets ON contains(upper(m.cause), upper(targets.target))
 ), totals AS (
   SELECT area, target, year, week, sum(visits) AS visits, sum(population) AS population
   FROM tm GROUP BY area, target, year, week
@@ -569,7 +569,7 @@ UNION ALL SELECT scope, NULL, NULL FROM series WHERE year = {_eval_year()} GROUP
     s["filtered_slice"] = with_(_slice(f"area = {_first('area')}")) + (
         "SELECT facility, area, cause, care_level, age_group, year, week, visits, population, rate FROM s")
     s["cause_substring"] = with_(TARGETS) + """SELECT targets.target, m.cause, CAST(count(*) AS BIGINT) AS rows,
-  sum(m.visits) AS visits FROM m JOIN targets ON contains(lower(m.cause), lower(targets.target))
+  sum(m.visits) AS visits FROM m JOIN targets ON contains(upper(m.cause), upper(targets.target))
 GROUP BY 1, 2"""
     s["null_audit"] = with_() + "SELECT " + ", ".join(
         f"CAST(count_if({c} IS NULL) AS BIGINT) AS {c}_nulls" for c in RAW_COLS) + """ FROM (
@@ -578,7 +578,7 @@ GROUP BY 1, 2"""
   {utrim('cause')} AS cause_trim, upper({utrim('cause')}) AS cause_upper,
   split_part({utrim('cause')}, ' (', 1) AS cause_head,
   {_recode(utrim('cause'))} AS cause_mapped,
-  coalesce(contains(lower(cause), 'la'), false) AS cause_has_la,
+  coalesce(contains(upper(cause), 'LA'), false) AS cause_has_la,
   {blank('facility_type')} AS type_blank,
   CASE WHEN {blank('facility_type')} THEN NULL ELSE facility_type END AS type_or_null,
   {_spelling(utrim('area'))} AS area_fixed
