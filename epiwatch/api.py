@@ -103,53 +103,63 @@ def insights(m: DataFrame, cfg: Config, year: int | None = None, weeks=None, are
     return _rankings.insights(m, c, _year(m, cfg, year), area, age)
 
 
-def series(m: DataFrame, cfg: Config, scope: str | None = None, by_cause: bool = False) -> DataFrame:
-    """Weekly pooled rates per scope (and cause target when ``by_cause``)."""
-    return select_scope(weekly_series(m, cfg, by_cause), scope)
+def series(m: DataFrame, cfg: Config, scope: str | None = None, by_cause: bool = False,
+           weekly: DataFrame | None = None) -> DataFrame:
+    """Weekly pooled rates per scope (and cause target when ``by_cause``).
 
+    Every series-based analysis below also takes ``weekly=``: pass a series
+    computed once (and written or cached by the caller) to avoid aggregating
+    the fact table again for each analysis."""
+    return select_scope(weekly if weekly is not None else weekly_series(m, cfg, by_cause), scope)
 
-def channel(m: DataFrame, cfg: Config, year: int | None = None, scope: str | None = None) -> DataFrame:
+
+def channel(m: DataFrame, cfg: Config, year: int | None = None, scope: str | None = None,
+            weekly: DataFrame | None = None) -> DataFrame:
     """Endemic channel (Q1-Q3 over the baseline years, interpolated) with the year's rate."""
-    s = series(m, cfg, scope)
+    s = series(m, cfg, scope, weekly=weekly)
     return _channel.round_channel(_channel.endemic_channel(s, cfg, _year(s, cfg, year)))
 
 
 def zones(m: DataFrame, cfg: Config, year: int | None = None, scope: str | None = None,
-          week: int | None = None) -> DataFrame:
+          week: int | None = None, weekly: DataFrame | None = None) -> DataFrame:
     """Zone, insight, action and direction per observed week (or one week)."""
-    s = series(m, cfg, scope)
+    s = series(m, cfg, scope, weekly=weekly)
     z = _channel.zones(_channel.endemic_channel(s, cfg, _year(s, cfg, year)))
     return z if week is None else z.where(F.col("week") == week)
 
 
-def pscore(m: DataFrame, cfg: Config, year: int | None = None, scope: str | None = None) -> DataFrame:
-    s = series(m, cfg, scope)
+def pscore(m: DataFrame, cfg: Config, year: int | None = None, scope: str | None = None,
+           weekly: DataFrame | None = None) -> DataFrame:
+    s = series(m, cfg, scope, weekly=weekly)
     return _pscore.round_pscore(_pscore.pscore(s, cfg, _year(s, cfg, year)))
 
 
-def pscore_summary(m: DataFrame, cfg: Config, year: int | None = None, scope: str | None = None) -> DataFrame:
-    s = series(m, cfg, scope)
+def pscore_summary(m: DataFrame, cfg: Config, year: int | None = None, scope: str | None = None,
+                   weekly: DataFrame | None = None) -> DataFrame:
+    s = series(m, cfg, scope, weekly=weekly)
     return _pscore.pscore_summary(_pscore.pscore(s, cfg, _year(s, cfg, year)))
 
 
 def smoothed(m: DataFrame, cfg: Config, year: int | None = None, scope: str | None = None,
-             window: int | None = None, long: bool = False) -> DataFrame:
-    s = series(m, cfg, scope)
+             window: int | None = None, long: bool = False, weekly: DataFrame | None = None) -> DataFrame:
+    s = series(m, cfg, scope, weekly=weekly)
     sm = _trend.smoothed(s, _year(s, cfg, year), window or cfg.smoothing_window)
     return _trend.smoothed_long(sm) if long else sm
 
 
 def forecast(m: DataFrame, cfg: Config, scope: str | None = None, by_cause: bool = False,
-             target_years: tuple[int, ...] | None = None) -> DataFrame:
+             target_years: tuple[int, ...] | None = None,
+             weekly: DataFrame | None = None) -> DataFrame:
     """52-week harmonic forecast per scope (and cause target) and target year."""
     c = cfg.with_(target_years=target_years) if target_years else cfg
     keys = ["scope", TARGET] if by_cause else ["scope"]
-    return _forecast.round_forecast(_forecast.forecast(series(m, c, scope, by_cause), keys, c))
+    return _forecast.round_forecast(_forecast.forecast(series(m, c, scope, by_cause, weekly=weekly), keys, c))
 
 
 def forecast_kpis(m: DataFrame, cfg: Config, scope: str | None = None, by_cause: bool = False,
-                  target_years: tuple[int, ...] | None = None) -> DataFrame:
+                  target_years: tuple[int, ...] | None = None,
+                  weekly: DataFrame | None = None) -> DataFrame:
     c = cfg.with_(target_years=target_years) if target_years else cfg
     keys = ["scope", TARGET] if by_cause else ["scope"]
-    return _forecast.kpis(_forecast.forecast(series(m, c, scope, by_cause), keys, c), keys)
+    return _forecast.kpis(_forecast.forecast(series(m, c, scope, by_cause, weekly=weekly), keys, c), keys)
 

@@ -115,3 +115,12 @@ def test_profiles_and_filters(published):
     assert api.ranking(m, cfg, "facilities_in_area", year=2024, area="Sur").count() == 1
     long = api.smoothed(m, cfg, scope=C.GLOBAL_SCOPE, long=True, window=3).collect()
     assert {r.series for r in long} == {C.RAW_SERIES, C.SMOOTH_SERIES}
+
+
+def test_precomputed_weekly_series_gives_same_results(published):
+    m, cfg = published
+    weekly = api.series(m, cfg).cache()
+    assert _rows(api.channel(m, cfg, weekly=weekly), ["scope", "week"]) == _rows(api.channel(m, cfg), ["scope", "week"])
+    assert (_rows(api.forecast_kpis(m, cfg, weekly=weekly), ["scope", "target_year"])
+            == _rows(api.forecast_kpis(m, cfg), ["scope", "target_year"]))
+    weekly.unpersist()
