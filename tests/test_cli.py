@@ -18,3 +18,18 @@ def test_cli_etl_and_show(spark, scratch, capsys):
     assert out["ok"] and out["audit"]["rows"] == 105
     assert main(["show", "--master", f"{scratch}/m", "ranking", "--kind", "areas", "--year", "2016"]) == 0
     assert "Tomé" in capsys.readouterr().out
+
+
+def test_cli_show_series_and_query(spark, scratch, capsys):
+    rows = [_row(year=y, week=w) for y in (2014, 2015, 2016, 2017) for w in range(1, 13)]
+    spark.createDataFrame(rows, FEED_SCHEMA).write.parquet(f"{scratch}/feed")
+    _pop(spark, [("Tomé", y, g, 100.0) for y in (2014, 2015, 2016, 2017) for g in C.FEED_AGE_COLUMNS.values()]) \
+        .write.parquet(f"{scratch}/pop")
+    assert main(["etl", "--feed", f"{scratch}/feed", "--population", f"{scratch}/pop", "--out", f"{scratch}/m"]) == 0
+    capsys.readouterr()
+    assert main(["show", "--master", f"{scratch}/m", "channel", "--scope", C.GLOBAL_SCOPE, "--year", "2017"]) == 0
+    assert "q1" in capsys.readouterr().out
+    assert main(["show", "--master", f"{scratch}/m", "pscore_summary", "--year", "2017"]) == 0
+    assert "severity" in capsys.readouterr().out
+    assert main(["query", "/root/testdata/sf0.001", "kpi_totals"]) == 0
+    assert "total_visits" in capsys.readouterr().out
