@@ -44,6 +44,7 @@ def rounded(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def visits_by(df: DataFrame, keys: Sequence[str], name: str = VISITS) -> DataFrame:
+    """Visits summed per key, NULL keys dropped."""
     cond = None
     for k in keys:
         cond = F.col(k).isNotNull() if cond is None else cond & F.col(k).isNotNull()
@@ -61,25 +62,30 @@ def ranked(df: DataFrame, value: str, keys: Sequence[str], k: int | None = None,
 
 
 def top_areas(m: DataFrame, cfg: Config, year) -> DataFrame:
+    """E7 + G1: every area by mean row rate, descending (ties by area)."""
     return ranked(mean_rate_by(year_slice(m, year, cfg.week_window), [AREA]), RATE, [AREA])
 
 
 def top_causes(m: DataFrame, cfg: Config, year) -> DataFrame:
+    """E8 + G2: the top-k causes by mean row rate."""
     return ranked(mean_rate_by(year_slice(m, year, cfg.week_window), [CAUSE]), RATE, [CAUSE], cfg.top_causes)
 
 
 def top_facilities(m: DataFrame, cfg: Config, year) -> DataFrame:
+    """E9 + G3: the top-k (area, facility) pairs by mean row rate."""
     keys = [AREA, FACILITY]
     return ranked(mean_rate_by(year_slice(m, year, cfg.week_window), keys), RATE, keys, cfg.top_facilities)
 
 
 def top_facilities_by_visits(m: DataFrame, cfg: Config, year, age: str, area=None) -> DataFrame:
+    """E15 + G4: the top-k facilities (with care level) by visits, optionally for one age group / area."""
     keys = [FACILITY, CARE_LEVEL]
     agg = visits_by(year_slice(m, year, cfg.week_window, area, age), keys)
     return ranked(agg, VISITS, keys, cfg.top_facilities)
 
 
 def facility_ranking(m: DataFrame, cfg: Config, year, area: str) -> DataFrame:
+    """E12 + G1: every facility of one area by mean row rate."""
     keys = [FACILITY, CARE_LEVEL]
     return ranked(mean_rate_by(year_slice(m, year, cfg.week_window, area), keys), RATE, keys)
 
@@ -100,6 +106,7 @@ def area_share(m: DataFrame, cfg: Config, year) -> DataFrame:
 
 
 def mean_rate_profile(m: DataFrame, cfg: Config, year, keys: Sequence[str], area=None, age=None) -> DataFrame:
+    """Mean row rate per arbitrary keys over a slice (E10, E11, E13, E14 are instances)."""
     return rounded(mean_rate_by(year_slice(m, year, cfg.week_window, area, age), keys), RATE)
 
 
@@ -111,6 +118,7 @@ def profile_who(m: DataFrame, cfg: Config, year, area=None, age=None) -> DataFra
 
 
 def top_causes_by_visits(s: DataFrame, k: int) -> DataFrame:
+    """The top-k causes by visits (ties by cause)."""
     return ranked(visits_by(s, [CAUSE]), VISITS, [CAUSE], k).select(CAUSE)
 
 
@@ -249,4 +257,5 @@ def head_rows(df: DataFrame, order: Sequence[str], n: int = 5, where: Column | N
 
 
 def week_mean_by(m: DataFrame, cfg: Config, year, key: str, area=None, age=None) -> DataFrame:
+    """Mean row rate per (week, key): E10 (care level), E13 (facility), E14 (area)."""
     return rounded(mean_rate_by(year_slice(m, year, cfg.week_window, area, age), [WEEK, key]), RATE)
