@@ -25,8 +25,10 @@ def pscore(series: DataFrame, cfg: Config, year: Column) -> DataFrame:
            .select(SCOPE, WEEK, F.col(RATE).alias(CURRENT)))
     df = base.join(cur, [SCOPE, WEEK], "left")
     p = (F.col(CURRENT) - F.col("q2_hist")) / F.nullif(F.col("q2_hist"), F.lit(0.0)) * F.lit(100.0)
+    # scopes with rows in the evaluated year; an inner join with the distinct
+    # list (equivalent to a semi join) stays an equi-join on scope
     has_year = series.where(F.col(YEAR) == year).select(SCOPE).distinct()
-    return (df.join(has_year, SCOPE, "left_semi")
+    return (df.join(has_year, SCOPE, "inner")
             .withColumn("p_score", p)
             .withColumn("kind", F.when(F.col("p_score") > 0, F.lit(C.PSCORE_EXCESS))
                         .otherwise(F.lit(C.PSCORE_DEFICIT))))
