@@ -128,3 +128,15 @@ def test_etl_on_year_partitioned_feed_has_no_shuffle(spark):
     assert plan.count("Exchange") == plan.count("BroadcastExchange") >= 1
     flat = master_for_write(raw, pop, driver_defaults(), feed_by_year=False)._jdf.queryExecution().executedPlan().toString()
     assert flat.count("Exchange") > flat.count("BroadcastExchange")
+
+
+def _final_plan_string(df) -> str:
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    return plan.executedPlan().toString() if plan.nodeName() == "AdaptiveSparkPlan" else plan.toString()
+
+
+def test_no_cross_or_nested_loop_joins(spark):
+    for name, fn in catalog.QUERIES.items():
+        plan = _final_plan_string(fn(spark, SF))
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
