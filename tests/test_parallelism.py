@@ -1,4 +1,5 @@
-"""Results do not depend on the number of executor threads (local[1] vs local[4])."""
+"""Results do not depend on the number of executor threads (local[1] vs local[4]),
+on ANSI mode, or on the session time zone."""
 
 import json
 import os
@@ -19,7 +20,8 @@ import json, sys, uuid
 sys.path.insert(0, sys.argv[1]); sys.path.insert(0, sys.argv[1] + "/tests")
 from pyspark.sql import SparkSession
 spark = (SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false")
-         .config("spark.sql.shuffle.partitions", "3").getOrCreate())
+         .config("spark.sql.shuffle.partitions", "3").config("spark.sql.ansi.enabled", "false")
+         .config("spark.sql.session.timeZone", "America/Santiago").getOrCreate())
 spark.sparkContext.setLogLevel("ERROR")
 spark.conf.set("spark.epiwatch.namespace", "par-" + uuid.uuid4().hex[:8])   # recompute everything
 from epiwatch.plans.catalog import QUERIES
