@@ -1,4 +1,6 @@
-"""Every registered query equals its DuckDB oracle on the sf0.001 tables."""
+"""Every registered query equals its DuckDB oracle on the test tables
+(sf0.001 by default; set EPIWATCH_ORACLE_SF to another folder, e.g. the sf0.01
+tables the correctness gate uses)."""
 
 import os
 
@@ -6,7 +8,7 @@ import pytest
 
 from oracle_harness import compare, duck
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("EPIWATCH_ORACLE_SF", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
 
 
