@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from epiwatch.llm.piece_codec import op9_piece_codec
 from epiwatch.llm.token_counts import op2_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op9_piece_codec": op9_piece_codec,
 }
 
 #: None of the operators can be said in SQL over whole tables; tests/llm holds
