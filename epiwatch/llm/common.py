@@ -163,15 +163,15 @@ def components(edges: DataFrame) -> DataFrame:
         to = both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(
             F.col("a").alias("node"), F.least(rank("a"), F.col("m"))["node"].alias("root")).checkpoint()
         moves.append(to)
-        left = (left.join(to.withColumnsRenamed({"node": "a", "root": "x"}), "a")
-                .join(to.withColumnsRenamed({"node": "b", "root": "y"}), "b")
+        left = (left.join(to.select(F.col("node").alias("a"), F.col("root").alias("x")), "a")
+                .join(to.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
                 .where("x <> y")
                 .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().checkpoint())
     if not moves:
         return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
     out = moves[0]
     for to in moves[1:]:
-        step = to.withColumnsRenamed({"node": "root", "root": "next"})
+        step = to.select(F.col("node").alias("root"), F.col("root").alias("next"))
         out = out.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
     return out
 
@@ -206,7 +206,7 @@ def linked(members: DataFrame, links: Column, prefer: Column, pivots: int = 3) -
     r = rest.select("bucket", F.struct(*members.columns, "root").alias("r"))
     more = (l.join(r, (l["bucket"] == r["bucket"]) & (F.col("l.root") < F.col("r.root")) & links)
             .select(F.col("l.root").alias("a"), F.col("r.root").alias("b")))
-    over = components(more).withColumnsRenamed({"node": "root", "root": "top"})
+    over = components(more).select(F.col("node").alias("root"), F.col("root").alias("top"))
     seen = roots.union(rest.select("id", "root")).distinct()
     return (seen.join(over, "root", "left")
             .select("node", F.coalesce("top", "root").alias("root")))
