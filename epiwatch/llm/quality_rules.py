@@ -123,7 +123,7 @@ def _measures(texts: list[str], max_covered: float, max_longest: int) -> list[np
     return [w.count, word_chars, n_symbols, n_dup, covered, failed, kept, longest]
 
 
-def quality(docs: DataFrame, max_covered: float = 0.3, max_longest: int = 200, passed: bool = False,
+def quality(docs: DataFrame, max_covered: float = 0.3, max_longest: int = 100, passed: bool = False,
             batch_chars: int = 1_000_000) -> DataFrame:
     """The measures and the verdict of every row; with ``passed``, the rows of
     ``docs`` that are kept, as they are.
