@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from epiwatch.llm.packing import op5_packing
 from epiwatch.llm.piece_codec import op9_piece_codec
 from epiwatch.llm.quality_rules import op3_quality_rules
 from epiwatch.llm.simhash_dedup import op4_simhash_dedup
@@ -15,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
     "op4_simhash_dedup": op4_simhash_dedup,
+    "op5_packing": op5_packing,
     "op9_piece_codec": op9_piece_codec,
 }
 
