@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from epiwatch.llm.packing import op5_packing
 from epiwatch.llm.piece_codec import op9_piece_codec
 from epiwatch.llm.quality_rules import op3_quality_rules
+from epiwatch.llm.secret_scan import op1_secret_scan
 from epiwatch.llm.simhash_dedup import op4_simhash_dedup
 from epiwatch.llm.token_counts import op2_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
     "op4_simhash_dedup": op4_simhash_dedup,
