@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -15,13 +16,24 @@ SEPARATORS = b" \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it (a
+    cluster without that folder gets it by --py-files)."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:
     """(doc_id, text) of ``docs``; a null text counts as empty. Other columns
     are not read, so clashing names among them do no harm."""
+    importable(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"),
                        F.coalesce(docs["text"], F.lit("")).alias("text"))
 

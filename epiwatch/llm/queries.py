@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from epiwatch.llm.ann_search import op10_ann_search
 from epiwatch.llm.packing import op5_packing
 from epiwatch.llm.piece_codec import op9_piece_codec
 from epiwatch.llm.quality_rules import op3_quality_rules
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_packing": op5_packing,
     "op9_piece_codec": op9_piece_codec,
+    "op10_ann_search": op10_ann_search,
 }
 
 #: None of the operators can be said in SQL over whole tables; tests/llm holds
