@@ -12,6 +12,7 @@ from epiwatch.llm.piece_codec import op9_piece_codec
 from epiwatch.llm.quality_rules import op3_quality_rules
 from epiwatch.llm.secret_scan import op1_secret_scan
 from epiwatch.llm.simhash_dedup import op4_simhash_dedup
+from epiwatch.llm.substring_dedup import op6_substring_dedup
 from epiwatch.llm.token_counts import op2_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_packing": op5_packing,
+    "op6_substring_dedup": op6_substring_dedup,
     "op9_piece_codec": op9_piece_codec,
     "op10_ann_search": op10_ann_search,
 }
