@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from epiwatch.llm.ann_search import op10_ann_search
+from epiwatch.llm.line_dedup import op7_line_dedup
 from epiwatch.llm.ngram_model import op8_lm_scoring
 from epiwatch.llm.packing import op5_packing
 from epiwatch.llm.piece_codec import op9_piece_codec
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_packing": op5_packing,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_line_dedup": op7_line_dedup,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_piece_codec": op9_piece_codec,
     "op10_ann_search": op10_ann_search,
