@@ -49,14 +49,14 @@ def fingerprint(text: str, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) with the fingerprint as a signed long."""
+    """(doc_id, hash, fp): a hash of the text, and the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column("text")), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), pa.array(fp.view(np.int64))], names=["doc_id", "hash", "fp"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, fp long")
+    return id_and_text(docs).withColumn("hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, hash long, fp long")
 
 
 def covering_masks(radius: int) -> list[int]:
@@ -71,8 +71,9 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id) for every row: documents are linked if their
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, hashed: bool = False) -> DataFrame:
+    """(doc_id, fp, component_id) for every row, or (doc_id, hash, root) with
+    ``hashed``: documents are linked if their
     fingerprints differ in at most ``radius`` bits, and a component is named by
     its smallest doc_id."""
     rows = written(fingerprints(docs, shingle), "fingerprints")
@@ -82,10 +83,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
         F.xxhash64("table", F.col("id").bitwiseAND(F.col("mask"))).alias("bucket"), "id", "n")
     roots = linked(members, F.bit_count(F.col("l.id").bitwiseXOR(F.col("r.id"))) <= radius, F.col("n"))
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")).select("fp", "least", "root")
+    if hashed:
+        return rows.join(named.select("fp", "root"), "fp").select("doc_id", "hash", "root")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
+    """``docs`` with one row of each component: of its smallest doc_id, and
+    among rows of that id the one of the least text hash. Rows without doc_id
+    stay only where no row of their component has one."""
+    found = near_duplicates(docs, shingle, radius, hashed=True)
+    key = F.struct(F.col("doc_id").isNull(), "doc_id", "hash")
+    first = found.groupBy("root").agg(F.min(key).alias("m")).select(F.col("m.doc_id").alias("__id"), F.col("m.hash").alias("__hash"))
+    keyed = docs.withColumn("__text_hash", F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
+    kept = keyed.join(first, keyed["doc_id"].cast("long").eqNullSafe(first["__id"]) & (keyed["__text_hash"] == first["__hash"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__text_hash"]).select(*docs.columns)
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
