@@ -295,16 +295,17 @@ def redacted(text: str, spans: list[tuple[int, int, int]], mark: str = "[SECRET]
 
 
 def redact(docs: DataFrame, net: Network) -> DataFrame:
-    """``docs`` with secrets replaced in ``text`` (and ``n_chars`` counted
-    anew); rows without findings stay as they are."""
+    """``docs`` with secrets replaced in ``text`` (and ``n_chars``, if there,
+    counted anew); rows without findings stay as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             found = spans_of([t or "" for t in texts], net)
             new = [redacted(t, s) if s else t for t, s in zip(texts, found, strict=True)]
-            sizes = batch.column("n_chars").to_pylist()
-            cols = {"text": new, "n_chars": [len(t) if s else n for t, s, n in zip(new, found, sizes, strict=True)]}
+            cols = {"text": new}
+            if "n_chars" in batch.schema.names:
+                cols["n_chars"] = [len(t) if s else n for t, s, n in zip(new, found, batch.column("n_chars").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else batch.column(f.name) for f in batch.schema], schema=batch.schema)
 
     return docs.mapInArrow(run, docs.schema)
