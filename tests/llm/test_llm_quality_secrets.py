@@ -1,0 +1,107 @@
+"""Quality rules and secret scans against brute force and held-out accuracy."""
+
+import hashlib
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from llm_fixtures import split
+
+from epiwatch.llm.quality_rules import quality, repeats, suffix_array
+from epiwatch.llm.secret_scan import candidates, encode, generated_findings, redact, redacted, rule_spans, scan, spans_of, train, trained
+
+
+def measured(text: str) -> tuple:
+    w = split(text)
+    n, places = len(w), {}
+    for i in range(n - 7):
+        places.setdefault(tuple(w[i:i + 8]), []).append(i)
+    covered = {j for at in places.values() if len(at) > 1 for i in at for j in range(i, i + 8)}
+    longest, k = 0, 8
+    while any(c > 1 for c in Counter(tuple(w[i:i + k]) for i in range(n - k + 1)).values()):
+        longest, k = k, k + 1
+    lines = [x for x in text.split("\n") if split(x)]
+    failed = n < 20 or 100 * len(covered) > 30 * n
+    kept = not failed and len(covered) <= 0.3 * n and longest <= 100
+    return n, sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered), failed, kept, longest
+
+
+def test_quality_rows(docs, rows, no_docs):
+    want = Counter((i, *measured(t or "")) for i, t, *_ in rows)
+    assert Counter(map(tuple, quality(docs, batch_chars=3000).collect())) == want
+    assert quality(no_docs).count() == 0
+    kept = quality(docs, passed=True)
+    assert kept.columns == docs.columns
+    assert Counter((x.doc_id, x.text) for x in kept.collect()) == Counter((i, t) for i, t, *_ in rows if measured(t or "")[6])
+
+
+def test_suffix_array_and_maximal_repeats():
+    r = np.random.default_rng(1)
+    for n, kinds in ((1, 1), (2, 1), (40, 1), (60, 2), (80, 4)):
+        x = np.append(r.integers(0, kinds, n), 99)
+        sa, lcp = suffix_array(x)
+        suffixes = [tuple(x[i:]) for i in range(len(x))]
+        assert sa.tolist() == sorted(range(len(x)), key=lambda i: suffixes[i])
+        for i in range(1, len(sa)):
+            a, b = suffixes[sa[i - 1]], suffixes[sa[i]]
+            assert lcp[i] == next((k for k, (p, q) in enumerate(zip(a, b, strict=False)) if p != q), min(len(a), len(b)))
+        spans = list(zip(*(v.tolist() for v in repeats(x, 3)), strict=True))
+        covered = {j for a, k in spans for j in range(a, a + k)}
+        windows = Counter(tuple(x[i:i + 3]) for i in range(len(x) - 2))
+        assert covered == {j for i in range(len(x) - 2) if windows[tuple(x[i:i + 3])] > 1 for j in range(i, i + 3)}
+
+
+@pytest.fixture(scope="module")
+def net():
+    return train(generated_findings(3000, 5))
+
+
+def test_network_on_fresh_findings(net):
+    fresh = generated_findings(1000, 77)
+    p = net.probability(np.array([encode(t, a, b) for t, a, b, _ in fresh])) >= net.threshold
+    label = np.array([x[3] for x in fresh]) > 0
+    assert net.held_out_recall >= 0.95
+    assert p[label].mean() > 0.9
+    assert p[~label].mean() < 0.05
+
+
+def test_rules():
+    text = "API_KEY = 'abcDEF12+/' token:short password\": \"x1234567 ſecret=abcdefghij AKIAABCDEFGHIJKL 0123456789abcdef0123456789abcdef AKIAABC"
+    want = [("assign", m.start(), m.end()) for m in re.finditer(r"""(?:API_KEY|password)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{8,}""", text)]
+    want += [(k, m.start(), m.end()) for k, p in (("access", "AKIA[A-Z]{12}"), ("hex", "[0-9a-f]{32}")) for m in re.finditer(p, text)]
+    assert sorted(rule_spans(text)) == sorted((a, ("assign", "access", "hex").index(k), b) for k, a, b in want)
+
+
+def test_scan_rows(docs, rows, no_docs, net):
+    got = scan(docs, net).collect()
+    want = Counter()
+    for i, t, *_ in rows:
+        base = rule_spans(t or "")
+        listed = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in base)
+        want[i, *(sum(x[1] == k for x in base) for k in range(3)), hashlib.sha256(listed.encode()).hexdigest()] += 1
+    assert Counter((x.doc_id, x.n_assign, x.n_access, x.n_hex, x.base_sha256) for x in got) == want
+    for x in got:
+        assert len([s for s in x.spans.split(",") if s]) == x.n_assign + x.n_access + x.n_hex + x.n_model
+    assert scan(no_docs, net).count() == 0
+    assert trained(no_docs, generated=400).threshold >= 0.5
+
+
+def test_added_spans_and_clean_text(net):
+    key = "ghp_A1b2C3d4E5f6G7h8I9j0K1l2M3n4O5p6Q7r8"
+    texts = [f"the key is {key} here", "plain words, dates 2024-05-06 and version-10-2024-notes for all", ""]
+    found = spans_of(texts, net)
+    assert (11, 3, 11 + len(key)) in found[0]
+    assert found[1:] == [[], []]
+    assert candidates(texts[0], [(0, 0, 40)]) == []
+    assert redacted(texts[0], found[0]) == "the key is [SECRET] here"
+    assert redacted("abcdef", [(1, 0, 3), (2, 1, 4), (5, 2, 6)]) == "a[SECRET]e[SECRET]"
+
+
+def test_redact_rows(docs, rows, net):
+    got = Counter((x.doc_id, x.text, x.n_chars) for x in redact(docs, net).collect())
+    want = Counter()
+    for i, t, _, _, n in rows:
+        s = spans_of([t or ""], net)[0]
+        want[(i, redacted(t, s), len(redacted(t, s))) if s else (i, t, n)] += 1
+    assert got == want
