@@ -24,6 +24,11 @@ def stable(col: Column | str, digits: int = 6) -> Column:
     return round_half_even(col, digits) + F.lit(0.0)
 
 
+def nan_to_null(col: Column | str) -> Column:
+    """A floating-point column with NaN as NULL, the only missing value here."""
+    return F.when(~F.isnan(_c(col)), _c(col))
+
+
 def safe_div(num: Column | str, den: Column | str) -> Column:
     """``num / nullif(den, 0)``: a zero denominator gives NULL, never an error."""
     return _c(num) / F.nullif(_c(den), F.lit(0))

@@ -16,9 +16,9 @@ CURRENT = "current_rate"
 def pscore(series: DataFrame, cfg: Config, year: Column) -> DataFrame:
     """J12 per scope: baseline median per week (not interpolated; weeks without
     baseline are absent), the year's rate, ((cur - med) / med) * 100 and the
-    sign label.  A zero median gives a NULL score (documented deviation: the
-    source yields +/-inf or NaN there).  Scopes without rows in the evaluated
-    year give no rows.  Values unrounded."""
+    label by the sign of cur - med.  Over a zero median the score has no finite
+    value and is NULL, while demand there is an excess by its label.  Scopes
+    without rows in the evaluated year give no rows.  Values unrounded."""
     base = (baseline_years(series, cfg).groupBy(SCOPE, WEEK)
             .agg(F.median(RATE).alias("q2_hist")))
     cur = (series.where(F.col(YEAR) == year)
@@ -30,10 +30,16 @@ def pscore(series: DataFrame, cfg: Config, year: Column) -> DataFrame:
     has_year = series.where(F.col(YEAR) == year).select(SCOPE).distinct()
     return (df.join(has_year, SCOPE, "inner")
             .withColumn("p_score", p)
-            .withColumn("kind", F.when(F.col("p_score") > 0, F.lit(C.PSCORE_EXCESS))
+            .withColumn("kind", F.when(F.col(CURRENT) > F.col("q2_hist"), F.lit(C.PSCORE_EXCESS))
                         .otherwise(F.lit(C.PSCORE_DEFICIT))))
 
 
+def unbounded(current: Column, median: Column) -> Column:
+    """Demand in a week whose historical median is zero: an excess without
+    finite score, above every band."""
+    return (median == 0) & (current > 0)
+
+
 def severity(peak: Column) -> Column:
     out = None
     for threshold, label in C.SEVERITY_BANDS:
@@ -43,15 +49,20 @@ def severity(peak: Column) -> Column:
 
 
 def pscore_summary(ps: DataFrame) -> DataFrame:
-    """J13 per scope over weeks with a score: peak, its week (first on ties),
-    mean of the positive scores (0 when none) and the severity band."""
-    valid = ps.where(F.col("p_score").isNotNull())
-    best = F.min(F.struct((-F.col("p_score")).alias("n"), F.col(WEEK).alias("w")))
+    """J13 per scope over weeks with a score or with demand over a zero median:
+    the greatest finite score, the peak week (first on ties; a week over a zero
+    median comes before all others), mean of the positive finite scores (0 when
+    none), the number of weeks over a zero median, and the severity band (the
+    highest when there is such a week)."""
+    beyond = F.coalesce(unbounded(F.col(CURRENT), F.col("q2_hist")), F.lit(False))
+    valid = ps.where(F.col("p_score").isNotNull() | beyond)
+    best = F.min(F.struct((~beyond).alias("finite"), (-F.col("p_score")).alias("n"), F.col(WEEK).alias("w")))
     avg_pos = F.coalesce(F.avg(F.when(F.col("p_score") > 0, F.col("p_score"))), F.lit(0.0))
     return (valid.groupBy(SCOPE)
             .agg(F.max("p_score").alias("peak_pscore"), best["w"].alias("peak_week"),
-                 avg_pos.alias("mean_excess"))
-            .withColumn("severity", severity(F.col("peak_pscore")))
+                 avg_pos.alias("mean_excess"), F.count_if(beyond).alias("zero_median_weeks"))
+            .withColumn("severity", F.when(F.col("zero_median_weeks") > 0, F.lit(C.SEVERITY_BANDS[0][1]))
+                        .otherwise(severity(F.col("peak_pscore"))))
             .withColumns({"peak_pscore": stable("peak_pscore"), "mean_excess": stable("mean_excess")}))
 
 

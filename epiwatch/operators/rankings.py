@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import (AGE_GROUP, AREA, CARE_LEVEL, CAUSE, FACILITY, LEVEL_HOSPITAL, LEVEL_PRIMARY,
-                      RATE, VISITS, WEEK, Config)
+                      RATE, VISITS, WEEK, YEAR, Config)
 from ..functions.numeric import cents, exact_mean_2dp, safe_div, stable
 from .rates import optional_eq, year_weeks
 
@@ -53,11 +53,15 @@ def visits_by(df: DataFrame, keys: Sequence[str], name: str = VISITS) -> DataFra
 
 def ranked(df: DataFrame, value: str, keys: Sequence[str], k: int | None = None,
            round_value: bool = True) -> DataFrame:
-    """Descending by value, ties by keys; ``k`` keeps the top k.
-    Ordering uses the exact value; the reported value is rounded afterwards."""
-    out = df.orderBy(F.col(value).desc_nulls_last(), *[F.col(c).asc() for c in keys])
+    """Descending by value, ties by keys, with the ``rank``; ``k`` keeps the
+    top k (G1-G5). Ordering uses the exact value; the reported value is rounded
+    afterwards. The rank is counted over what is reported: the top k, or one
+    row for each key of a ranking (areas, facilities of an area)."""
+    order = [F.col(value).desc_nulls_last(), *[F.col(c).asc() for c in keys]]
+    out = df.orderBy(*order)
     if k is not None:
         out = out.limit(k)
+    out = out.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
     return rounded(out, value) if round_value else out
 
 
@@ -117,11 +121,6 @@ def profile_who(m: DataFrame, cfg: Config, year, area=None, age=None) -> DataFra
     return mean_rate_profile(m, cfg, year, [AGE_GROUP, CARE_LEVEL], area)
 
 
-def top_causes_by_visits(s: DataFrame, k: int) -> DataFrame:
-    """The top-k causes by visits (ties by cause)."""
-    return ranked(visits_by(s, [CAUSE]), VISITS, [CAUSE], k).select(CAUSE)
-
-
 def cause_level_profile(m: DataFrame, cfg: Config, year, area=None, age=None) -> DataFrame:
     """Visits by cause x care level, restricted to the top-k causes.
 
@@ -221,24 +220,38 @@ def overview(m: DataFrame, cfg: Config, year) -> DataFrame:
         return agg.where(F.when(F.col("_rn") >= 0, cond).otherwise(F.lit(False)))
 
     null_s = F.lit(None).cast("string")
-    cols = ["ranking", "key", "key2", RATE]
+    cols = ["ranking", "rank", "key", "key2", RATE]
     areas = ranked(kind(3, [AREA]), RATE, [AREA])
     causes = ranked(kind(5, [CAUSE]), RATE, [CAUSE], cfg.top_causes)
     facs = ranked(kind(2, [AREA, FACILITY]), RATE, [AREA, FACILITY], cfg.top_facilities)
     # An always-empty first branch holds the aggregate's original attribute
     # ids, so the three real branches are renewed copies of one identical
     # plan and share a single exchange (the optimizer drops the empty branch).
-    empty = agg.where(F.lit(False)).select(null_s.alias("ranking"), null_s.alias("key"), null_s.alias("key2"), RATE)
+    empty = agg.where(F.lit(False)).select(null_s.alias("ranking"), null_s.cast("int").alias("rank"), null_s.alias("key"),
+                                           null_s.alias("key2"), RATE)
     return (empty
-            .unionByName(areas.select(F.lit("areas").alias("ranking"), F.col(AREA).alias("key"),
+            .unionByName(areas.select(F.lit("areas").alias("ranking"), "rank", F.col(AREA).alias("key"),
                                       null_s.alias("key2"), RATE))
-            .unionByName(causes.select(F.lit("causes").alias("ranking"), F.col(CAUSE).alias("key"),
+            .unionByName(causes.select(F.lit("causes").alias("ranking"), "rank", F.col(CAUSE).alias("key"),
                                        null_s.alias("key2"), RATE))
-            .unionByName(facs.select(F.lit("facilities").alias("ranking"), F.col(AREA).alias("key"),
+            .unionByName(facs.select(F.lit("facilities").alias("ranking"), "rank", F.col(AREA).alias("key"),
                                      F.col(FACILITY).alias("key2"), RATE))
             .select(*cols))
 
 
+def selectors(m: DataFrame, cube: DataFrame) -> DataFrame:
+    """The values a user can choose from, (kind, position, value): years
+    descending, areas and age groups ascending. Years and areas are read from
+    the small weekly cube; age groups from one distinct of one fact column."""
+    def listed(df: DataFrame, column: str, down: bool = False) -> DataFrame:
+        values = df.select(column).where(F.col(column).isNotNull()).distinct()
+        order = F.col(column).desc() if down else F.col(column).asc()
+        return values.select(F.lit(column).alias("kind"), F.row_number().over(Window.orderBy(order)).alias("position"),
+                             F.col(column).cast("string").alias("value"))
+
+    return listed(cube, YEAR, down=True).unionByName(listed(cube, AREA)).unionByName(listed(m, AGE_GROUP))
+
+
 def peak_area(m: DataFrame, cfg: Config, year) -> DataFrame:
     """Area with the highest mean rate (first on ties) and that rate."""
     by_area = mean_rate_by(year_slice(m, year, cfg.week_window), [AREA])
@@ -246,8 +259,14 @@ def peak_area(m: DataFrame, cfg: Config, year) -> DataFrame:
 
 
 def null_audit(df: DataFrame) -> DataFrame:
-    """Number of NULLs per column, one row, one pass."""
-    return df.agg(*[F.count_if(F.col(c).isNull()).alias(f"{c}_nulls") for c in df.columns])
+    """Number of missing values (NULL, or NaN in floating-point columns)
+    per column, one row, one pass."""
+    floating = {c for c, t in df.dtypes if t in ("double", "float")}
+
+    def missing(c: str) -> Column:
+        return F.col(c).isNull() | F.isnan(c) if c in floating else F.col(c).isNull()
+
+    return df.agg(*[F.count_if(missing(c)).alias(f"{c}_nulls") for c in df.columns])
 
 
 def head_rows(df: DataFrame, order: Sequence[str], n: int = 5, where: Column | None = None) -> DataFrame:

@@ -8,20 +8,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import AGE_GROUP, VISITS, WEEK
+from ..functions.numeric import nan_to_null
 
 
 def unpivot_ages(df: DataFrame, age_columns: Sequence[tuple[str, str]]) -> DataFrame:
     """Wide age-band counts -> one row per age group.
 
     Id columns are all other columns; the label comes from ``age_columns``;
-    counts are NULL-filled with 0 and made integral.  The API form keeps rows
+    counts are filled with 0 where NULL or NaN and made integral.  The API form keeps rows
     whose count is NULL (SQL UNPIVOT would drop them).
     """
     present = [(c, lab) for c, lab in age_columns if c in df.columns]
     if not present:
         raise ValueError("no age-band columns present in the feed")
     ids = [c for c in df.columns if c not in {c for c, _ in present}]
-    value_cols = [F.col(c).cast("bigint").alias(c) for c, _ in present]
+    floating = {c for c, t in df.dtypes if t in ("double", "float")}
+    value_cols = [(nan_to_null(c) if c in floating else F.col(c)).cast("bigint").alias(c) for c, _ in present]
     long_df = df.select(*ids, *value_cols).unpivot(ids, [c for c, _ in present], "_band", "_count")
     label = F.create_map(*[F.lit(x) for pair in present for x in pair])[F.col("_band")]
     return (long_df

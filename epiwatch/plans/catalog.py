@@ -10,6 +10,7 @@ first area / age group in sorted order where one must be chosen.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,9 +28,15 @@ from ..operators.clean import (blanks_to_null, clean_feed, exclude_causes, filte
 from ..operators.rates import TARGET, baseline_years, eval_year, matched_targets, select_scope
 from ..operators.reshape import interpolate_linear
 from ..sources import landing
-from .etl import joined, long_visits, normalise_population
+from ..sources.parquet import MissingInputError
+from ..sources.refresh import publish, read_current
+from ..sources.store import checkpoint_root, clear_cache
+from .etl import build_master, joined, long_visits, normalise_population, run_pipeline
 
 CFG: Config = driver_defaults()
+#: A year of 53 weeks, for the variants over whole years; target years of the variant with several.
+WHOLE_YEAR = 1998
+SEVERAL_TARGETS = (2001, 2000, 1998)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -132,7 +139,10 @@ def row_rate(spark, d):
 
 @query
 def master_summary(spark, d):
-    m = landing.master(spark, d, CFG)
+    return _summary(landing.master(spark, d, CFG))
+
+
+def _summary(m):
     return (m.groupBy(YEAR)
             .agg(F.count(F.lit(1)).alias("rows"), F.sum(VISITS).alias(VISITS),
                  F.sum(POPULATION).alias(POPULATION),
@@ -140,6 +150,43 @@ def master_summary(spark, d):
                  stable(exact_mean_2dp(RATE)).alias("mean_rate")))
 
 
+@query
+def nan_population_rates(spark, d):
+    """Rates where some populations are NaN: they count as missing."""
+    hole = (F.col(AGE_GROUP) == "BUILDING") & (F.col(YEAR) % 2 == 0)
+    pop = _pop(spark, d).withColumn(POPULATION, F.when(hole, F.lit(float("nan"))).otherwise(F.col(POPULATION).cast("double")))
+    return (build_master(_raw(spark, d), pop, CFG).groupBy(YEAR, AGE_GROUP)
+            .agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col(POPULATION) == 0).alias("zero_population_rows"),
+                 stable(exact_mean_2dp(RATE)).alias("mean_rate")))
+
+
+@query
+def refresh_roundtrip(spark, d):
+    """The landed feed under its source column names
+    and with administrative columns goes through the whole pipeline and is
+    published; a snapshot without rows and a missing feed are refused; the
+    published master is read back."""
+    root = f"{checkpoint_root(spark)}/epiwatch/refresh-{uuid.uuid4().hex[:12]}"
+    admin = {c: F.lit("x") for c in C.FEED_DROP_COLUMNS}
+    source = {engine: name for name, engine in C.FEED_COLUMNS.items()}
+    _raw(spark, d).withColumnsRenamed(source).withColumns(admin).write.partitionBy(source[YEAR]).parquet(f"{root}/feed")
+    _pop(spark, d).withColumnsRenamed({AREA: "ComunaGlosa", YEAR: "anio", AGE_GROUP: "grupo_etario", POPULATION: "poblacion"}
+                                      ).write.parquet(f"{root}/population")
+    cfg = CFG.with_(drop_columns=C.FEED_DROP_COLUMNS)
+    ok, _, _ = run_pipeline(spark, f"{root}/feed", f"{root}/population", f"{root}/master", cfg)
+    bad, _ = publish(spark, f"{root}/master", lambda p: read_current(spark, f"{root}/master").limit(0).write.parquet(p))
+    try:
+        run_pipeline(spark, f"{root}/absent", f"{root}/population", f"{root}/master", cfg)
+        missing = False
+    except MissingInputError:
+        missing = True
+    clear_cache(spark)
+    m = read_current(spark, f"{root}/master")
+    left = sum(c in m.columns for c in C.FEED_DROP_COLUMNS)
+    return _summary(m).select(F.lit(ok).alias("published"), F.lit(not bad).alias("bad_refused"),
+                              F.lit(missing).alias("missing_refused"), F.lit(left).alias("admin_columns"), "*")
+
+
 # -- load-time classification (B11, B12, B21) ----------------------------------
 
 @query
@@ -169,9 +216,7 @@ def care_level(spark, d):
 @query
 def selector_values(spark, d):
     m = _m(spark, d)
-    pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("value"))
-                      for k in (YEAR, AREA, AGE_GROUP)])
-    return m.select(F.inline(pairs)).where(F.col("value").isNotNull()).distinct()
+    return rankings.selectors(m, landing.cause_cube(spark, d, CFG))
 
 
 # -- rankings and profiles -------------------------------------------------------
@@ -278,6 +323,27 @@ def share_of_leading_cause(spark, d):
                            (F.col(CAUSE) == lead).alias("is_leading"))
 
 
+# The dashboard's default window is weeks 1-52 (Config.week_window); these are the
+# same queries over a whole year of 53 weeks.
+
+WHOLE = CFG.with_(week_window=(1, 53))
+
+
+@query
+def top_areas_whole_year(spark, d):
+    return rankings.top_areas(_m(spark, d), WHOLE, F.lit(WHOLE_YEAR))
+
+
+@query
+def kpi_totals_whole_year(spark, d):
+    return rankings.kpi_totals(_m(spark, d), WHOLE, F.lit(WHOLE_YEAR))
+
+
+@query
+def area_share_whole_year(spark, d):
+    return rankings.area_share(_m(spark, d), WHOLE, F.lit(WHOLE_YEAR))
+
+
 # -- weekly series, channel, zones --------------------------------------------
 
 @query
@@ -336,6 +402,24 @@ def pscore_summary(spark, d):
     return pscore.pscore_summary(pscore.pscore(_series(spark, d), CFG, _series_year(spark, d)))
 
 
+def _quiet_weeks(spark, d):
+    """The weekly series with every fifth baseline week silent, so that some
+    historical medians are zero."""
+    lo, hi = CFG.baseline_years
+    quiet = F.col(YEAR).between(lo, hi) & (F.col(WEEK) % 5 == 0)
+    return _series(spark, d).withColumn(RATE, F.when(quiet, F.lit(0.0)).otherwise(F.col(RATE)))
+
+
+@query
+def pscore_zero_median(spark, d):
+    return pscore.round_pscore(pscore.pscore(_quiet_weeks(spark, d), CFG, _series_year(spark, d)))
+
+
+@query
+def pscore_zero_median_summary(spark, d):
+    return pscore.pscore_summary(pscore.pscore(_quiet_weeks(spark, d), CFG, _series_year(spark, d)))
+
+
 # -- smoothed trend --------------------------------------------------------------
 
 @query
@@ -405,6 +489,19 @@ def forecast_cause_kpis(spark, d):
     return forecast.kpis(_forecasts(spark, d, by_target=True), [SCOPE, TARGET])
 
 
+_SEVERAL = CFG.with_(target_years=SEVERAL_TARGETS)
+
+
+@query
+def forecast_several_targets(spark, d):
+    return forecast.round_forecast(landing.forecasts(spark, d, _SEVERAL))
+
+
+@query
+def forecast_kpis_several_targets(spark, d):
+    return forecast.kpis(landing.forecasts(spark, d, _SEVERAL), [SCOPE])
+
+
 # -- filters and scalar functions ------------------------------------------------
 
 @query

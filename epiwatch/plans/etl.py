@@ -15,6 +15,7 @@ from ..config import (AGE_GROUP, AREA, CARE_LEVEL, CAUSE, FACILITY, FACILITY_TYP
                       POPULATION, POPULATION_COLUMNS, POPULATION_RENAMES, RATE, VISITS, YEAR,
                       Config)
 from ..functions.classify import care_level, recode_cause
+from ..functions.numeric import nan_to_null
 from ..operators.clean import clean_feed, normalise_keys, rename_present, require_columns
 from ..operators.joins import join_population
 from ..operators.rates import row_rate
@@ -28,12 +29,13 @@ def long_visits(raw: DataFrame, cfg: Config) -> DataFrame:
 
 
 def normalise_population(pop: DataFrame) -> DataFrame:
-    """Population projections with canonical names and normalised keys."""
+    """Population projections with canonical names and normalised keys; a NaN
+    population is a missing one (N2)."""
     df = rename_present(pop, POPULATION_RENAMES)
     df = rename_present(df, POPULATION_COLUMNS)
     require_columns(df, [AREA, YEAR, AGE_GROUP, POPULATION], "population table")
     df = normalise_keys(df, text_keys=[AREA, AGE_GROUP], int_keys=[YEAR])
-    return df.withColumn(POPULATION, F.col(POPULATION).cast("double"))
+    return df.withColumn(POPULATION, nan_to_null(F.col(POPULATION).cast("double")))
 
 
 def joined(raw: DataFrame, pop: DataFrame, cfg: Config) -> DataFrame:

@@ -25,6 +25,9 @@ from ..config import (ACTION_ALARM, ACTION_EPIDEMIC, ACTION_SAFETY, ACTION_SUCCE
                       ZONE_SUCCESS, Config, driver_defaults)
 
 CFG: Config = driver_defaults()
+#: A year of 53 weeks, for the variants over whole years; target years of the variant with several.
+WHOLE_YEAR = 1998
+SEVERAL_TARGETS = (2001, 2000, 1998)
 
 # Python's str.isspace() set, spelled out for RE2.
 _WS = (r"[\t\n\x{0B}\x{0C}\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
@@ -275,7 +278,7 @@ PSCORE = f"""pbase AS (
   FROM pbase b LEFT JOIN pcur c ON b.scope = c.scope AND b.week = c.week
   WHERE b.scope IN (SELECT scope FROM pcur)
 ), psk AS (
-  SELECT *, CASE WHEN p_score > 0 THEN {q(PSCORE_EXCESS)} ELSE {q(PSCORE_DEFICIT)} END AS kind FROM ps
+  SELECT *, CASE WHEN current_rate > q2_hist THEN {q(PSCORE_EXCESS)} ELSE {q(PSCORE_DEFICIT)} END AS kind FROM ps
 )"""
 
 
@@ -411,7 +414,11 @@ def _ranking(keys: list[str], k: int | None) -> str:
     notnull = " AND ".join(f"{c} IS NOT NULL" for c in keys)
     inner = (f"SELECT {ks}, {exact_mean('rate')} AS rate FROM s WHERE {notnull} GROUP BY {ks} "
              f"ORDER BY rate DESC NULLS LAST, {ks}" + (f" LIMIT {k}" if k else ""))
-    return f"SELECT {ks}, {stable('rate')} AS rate FROM ({inner})"
+    return f"SELECT {ks}, {stable('rate')} AS rate, {_rank('rate', keys)} FROM ({inner})"
+
+
+def _rank(value: str, keys: list[str]) -> str:
+    return f"CAST(row_number() OVER (ORDER BY {value} DESC NULLS LAST, {', '.join(keys)}) AS INT) AS rank"
 
 
 def _first(col: str) -> str:
@@ -455,14 +462,15 @@ FROM joined"""
     s["cause_drift"] = with_() + (f"SELECT {utrim('cause')} AS cause, CAST(count(*) AS BIGINT) AS rows, "
                                   f"sum(visits) AS visits FROM master WHERE {utrim('cause')} NOT IN ({known}) GROUP BY 1")
     s["care_level"] = with_() + "SELECT facility_type, care_level, CAST(count(*) AS BIGINT) AS rows FROM m GROUP BY 1, 2"
-    s["selector_values"] = with_() + """SELECT DISTINCT 'year' AS kind, CAST(year AS VARCHAR) AS value FROM m
-UNION ALL SELECT DISTINCT 'area', area FROM m
-UNION ALL SELECT DISTINCT 'age_group', age_group FROM m"""
+    s["selector_values"] = with_() + """SELECT 'year' AS kind, CAST(row_number() OVER (ORDER BY year DESC) AS INT) AS position, CAST(year AS VARCHAR) AS value
+FROM (SELECT DISTINCT year FROM m)
+UNION ALL SELECT 'area', CAST(row_number() OVER (ORDER BY area) AS INT), area FROM (SELECT DISTINCT area FROM m)
+UNION ALL SELECT 'age_group', CAST(row_number() OVER (ORDER BY age_group) AS INT), age_group FROM (SELECT DISTINCT age_group FROM m)"""
 
     s["top_areas"] = with_(_slice()) + _ranking(["area"], None)
     s["top5_causes"] = with_(_slice()) + _ranking(["cause"], CFG.top_causes)
     s["top10_facilities"] = with_(_slice()) + _ranking(["area", "facility"], CFG.top_facilities)
-    s["top10_facilities_by_age"] = with_(_slice(f"age_group = {_first('age_group')}")) + f"""SELECT * FROM (
+    s["top10_facilities_by_age"] = with_(_slice(f"age_group = {_first('age_group')}")) + f"""SELECT *, {_rank('visits', ['facility', 'care_level'])} FROM (
   SELECT facility, care_level, sum(visits) AS visits FROM s WHERE facility IS NOT NULL AND care_level IS NOT NULL
   GROUP BY 1, 2 ORDER BY visits DESC NULLS LAST, facility, care_level LIMIT {CFG.top_facilities})"""
     s["facility_ranking"] = with_(_slice(f"area = {_first('area')}")) + _ranking(["facility", "care_level"], None)
@@ -486,6 +494,10 @@ GROUP BY 1, 2"""
 FROM (SELECT sum(visits) AS total_visits,
   sum(CASE WHEN care_level = {q(LEVEL_HOSPITAL)} THEN visits ELSE 0.0 END) AS hospital_visits,
   sum(CASE WHEN care_level = {q(LEVEL_PRIMARY)} THEN visits ELSE 0.0 END) AS primary_visits FROM s)"""
+    whole = f"s AS (SELECT * FROM m WHERE year = {WHOLE_YEAR} AND week BETWEEN 1 AND 53)"
+    s["top_areas_whole_year"] = s["top_areas"].replace(_slice(), whole)
+    s["kpi_totals_whole_year"] = s["kpi_totals"].replace(_slice(), whole)
+    s["area_share_whole_year"] = s["area_share"].replace(_slice(), whole)
     s["insights"] = with_(_slice()) + f"""SELECT leading_cause, leading_cause_visits, total_visits,
   {stable('leading_cause_visits / nullif(total_visits, 0) * CAST(100 AS DOUBLE)')} AS leading_cause_pct,
   (SELECT age_group FROM (SELECT age_group, {exact_mean('rate')} AS r FROM s WHERE age_group IS NOT NULL
@@ -494,10 +506,10 @@ FROM (SELECT cause AS leading_cause, v AS leading_cause_visits FROM
         (SELECT cause, sum(visits) AS v FROM s WHERE cause IS NOT NULL GROUP BY cause)
       ORDER BY v DESC NULLS LAST, cause LIMIT 1),
      (SELECT sum(visits) AS total_visits FROM s)"""
-    s["overview_bundle"] = with_(_slice()) + f"""SELECT 'areas' AS ranking, area AS key, CAST(NULL AS VARCHAR) AS key2, rate
+    s["overview_bundle"] = with_(_slice()) + f"""SELECT 'areas' AS ranking, rank, area AS key, CAST(NULL AS VARCHAR) AS key2, rate
 FROM ({_ranking(['area'], None)})
-UNION ALL SELECT 'causes', cause, NULL, rate FROM ({_ranking(['cause'], CFG.top_causes)})
-UNION ALL SELECT 'facilities', area, facility, rate FROM ({_ranking(['area', 'facility'], CFG.top_facilities)})"""
+UNION ALL SELECT 'causes', rank, cause, NULL, rate FROM ({_ranking(['cause'], CFG.top_causes)})
+UNION ALL SELECT 'facilities', rank, area, facility, rate FROM ({_ranking(['area', 'facility'], CFG.top_facilities)})"""
     s["peak_area"] = with_(_slice()) + f"""SELECT area, {stable('rate')} AS rate FROM
   (SELECT area, {exact_mean('rate')} AS rate FROM s WHERE area IS NOT NULL GROUP BY area)
 ORDER BY rate DESC NULLS LAST, area LIMIT 1"""
@@ -528,11 +540,22 @@ UNION ALL SELECT scope, NULL, NULL FROM series WHERE year = {_eval_year()} GROUP
              f"{stable('p_score')} AS p_score, kind")
     s["pscore_weekly"] = with_(SERIES, PSCORE) + f"SELECT {pcols} FROM psk WHERE scope = {q(GLOBAL_SCOPE)}"
     s["pscore_by_area"] = with_(SERIES, PSCORE) + f"SELECT {pcols} FROM psk"
-    s["pscore_summary"] = with_(SERIES, PSCORE) + f"""SELECT scope, {stable('peak_pscore')} AS peak_pscore, peak_week,
-  {stable('mean_excess')} AS mean_excess, {_severity('peak_pscore')} AS severity FROM (
-  SELECT scope, max(p_score) AS peak_pscore, arg_min(week, struct_pack(n := -p_score, w := week)) AS peak_week,
-         coalesce(avg(CASE WHEN p_score > 0 THEN p_score END), CAST(0.0 AS DOUBLE)) AS mean_excess
-  FROM psk WHERE p_score IS NOT NULL GROUP BY scope)"""
+    summary = f"""SELECT scope, {stable('peak_pscore')} AS peak_pscore,
+  coalesce(first_beyond, first_peak) AS peak_week, {stable('mean_excess')} AS mean_excess, zero_median_weeks,
+  CASE WHEN zero_median_weeks > 0 THEN {q(SEVERITY_BANDS[0][1])} ELSE {_severity('peak_pscore')} END AS severity FROM (
+  SELECT scope, max(p_score) AS peak_pscore,
+         arg_min(CASE WHEN p_score IS NOT NULL THEN week END, struct_pack(n := -p_score, w := week)) FILTER (p_score IS NOT NULL) AS first_peak,
+         min(CASE WHEN q2_hist = 0 AND current_rate > 0 THEN week END) AS first_beyond,
+         coalesce(avg(CASE WHEN p_score > 0 THEN p_score END), CAST(0.0 AS DOUBLE)) AS mean_excess,
+         CAST(count_if(q2_hist = 0 AND current_rate > 0) AS BIGINT) AS zero_median_weeks
+  FROM psk WHERE p_score IS NOT NULL OR (q2_hist = 0 AND current_rate > 0) GROUP BY scope)"""
+    s["pscore_summary"] = with_(SERIES, PSCORE) + summary
+    quiet = f"""series AS (
+  SELECT * REPLACE (CASE WHEN {_baseline()} AND week % 5 = 0 THEN CAST(0.0 AS DOUBLE) ELSE rate END AS rate) FROM series0
+)"""
+    loud = SERIES.replace("), series AS (", "), series0 AS (")
+    s["pscore_zero_median"] = with_(loud, quiet, PSCORE) + f"SELECT {pcols} FROM psk"
+    s["pscore_zero_median_summary"] = with_(loud, quiet, PSCORE) + summary
 
     w = CFG.smoothing_window
     frame = f"ROWS BETWEEN {w // 2} PRECEDING AND {(w - 1) // 2} FOLLOWING"
@@ -595,6 +618,17 @@ FROM (SELECT DISTINCT cause, facility_type, area FROM raw)"""
   nullif(population, 0) IS NULL AS zero_population,
   coalesce(rate, CAST(0.0 AS DOUBLE)) AS rate_or_zero
 FROM series WHERE scope = {q(GLOBAL_SCOPE)}"""
+    one = "(VALUES " + ", ".join(f"({t})" for t in CFG.target_years) + ")"
+    several = "(VALUES " + ", ".join(f"({t})" for t in SEVERAL_TARGETS) + ")"
+    s["forecast_several_targets"] = s["forecast_by_area"].replace(one, several)
+    s["forecast_kpis_several_targets"] = s["forecast_kpis"].replace(one, several)
+    gaps = POP.replace("AS population,", "AS population_,", 1).replace("age_group, population FROM (", "age_group, "
+        "CASE WHEN age_group = 'BUILDING' AND CAST(unnest(yrs) AS INT) % 2 = 0 THEN NULL ELSE population_ END AS population FROM (")
+    s["nan_population_rates"] = with_().replace(POP, gaps) + f"""SELECT year, age_group, CAST(count(*) AS BIGINT) AS rows,
+  CAST(count_if(population = 0) AS BIGINT) AS zero_population_rows, {stable(exact_mean('rate'))} AS mean_rate
+FROM master GROUP BY 1, 2"""
+    s["refresh_roundtrip"] = s["master_summary"].replace("SELECT year,", "SELECT true AS published, true AS bad_refused, "
+        "true AS missing_refused, 0 AS admin_columns, year,", 1)
     s["head_active_rows"] = with_() + (
         "SELECT * FROM master WHERE visits > 0 ORDER BY area, year, week, facility, cause, age_group LIMIT 5")
     return s

@@ -56,6 +56,25 @@ def test_clean_unpivot_join_rate(spark):
     assert {r.care_level for r in view.collect()} == {C.LEVEL_HOSPITAL}
 
 
+def test_nan_counts_as_missing(spark):
+    """A NaN population gives population 0 and rate 0 and is an orphan; a NaN
+    count is 0 where rows may be incomplete."""
+    from epiwatch.operators.joins import orphan_audit
+    from epiwatch.operators.rankings import null_audit, top_areas
+
+    feed = spark.createDataFrame([_row(year=2019)], FEED_SCHEMA).withColumn(
+        "NumMenor1Anio", F.lit(float("nan")))
+    cfg = C.surveillance_defaults().with_(required_only=("cause",))
+    pop = _pop(spark, [("Tomé", 2019, g, float("nan") if g == "65oMas" else 100.0) for g in C.FEED_AGE_COLUMNS.values()])
+    m = build_master(feed, pop, cfg)
+    rows = {r.age_group: r for r in m.collect()}
+    assert rows["Menor1Anio"].visits == 0.0 and rows["Menor1Anio"].rate == 0.0
+    assert rows["65oMas"].population == 0.0 and rows["65oMas"].rate == 0.0
+    assert orphan_audit(joined(feed, pop, cfg)).first().orphan_rows == 1
+    assert null_audit(pop).first().poblacion_nulls == 1
+    assert top_areas(dashboard_view(m, cfg), cfg, F.lit(2019)).first().rate > 0
+
+
 def test_duplicate_population_keys_fan_out(spark):
     feed = spark.createDataFrame([_row()], FEED_SCHEMA)
     pop = _pop(spark, [("Tomé", 2019, "Menor1Anio", 10.0), ("Tomé", 2019, "Menor1Anio", 20.0)])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from epiwatch import config as C
 from epiwatch.operators.channel import quartiles, zone
-from epiwatch.operators.pscore import pscore, severity
+from epiwatch.operators.pscore import pscore, pscore_summary, severity
 from epiwatch.operators.rankings import arg_max
 from epiwatch.operators.reshape import interpolate_linear
 from epiwatch.operators.trend import centred_mean
@@ -53,14 +53,28 @@ def test_zone_bounds_and_missing_quartile(spark):
     assert got == [C.ZONE_SAFETY, C.ZONE_ALARM, C.ZONE_EPIDEMIC, C.ZONE_SUCCESS, C.ZONE_EPIDEMIC]
 
 
-def test_pscore_zero_median_is_null_deficit(spark):
+def test_demand_over_a_zero_median_is_the_strongest_alarm(spark):
     cfg = C.Config(baseline_years=(2014, 2015), eval_year=2016)
     rows = [("G", 2014, 1, 0.0), ("G", 2015, 1, 0.0), ("G", 2016, 1, 1.0),
             ("G", 2014, 2, 2.0), ("G", 2015, 2, 4.0), ("G", 2016, 2, 6.0)]
     series = spark.createDataFrame(rows, "scope string, year int, week int, rate double")
     out = {r.week: r for r in pscore(series, cfg, F.lit(2016)).collect()}
-    assert out[1].p_score is None and out[1].kind == C.PSCORE_DEFICIT
+    assert out[1].p_score is None and out[1].kind == C.PSCORE_EXCESS
     assert out[2].p_score == 100.0 and out[2].kind == C.PSCORE_EXCESS
+    r = pscore_summary(pscore(series, cfg, F.lit(2016))).collect()[0]
+    assert (r.peak_week, r.peak_pscore, r.mean_excess, r.zero_median_weeks) == (1, 100.0, 100.0, 1)
+    assert r.severity == C.SEVERITY_BANDS[0][1]
+
+
+def test_no_demand_over_a_zero_median_is_no_alarm(spark):
+    cfg = C.Config(baseline_years=(2014, 2015), eval_year=2016)
+    rows = [("G", 2014, 1, 0.0), ("G", 2016, 1, 0.0), ("G", 2014, 2, 2.0), ("G", 2016, 2, 1.0), ("G", 2014, 3, 2.0), ("G", 2016, 3, None),
+            ("H", 2014, 1, 0.0), ("H", 2016, 1, 0.0)]
+    series = spark.createDataFrame(rows, "scope string, year int, week int, rate double")
+    ps = pscore(series, cfg, F.lit(2016))
+    assert {(r.scope, r.week): r.kind for r in ps.collect()} == {(s, w): C.PSCORE_DEFICIT for s, w in (("G", 1), ("G", 2), ("G", 3), ("H", 1))}
+    r = pscore_summary(ps).collect()
+    assert [(x.scope, x.peak_pscore, x.peak_week, x.zero_median_weeks, x.severity) for x in r] == [("G", -50.0, 2, 0, C.SEVERITY_NORMAL)]
 
 
 def test_severity_bands(spark):
