@@ -12,7 +12,7 @@ so jobs take it as a parameter instead of hard-coding it.  Two presets exist:
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 # ---------------------------------------------------------------------------
 # Engine column names (the master table schema uses these).
@@ -184,7 +184,6 @@ class Config:
     # Rows are dropped when *any* column is null (faithful default); set a
     # subset to drop only on those columns (documented variant).
     required_only: tuple[str, ...] | None = None
-    extra: dict = field(default_factory=dict, compare=False, hash=False)
 
     def with_(self, **kw) -> "Config":
         return replace(self, **kw)

@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 from ..config import (AGE_GROUP, AREA, CARE_LEVEL, CAUSE, FACILITY, LEVEL_HOSPITAL, LEVEL_PRIMARY,
                       RATE, VISITS, WEEK, YEAR, Config)
 from ..functions.numeric import cents, exact_mean_2dp, safe_div, stable
-from .rates import optional_eq, year_weeks
+from .rates import optional_area, optional_eq, year_weeks
 
 
 def year_slice(df: DataFrame, year, weeks, area=None, age=None) -> DataFrame:
     """Rows of one year and week window, optionally one area / age group."""
     out = year_weeks(df, year, weeks)
-    out = optional_eq(out, AREA, area)
+    out = optional_area(out, area)
     return optional_eq(out, AGE_GROUP, age)
 
 

@@ -8,7 +8,7 @@ the fact table is scanned and shuffled once however many scopes are served.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,20 +35,20 @@ def year_weeks(df: DataFrame, year: int | Column, weeks: tuple[int, int]) -> Dat
 
 
 def optional_eq(df: DataFrame, col: str, value) -> DataFrame:
-    """Filter only when a value is given ("Global"/"all" = no filter)."""
+    """Filter only when a value is given."""
     return df if value is None else df.where(F.col(col) == F.lit(value))
 
 
+def optional_area(df: DataFrame, area: str | None) -> DataFrame:
+    """Rows of one territory; None and "Global" mean all of them."""
+    return optional_eq(df, AREA, None if area == GLOBAL_SCOPE else area)
+
+
 def baseline_years(df: DataFrame, cfg: Config) -> DataFrame:
     lo, hi = cfg.baseline_years
     return df.where(F.col(YEAR).between(lo, hi))
 
 
-def training_years(df: DataFrame, cfg: Config, target: int | Column) -> DataFrame:
-    t = target if isinstance(target, Column) else F.lit(target)
-    return df.where(~F.col(YEAR).isin(list(cfg.excluded_years)) & (F.col(YEAR) < t))
-
-
 def latest_year(master: DataFrame) -> Column:
     """Latest year present, as a scalar subquery (evaluated once)."""
     return master.select(F.max(YEAR)).scalar()
@@ -137,14 +137,7 @@ def weekly_series(master: DataFrame, cfg: Config, by_target: bool = False) -> Da
     return scoped_series(totals, [TARGET] if by_target else [])
 
 
-def series_keys(by_target: bool) -> list[str]:
-    return [SCOPE, TARGET] if by_target else [SCOPE]
-
-
 def select_scope(series: DataFrame, scope: str | None) -> DataFrame:
     """Single-scope slice (B14); ``None`` keeps every scope."""
     return optional_eq(series, SCOPE, scope)
 
-
-def columns_present(df: DataFrame, cols: Iterable[str]) -> list[str]:
-    return [c for c in cols if c in df.columns]

@@ -32,12 +32,6 @@ def unpivot_ages(df: DataFrame, age_columns: Sequence[tuple[str, str]]) -> DataF
             .drop("_band", "_count"))
 
 
-def unpivot_series(df: DataFrame, ids: Sequence[str], series: Sequence[str],
-                   name_col: str = "series", value_col: str = "value") -> DataFrame:
-    """Several measure columns -> (name, value) rows (C2); NULL values kept."""
-    return df.unpivot(list(ids), list(series), name_col, value_col)
-
-
 def week_spine(keys: DataFrame, first: int = 1, last: int = 53) -> DataFrame:
     """Every key row repeated for weeks first..last (C4): an explode, no join."""
     return keys.select(*keys.columns, F.explode(F.sequence(F.lit(first), F.lit(last))).alias(WEEK))

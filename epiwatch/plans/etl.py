@@ -11,14 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..config import (AGE_GROUP, AREA, CARE_LEVEL, CAUSE, FACILITY, FACILITY_TYPE,
+from ..config import (AGE_GROUP, AREA, CARE_LEVEL, CAUSE, FACILITY, FACILITY_TYPE, GLOBAL_SCOPE,
                       POPULATION, POPULATION_COLUMNS, POPULATION_RENAMES, RATE, VISITS, YEAR,
                       Config)
 from ..functions.classify import care_level, recode_cause
 from ..functions.numeric import nan_to_null
 from ..operators.clean import clean_feed, normalise_keys, rename_present, require_columns
 from ..operators.joins import join_population
-from ..operators.rates import row_rate
+from ..operators.rates import TARGET, area_week_totals, cause_week_totals, row_rate, scoped_series, totals_from_cause_cube
 from ..operators.reshape import unpivot_ages
 
 
@@ -112,15 +112,27 @@ def dashboard_view(master: DataFrame, cfg: Config) -> DataFrame:
             .withColumn(CARE_LEVEL, care_level(level_src)))
 
 
+def cube_key(cfg: Config) -> str:
+    """The options that the cause cube depends on, beside the master's."""
+    return repr(cfg.cause_labels)
+
+
+def series_key(cfg: Config) -> str:
+    """The options that the weekly series depend on, beside the master's."""
+    return repr((cfg.cause_labels, cfg.target_causes, cfg.denominator))
+
+
 def run_pipeline(spark, feed_path: str, population_path: str, out_root: str,
                  cfg: Config) -> tuple[bool, str, dict]:
     """J19 end to end on landed files: guarded reads (A6), ETL, staged publish (A5).
 
-    Returns (ok, message, audit); the master is readable afterwards with
-    ``sources.refresh.read_current(spark, out_root)``.
+    One version holds the master, the (area, cause, year, week) cube, the
+    weekly series (all causes; per cause target) and a manifest. The fact rows
+    are aggregated once, for the cube; the series are rolled up from it.
+    Returns (ok, message, audit); ``api.load`` reads what was published.
     """
     from ..sources.parquet import read_table
-    from ..sources.refresh import publish
+    from ..sources.refresh import CUBE, WEEKLY, WEEKLY_BY_CAUSE, publish
 
     from ..config import FEED_COLUMNS
     from ..sources.store import partition_columns
@@ -134,6 +146,23 @@ def run_pipeline(spark, feed_path: str, population_path: str, out_root: str,
     def _write(path: str):
         audit.update(write_master(raw, pop, cfg, path, feed_by_year=by_year))
 
-    ok, msg = publish(spark, out_root, _write,
-                      required=[AREA, YEAR, AGE_GROUP, VISITS, POPULATION, RATE])
+    def _check(master: DataFrame) -> str | None:
+        taken = not master.where(F.col(AREA) == GLOBAL_SCOPE).isEmpty()
+        return f"an area is called {GLOBAL_SCOPE!r}, the name of the roll-up" if taken else None
+
+    def _derive(master: DataFrame, version: str) -> dict:
+        view = dashboard_view(master, cfg)
+        cause_week_totals(view).write.parquet(f"{version}/{CUBE}")
+        cube = spark.read.parquet(f"{version}/{CUBE}")
+        for name, by_target in ((WEEKLY, False), (WEEKLY_BY_CAUSE, True)):
+            if by_target and not cfg.target_causes:
+                continue
+            totals = (totals_from_cause_cube(cube, cfg, by_target) if cfg.denominator == "row_sum"
+                      else area_week_totals(view, cfg, by_target))
+            scoped_series(totals, [TARGET] if by_target else []).write.parquet(f"{version}/{name}")
+        years = [r[0] for r in cube.select(YEAR).distinct().orderBy(YEAR).collect()]  # a few calendar years
+        return {"years": years, "series_key": series_key(cfg), "cube_key": cube_key(cfg)}
+
+    ok, msg = publish(spark, out_root, _write, required=[AREA, YEAR, AGE_GROUP, VISITS, POPULATION, RATE],
+                      check=_check, derive=_derive)
     return ok, msg, audit

@@ -21,7 +21,7 @@ from . import driver_tables
 from .store import fingerprint, materialise, materialise_df, read_published
 
 # Bump when the landing or ETL logic changes, so stored tables are rebuilt.
-STORE_VERSION = "8"
+STORE_VERSION = "9"
 
 RAW_SOURCES = ("lineitem", "orders", "customer", "supplier", "nation", "region", "part")
 POP_SOURCES = ("customer", "nation", "orders")
@@ -44,9 +44,24 @@ def population(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise_df(spark, "population", key, lambda: driver_tables.population(spark, sf_dir))
 
 
+#: The options that each stored table depends on, beside the tables it comes from.
+ETL_OPTIONS = ("service", "excluded_causes", "spelling", "spelling_columns", "age_columns", "drop_columns", "required_only")
+SERIES_OPTIONS = ("cause_labels", "target_causes", "denominator")
+MODEL_OPTIONS = ("baseline_years", "excluded_years", "recent_year", "recent_weight", "base_weight", "base_year", "period",
+                 "target_years", "threshold_years")
+
+
+def _key(spark: SparkSession, sf_dir: str, cfg: Config, *options: str) -> str:
+    names = sorted(set(RAW_SOURCES) | set(POP_SOURCES))
+    return fingerprint(spark, _paths(sf_dir, names), f"{STORE_VERSION}-" + repr([(o, getattr(cfg, o)) for o in options]))
+
+
 def _master_key(spark: SparkSession, sf_dir: str, cfg: Config) -> str:
-    return fingerprint(spark, _paths(sf_dir, sorted(set(RAW_SOURCES) | set(POP_SOURCES))),
-                       f"master-{STORE_VERSION}" + repr(cfg))
+    return _key(spark, sf_dir, cfg, *ETL_OPTIONS)
+
+
+def _series_key(spark: SparkSession, sf_dir: str, cfg: Config) -> str:
+    return _key(spark, sf_dir, cfg, *ETL_OPTIONS, *SERIES_OPTIONS)
 
 
 def master(spark: SparkSession, sf_dir: str, cfg: Config | None = None) -> DataFrame:
@@ -70,7 +85,7 @@ def weekly_series(spark: SparkSession, sf_dir: str, cfg: Config | None = None,
     of the same path are served from memory (Spark's cache manager matches
     them), and a lost executor only means re-reading the small file."""
     cfg = cfg or driver_defaults()
-    key = _master_key(spark, sf_dir, cfg) + ("-t" if by_target else "")
+    key = _series_key(spark, sf_dir, cfg) + ("-t" if by_target else "")
     extra = [TARGET] if by_target else []
 
     def build() -> DataFrame:
@@ -86,7 +101,7 @@ def cause_cube(spark: SparkSession, sf_dir: str, cfg: Config | None = None) -> D
     """Visits and population per (area, cause, year, week): the single
     aggregation of the fact table behind every weekly series."""
     cfg = cfg or driver_defaults()
-    return materialise_df(spark, "cube", _master_key(spark, sf_dir, cfg),
+    return materialise_df(spark, "cube", _key(spark, sf_dir, cfg, *ETL_OPTIONS, "cause_labels"),
                           lambda: cause_week_totals(analysed(spark, sf_dir, cfg)))
 
 
@@ -97,7 +112,7 @@ def forecasts(spark: SparkSession, sf_dir: str, cfg: Config | None = None,
     version (values unrounded); forecast tables, evaluations and KPIs are
     derived from it.  Small (52 rows per series), so it is cached as well."""
     cfg = cfg or driver_defaults()
-    key = _master_key(spark, sf_dir, cfg) + ("-t" if by_target else "")
+    key = _key(spark, sf_dir, cfg, *ETL_OPTIONS, *SERIES_OPTIONS, *MODEL_OPTIONS) + ("-t" if by_target else "")
     keys = ["scope", TARGET] if by_target else ["scope"]
     df = materialise_df(spark, "forecast", key,
                         lambda: forecast(weekly_series(spark, sf_dir, cfg, by_target), keys, cfg))

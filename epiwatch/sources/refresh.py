@@ -2,7 +2,8 @@
 
 A snapshot is written to a new version folder, read back and validated
 (required columns, minimum row count, optional extra check); only then is the
-``CURRENT`` pointer switched to it.  A failed write or validation leaves the
+``CURRENT`` pointer switched to it, by renaming a complete new pointer over the
+old one, so a reader sees the one or the other.  A failed write or validation leaves the
 published version untouched.  Nothing is deleted: old versions stay until a
 retention job removes them, so readers of the previous version are never cut
 off mid-query.
@@ -10,6 +11,7 @@ off mid-query.
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from collections.abc import Callable, Iterable
@@ -20,15 +22,24 @@ from ..operators.clean import require_columns
 from .store import SUCCESS, _jvm_fs, path_exists
 
 POINTER = "CURRENT"
+MANIFEST = "MANIFEST.json"
+MASTER, CUBE, WEEKLY, WEEKLY_BY_CAUSE = "master", "cube", "weekly", "weekly_by_cause"
 
 
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    p, fs = _jvm_fs(spark, path)
-    out = fs.create(p, True)
+    """Replace the file at ``path`` in one step: write beside it, rename over it."""
+    new, fs = _jvm_fs(spark, f"{path}.{uuid.uuid4().hex[:12]}.new")
+    out = fs.create(new, False)
     try:
         out.write(bytearray(text.encode("utf-8")))
     finally:
         out.close()
+    sc = spark.sparkContext
+    hadoop = sc._jvm.org.apache.hadoop.fs
+    files = hadoop.FileContext.getFileContext(new.toUri(), sc._jsc.hadoopConfiguration())
+    options = sc._gateway.new_array(hadoop.Options.Rename, 1)
+    options[0] = hadoop.Options.Rename.OVERWRITE
+    files.rename(new, hadoop.Path(path), options)
 
 
 def _read_text(spark: SparkSession, path: str) -> str | None:
@@ -46,32 +57,46 @@ def _read_text(spark: SparkSession, path: str) -> str | None:
 
 
 def current_version(spark: SparkSession, root: str) -> str | None:
-    """Path of the published version, or None when nothing is published."""
-    v = _read_text(spark, f"{root.rstrip('/')}/{POINTER}")
-    if v and path_exists(spark, f"{v}/{SUCCESS}"):
-        return v
+    """Path of the published version, or None when nothing is published. The
+    pointer holds a name relative to ``root``, so a published folder can move."""
+    root = root.rstrip("/")
+    name = _read_text(spark, f"{root}/{POINTER}")
+    if name and path_exists(spark, f"{root}/{name}/{MASTER}/{SUCCESS}"):
+        return f"{root}/{name}"
     return None
 
 
-def read_current(spark: SparkSession, root: str) -> DataFrame:
+def read_current(spark: SparkSession, root: str, table: str = MASTER) -> DataFrame:
+    """A table of the published version."""
     v = current_version(spark, root)
     if v is None:
         raise FileNotFoundError(f"no published snapshot under {root}")
-    return spark.read.parquet(v)
+    return spark.read.parquet(f"{v}/{table}")
+
+
+def read_manifest(spark: SparkSession, root: str) -> dict:
+    """What was published: years, rows, and the options of its tables."""
+    v = current_version(spark, root)
+    text = _read_text(spark, f"{v}/{MANIFEST}") if v else None
+    return json.loads(text) if text else {}
 
 
 def publish(spark: SparkSession, root: str, write: Callable[[str], object],
             required: Iterable[str] = (), min_rows: int = 1,
-            check: Callable[[DataFrame], str | None] | None = None) -> tuple[bool, str]:
-    """Write a new version with ``write(path)``, validate it and publish it.
+            check: Callable[[DataFrame], str | None] | None = None,
+            derive: Callable[[DataFrame, str], dict] | None = None) -> tuple[bool, str]:
+    """Write a new version's master with ``write(path)``, validate it, add what
+    ``derive(master, version)`` writes beside it and returns for the manifest,
+    and publish the version.
 
     Returns ``(ok, message)``; on failure the previous version stays current.
     """
     root = root.rstrip("/")
-    version = f"{root}/v-{time.strftime('%Y%m%dT%H%M%S')}-{uuid.uuid4().hex[:8]}"
+    name = f"v-{time.strftime('%Y%m%dT%H%M%S')}-{uuid.uuid4().hex[:8]}"
+    version = f"{root}/{name}"
     try:
-        write(version)
-        df = spark.read.parquet(version)
+        write(f"{version}/{MASTER}")
+        df = spark.read.parquet(f"{version}/{MASTER}")
         require_columns(df, list(required), "snapshot")
         n = df.count()
         if n < min_rows:
@@ -79,18 +104,11 @@ def publish(spark: SparkSession, root: str, write: Callable[[str], object],
         problem = check(df) if check else None
         if problem:
             return False, f"snapshot rejected: {problem}; previous version kept"
+        manifest = {"rows": n, **(derive(df, version) if derive else {})}
+        _write_text(spark, f"{version}/{MANIFEST}", json.dumps(manifest) + "\n")
     except Exception as exc:  # the old version stays published
         return False, f"snapshot failed: {type(exc).__name__}: {exc}"
-    _write_text(spark, f"{root}/{POINTER}", version + "\n")
+    _write_text(spark, f"{root}/{POINTER}", name + "\n")
     spark.catalog.refreshByPath(root)
     return True, f"published {version} ({n} rows)"
 
-
-def publish_df(spark: SparkSession, root: str, df: DataFrame, partition_by: str | None = None,
-               **kw) -> tuple[bool, str]:
-    def _write(path: str):
-        w = df.write.mode("error")
-        if partition_by:
-            w = w.partitionBy(partition_by)
-        w.parquet(path)
-    return publish(spark, root, _write, **kw)

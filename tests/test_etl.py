@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from epiwatch import config as C
 from epiwatch.plans.etl import build_master, dashboard_view, joined, long_visits, run_pipeline
-from epiwatch.sources.refresh import current_version, publish_df, read_current
+from epiwatch.sources.refresh import current_version, publish, read_current
 
 FEED_SCHEMA = ("EstablecimientoCodigo string, RegionCodigo string, ComunaCodigo string, ServicioSaludCodigo string, "
                "DependenciaAdministrativa string, TipoUrgencia string, NivelComplejidad string, OrdenCausa string, "
@@ -102,7 +102,7 @@ def test_pipeline_publish_and_failed_refresh_keeps_old(spark, scratch):
     first = current_version(spark, f"{scratch}/master")
     assert read_current(spark, f"{scratch}/master").count() == 5
     # a refresh whose validation fails leaves the published version in place
-    ok2, msg2 = publish_df(spark, f"{scratch}/master", feed.limit(0), min_rows=1)
+    ok2, msg2 = publish(spark, f"{scratch}/master", lambda p: feed.limit(0).write.parquet(p), min_rows=1)
     assert not ok2 and current_version(spark, f"{scratch}/master") == first
     # a missing input stops before any work
     import pytest

@@ -53,10 +53,10 @@ def test_required_only_drop_variant(spark):
 
 
 def test_training_years_slice(spark):
-    from epiwatch.operators.rates import training_years
-    cfg = C.Config(excluded_years=(2020, 2021, 2022))
-    df = spark.createDataFrame([(y,) for y in range(2018, 2026)], "year int")
-    got = sorted(r.year for r in training_years(df, cfg, 2025).collect())
+    from epiwatch.operators.forecast import training_rows
+    cfg = C.Config(excluded_years=(2020, 2021, 2022), target_years=(2025,))
+    df = spark.createDataFrame([("G", y, 1, 2.0) for y in range(2018, 2026)], "scope string, year int, week int, rate double")
+    got = sorted(r.year for r in training_rows(df, ["scope"], cfg).collect())
     assert got == [2018, 2019, 2023, 2024]
 
 
