@@ -30,7 +30,7 @@ CHUNKS = "chunk string, chars long, doc_id array<long>, size array<int>, texts b
 
 def pack(x: np.ndarray) -> bytes:
     """Integers by byte planes, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
 
 
 def unpack(data: bytes, kind: type) -> np.ndarray:
