@@ -160,10 +160,11 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): one root for each
     connected component.
 
-    Random contraction: in each round a node moves to the neighbour (or itself)
-    of least hash, and edges are renamed; the hash differs by round, so the
-    number of nodes falls geometrically whatever the shape. Rounds are cut by
-    checkpoint(); nothing is collected.
+    Random contraction: in each round a node moves to the node of least hash
+    within two steps of it, and edges are renamed. A star is one node after a
+    round, and as the hash differs by round, the number of nodes falls
+    geometrically whatever the shape. Rounds are cut by checkpoint(); nothing
+    is collected.
     """
     shared_dir(edges.sparkSession)
     left = edges.select("a", "b").where("a <> b").distinct().checkpoint()
@@ -172,8 +173,9 @@ def components(edges: DataFrame) -> DataFrame:
         def rank(c: str, k: int = len(moves)) -> Column:
             return F.struct(F.xxhash64(F.lit(k), c).alias("h"), F.col(c).alias("node"))
         both = left.union(left.select("b", "a"))
-        to = both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(
-            F.col("a").alias("node"), F.least(rank("a"), F.col("m"))["node"].alias("root")).checkpoint()
+        one = both.groupBy("a").agg(F.min(rank("b")).alias("m")).select("a", F.least(rank("a"), F.col("m")).alias("m"))
+        near = both.join(one.select(F.col("a").alias("b"), "m"), "b")
+        to = near.groupBy("a").agg(F.min("m").alias("m")).select(F.col("a").alias("node"), F.col("m")["node"].alias("root")).checkpoint()
         moves.append(to)
         left = (left.join(to.select(F.col("node").alias("a"), F.col("root").alias("x")), "a")
                 .join(to.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")

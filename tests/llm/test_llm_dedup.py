@@ -11,7 +11,8 @@ from llm_fixtures import SCHEMA, Groups, lower, split
 from pyspark.sql import functions as F
 
 from epiwatch.llm.common import components, linked
-from epiwatch.llm.line_dedup import block_masks, line_dedup, removals, simhash
+from epiwatch.llm import line_dedup as line_module
+from epiwatch.llm.line_dedup import alike, block_masks, line_dedup, removals, simhashes
 from epiwatch.llm.simhash_dedup import covering_masks, fingerprint, near_duplicates, one_of_each
 from epiwatch.llm.substring_dedup import substring_dedup
 
@@ -108,11 +109,39 @@ def edit_distance(a: str, b: str) -> int:
 
 
 def test_simhash_of_lines(spark):
-    lines = ["a b c", "x", "one two " * 100, " ".join(f"w{i % 90}" for i in range(600)), "é ß 🙂", " ".join(str(i) for i in range(40_000))]
-    df = spark.createDataFrame([(x.strip(),) for x in lines], "t string").select("t", F.split("t", " ").alias("w"))
-    for x in df.select(simhash(F.col("w")).alias("fp"), F.transform("w", lambda w: F.xxhash64(w)).alias("h")).collect():
+    lines = ["a b c", "x", " ".join(["one two"] * 100), " ".join(f"w{i % 90}" for i in range(600)), "é ß 🙂", " ".join(str(i) for i in range(40_000))]
+    df = spark.createDataFrame(list(enumerate(lines)), "k long, line string")
+    found = {x.k: x.fp for x in simhashes(df, ["k"]).collect()}
+    assert sorted(found) == list(range(len(lines)))
+    for x in df.select("k", F.transform(F.array_distinct(F.split("line", " ")), lambda w: F.xxhash64(w)).alias("h")).collect():
         h = [v % 2**64 for v in x.h]
-        assert x.fp % 2**64 == sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in h) > len(h))
+        assert found[x.k] % 2**64 == sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in h) > len(h))
+
+
+def test_alike_is_the_edit_similarity(spark):
+    r = random.Random(8)
+    rows = []
+    for i in range(300):
+        w = ["".join(r.choice("abc") for _ in range(r.randint(1, 6))) for _ in range(r.randint(1, 12))]
+        v = list(w)
+        for _ in range(r.randint(0, 4)):
+            at = r.randrange(len(v))
+            v[at:at + 1] = r.choice([[], [r.choice("xyz") * r.randint(1, 5)], [v[at], "q"]])
+            v = v or ["z"]
+        rows.append((i, " ".join(w), " ".join(v)))
+    got = {x.i: x.ok for x in spark.createDataFrame(rows, "i long, x string, y string").select("i", alike("x", "y", 0.8).alias("ok")).collect()}
+    want = {i: edit_distance(x, y) <= int(0.2 * max(len(x), len(y)) + 1e-9) for i, x, y in rows}
+    assert got == want
+    assert 50 < sum(want.values()) < 250
+
+
+@pytest.mark.parametrize("bits", [2**15, 2**26])
+def test_filter_over_wanted_lines_is_exact(spark, monkeypatch, bits):
+    monkeypatch.setattr(line_module, "FILTER_BITS", bits)
+    lines = spark.range(-5000, 5000).select((F.col("id") * 7919).alias("id"), F.col("id").alias("line"))
+    wanted = spark.range(-900, 3000, 3).select((F.col("id") * 7919).alias("id"))
+    got = sorted(x.id for x in line_module._those_of(lines, wanted).collect())
+    assert got == [i * 7919 for i in range(-900, 3000, 3)]
 
 
 def brute_removals(spark, rows) -> dict:
@@ -122,7 +151,7 @@ def brute_removals(spark, rows) -> dict:
             if words_of_line(raw):
                 places[" ".join(words_of_line(raw))].append((i, k, t))
     lines = [x for x in places]
-    fps = {x.t: x.fp % 2**64 for x in spark.createDataFrame([(x,) for x in lines], "t string").select("t", simhash(F.split("t", " ")).alias("fp")).collect()}
+    fps = {x.k: x.fp % 2**64 for x in simhashes(spark.createDataFrame([(x, x) for x in lines], "k string, line string"), ["k"]).collect()}
     g = Groups()
     for a, b in combinations(lines, 2):
         if (fps[a] ^ fps[b]).bit_count() <= 2 and edit_distance(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9:
