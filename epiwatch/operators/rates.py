@@ -39,9 +39,10 @@ def optional_eq(df: DataFrame, col: str, value) -> DataFrame:
     return df if value is None else df.where(F.col(col) == F.lit(value))
 
 
-def optional_area(df: DataFrame, area: str | None) -> DataFrame:
+def optional_area(df: DataFrame, area: str | Column | None) -> DataFrame:
     """Rows of one territory; None and "Global" mean all of them."""
-    return optional_eq(df, AREA, None if area == GLOBAL_SCOPE else area)
+    every = isinstance(area, str) and area == GLOBAL_SCOPE  # area may also be a column
+    return optional_eq(df, AREA, None if every else area)
 
 
 def baseline_years(df: DataFrame, cfg: Config) -> DataFrame:

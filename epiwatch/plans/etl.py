@@ -74,9 +74,10 @@ def master_for_write(raw: DataFrame, pop: DataFrame, cfg: Config, feed_by_year:
                      observation: Observation | None = None) -> DataFrame:
     """The master rows exactly as ``write_master`` writes them.
 
-    ``feed_by_year``: the feed is stored partitioned by year, so every scan
-    task holds one year and writes one directory -- the ETL runs without any
-    shuffle (the population side is broadcast).  Otherwise the rows are
+    ``feed_by_year``: the feed is stored partitioned by year, so a scan task
+    holds few years (small files of several may share a task) and writes few
+    directories -- the ETL runs without any shuffle where the population side
+    is broadcast.  Otherwise the rows are
     rebalanced on the year first (AQE splits a hot year into advisory-sized
     tasks and merges small ones), so tasks do not each write every year.
     Inside a task rows are sorted by area and week, so row-group statistics

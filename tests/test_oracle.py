@@ -19,7 +19,13 @@ def con():
 
 def _names():
     import __spark_entry__ as e
-    return sorted(e.queries())
+    return sorted(set(e.queries()) & set(e.oracle_sql()))
+
+
+def test_every_query_of_the_catalog_has_sql():
+    import __spark_entry__ as e
+    from epiwatch.plans.catalog import QUERIES
+    assert set(QUERIES) <= set(e.oracle_sql()) <= set(e.queries())
 
 
 @pytest.mark.parametrize("name", _names())
