@@ -203,6 +203,39 @@ def test_line_removals(spark, no_docs):
     assert line_dedup(no_docs).count() == 0
 
 
+def changed_lines(seed=10, each=120):
+    """(length in words, line, the line with one word or one to three characters changed), edit similarity 0.8 at least."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 8)))
+    out = []
+    for n in (8, 12, 20, 40):
+        for k in range(each):
+            w = [word() for _ in range(n)]
+            line = " ".join(w)
+            if k % 2:
+                w[r.randrange(n)] = word()
+            else:
+                for _ in range(r.randint(1, 3)):
+                    w[r.randrange(n)] += r.choice("0123456789")
+            if edit_distance(line, " ".join(w)) <= 0.2 * max(len(line), len(" ".join(w))):
+                out.append((n, line, " ".join(w)))
+    return out
+
+
+def test_lines_of_few_changes_are_found(spark):
+    """Against the edit similarity alone, by length; nothing else goes."""
+    found = changed_lines()
+    docs = spark.createDataFrame([(k + 1, f"{x}\n{y}", None, None, 0) for k, (_, x, y) in enumerate(found) if x != y], SCHEMA).repartition(3)
+    sizes = {k + 1: n for k, (n, x, y) in enumerate(found) if x != y}
+    gone = {x.doc: x.gone for x in removals(docs, wide=True).collect()}
+    assert all(v == [1] for v in gone.values())
+    for n in (8, 12, 20, 40):
+        ids = [k for k, v in sizes.items() if v == n]
+        recall = sum(k in gone for k in ids) / len(ids)
+        print(f"{n} words: {len(ids)} lines, recall {recall:.3f}")
+        assert recall >= 0.95
+
+
 def test_line_dedup_runs_no_python(spark):
     docs = spark.createDataFrame(line_rows(), SCHEMA)
     plan = line_dedup(docs)._jdf.queryExecution().executedPlan().toString()
