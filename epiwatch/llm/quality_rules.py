@@ -7,10 +7,12 @@ words recurs; those that cannot be extended on either side are the maximal
 repeated substrings. Their spans are united; a text is rejected if the share of
 its words in such spans, or the longest of them, is over its limit.
 
-A word of a repeat of ``window`` words or more is a word in a window of that
-length found twice, so the base rule's count is the size of the same union.
-Texts without any window found twice (by 64-bit hash) have no such repeat and
-need no suffix array.
+A word of a repeat of WINDOW words or more is a word in a window of that length
+found twice, so the base rule's count is the size of the union of those. The
+share has a shorter least length of its own (LEAST), so that it also rejects
+what has no window found twice, such as a slogan between changing words. Texts
+without any run of LEAST words found twice (by 64-bit hash) have no repeat that
+counts and need no suffix array.
 
 Cases: null and empty texts have no words, fail the base and are not kept;
 repeated rows give a row each; a null doc_id stays null.
@@ -27,7 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from epiwatch.llm.common import Words, grams, id_and_text, in_batches, read_table, totals
 
 SYMBOLS = b"#*$%&|<>"
-WINDOW = 8
+WINDOW = 8  # words of the base rule's window
+LEAST = 4  # words of the shortest repeat that counts towards the share
 
 
 def suffix_array(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,28 +79,34 @@ def repeats(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return start, longest[start]
 
 
-def _repetition(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(words in repeats, words of the longest repeat) of every text of a batch."""
-    covered, longest = np.zeros(len(w.count), np.int64), np.zeros(len(w.count), np.int64)
+def _repetition(w: Words, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words in repeats of WINDOW or more, words of the longest of these, words
+    in repeats of ``least`` or more) of every text of a batch."""
+    covered, longest, short = (np.zeros(len(w.count), np.int64) for _ in range(3))
     h = w.hashes() + w.doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)  # words of one text are alike, not those of two
-    g, at = grams(h, w.doc, WINDOW)
+    g, at = grams(h, w.doc, min(least, WINDOW))
     order = np.argsort(g, kind="stable")
     twice = np.flatnonzero(g[order][1:] == g[order][:-1])
     texts = np.unique(w.doc[at[order[twice]]])
     if not len(texts):
-        return covered, longest
+        return covered, longest, short
     # The suffix array of these texts set end to end, each closed by a mark of its own.
     ids = np.unique(h, return_inverse=True)[1]
     parts = [np.append(ids[w.first[d]:w.first[d + 1]], len(h) + d) for d in texts]
     joined = np.concatenate(parts)
     first = np.concatenate([[0], np.cumsum(list(map(len, parts)))])
-    start, length = repeats(joined, WINDOW)
-    edge = np.zeros(len(joined) + 1, np.int64)
-    np.add.at(edge, start, 1)
-    np.add.at(edge, start + length, -1)
-    covered[texts] = totals(np.cumsum(edge[:-1]) > 0, first)
-    np.maximum.at(longest, texts[np.searchsorted(first, start, "right") - 1], length)
-    return covered, longest
+    start, length = repeats(joined, min(least, WINDOW))
+
+    def united(some: np.ndarray) -> np.ndarray:
+        edge = np.zeros(len(joined) + 1, np.int64)
+        np.add.at(edge, start[some], 1)
+        np.add.at(edge, start[some] + length[some], -1)
+        return totals(np.cumsum(edge[:-1]) > 0, first)
+
+    long = length >= WINDOW
+    covered[texts], short[texts] = united(long), united(length >= least)
+    np.maximum.at(longest, texts[np.searchsorted(first, start[long], "right") - 1], length[long])
+    return covered, longest, short
 
 
 def _dup_lines(text: str) -> int:
@@ -109,7 +118,7 @@ COLUMNS = {"doc_id": "long", "n_words": "long", "word_chars": "long", "n_symbols
            "n_repeat_words": "long", "base_failed": "boolean", "kept": "boolean", "longest_repeat": "long"}
 
 
-def _measures(texts: list[str], max_covered: float, max_longest: int) -> list[np.ndarray]:
+def _measures(texts: list[str], max_covered: float, max_longest: int, least: int) -> list[np.ndarray]:
     w = Words(texts)
     first_byte = w.text_start
     is_start = (w.buf & 0xC0) != 0x80  # of a code point
@@ -117,22 +126,23 @@ def _measures(texts: list[str], max_covered: float, max_longest: int) -> list[np
     word_chars = totals(points[w.end] - points[w.start], w.first)
     n_symbols = totals(np.isin(w.buf, np.frombuffer(SYMBOLS, np.uint8)), first_byte)
     n_dup = np.fromiter(map(_dup_lines, texts), np.int64, len(texts))
-    covered, longest = _repetition(w)
+    covered, longest, short = _repetition(w, least)
     failed = (w.count < 20) | (100 * covered > 30 * w.count)
-    kept = ~failed & (covered <= max_covered * w.count) & (longest <= max_longest)
+    kept = ~failed & (short <= max_covered * w.count) & (longest <= max_longest)
     return [w.count, word_chars, n_symbols, n_dup, covered, failed, kept, longest]
 
 
 def quality(docs: DataFrame, max_covered: float = 0.3, max_longest: int = 100, passed: bool = False,
-            batch_chars: int = 1_000_000) -> DataFrame:
+            batch_chars: int = 1_000_000, least: int = LEAST) -> DataFrame:
     """The measures and the verdict of every row; with ``passed``, the rows of
     ``docs`` that are kept, as they are.
 
     A text is kept unless the base fails, more than ``max_covered`` of its
-    words lie in repeats, or a repeat has more than ``max_longest`` words.
+    words lie in repeats of ``least`` words or more, or a repeat has more than
+    ``max_longest`` words.
     """
     def verdicts(texts: list[str]) -> list[np.ndarray]:
-        found = [_measures(texts[a:b], max_covered, max_longest) for a, b in in_batches(texts, batch_chars)]
+        found = [_measures(texts[a:b], max_covered, max_longest, least) for a, b in in_batches(texts, batch_chars)]
         return [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, bool)] * (len(COLUMNS) - 1)
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

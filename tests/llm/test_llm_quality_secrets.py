@@ -36,6 +36,27 @@ def test_quality_rows(docs, rows, no_docs):
     assert Counter((x.doc_id, x.text) for x in kept.collect()) == Counter((i, t) for i, t, *_ in rows if measured(t or "")[6])
 
 
+def test_share_of_short_repeats(spark):
+    """What has no window of eight words found twice, against a count of its runs of four."""
+    slogan = " ".join(f"the best coffee in town {k}" for k in range(100))
+    r = np.random.default_rng(4)
+    vocabulary = ["".join(r.choice(list("abcdefgh"), 5)) for _ in range(500)]
+    prose = " ".join(r.choice(vocabulary, 400))
+    quoted = prose + " as we said before as we said again"
+    mixed = " ".join([*r.choice(vocabulary, 60), *(f"one two three four {k}" for k in range(6))])
+    over = " ".join([*r.choice(vocabulary, 60), *(f"one two three four {k}" for k in range(16))])
+    texts = [slogan, prose, quoted, mixed, over]
+    got = quality(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    want = {}
+    for i, t in enumerate(texts):
+        w = split(t)
+        runs = Counter(tuple(w[k:k + 4]) for k in range(len(w) - 3))
+        share = len({j for k in range(len(w) - 3) if runs[tuple(w[k:k + 4])] > 1 for j in range(k, k + 4)}) / len(w)
+        want[i] = measured(t)[6] and share <= 0.3
+    assert {x.doc_id: x.kept for x in got} == want == {0: False, 1: True, 2: True, 3: True, 4: False}
+    assert not any(x.base_failed or x.n_repeat_words for x in got)
+
+
 def test_suffix_array_and_maximal_repeats():
     r = np.random.default_rng(1)
     for n, kinds in ((1, 1), (2, 1), (40, 1), (60, 2), (80, 4)):
