@@ -5,6 +5,10 @@ or more key-like characters that has both letters and digits. The network reads
 each candidate with the characters around it (a window of ``WIDTH``, the
 candidate's characters marked) and gives a calibrated probability that it is a
 secret; candidates over the threshold are added to the rules' spans, which stay.
+A candidate that its window has no room for is read in overlapping parts, the
+last at its end with what follows; those over the threshold make its spans, grown
+to the parts between / and = of a run that the window cannot hold. Of a run that
+rules overlap, the parts outside their spans are candidates.
 
 The network is trained here, in numpy, on labelled findings: generated ones of
 well-known formats of keys and of what looks like keys but is none (digests in
@@ -44,6 +48,8 @@ MODEL = "model"
 WIDTH = 64
 LETTERS, MARK = 128, 1  # a code for each ASCII character, one (0) for all others; MARK is a second channel
 BEFORE = 24
+SHORTEST = 12  # characters of a candidate
+PART, STRIDE = 40 - 8, 8  # of a long candidate; 8 characters after it are read too
 
 
 def rule_spans(text: str) -> list[tuple[int, int, int]]:
@@ -55,16 +61,28 @@ def rule_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, rules: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """(start, end) of key-like runs that have letters and digits and overlap
-    no span of the rules."""
+    """(start, end) of key-like runs that have letters and digits; of a run that
+    spans of the rules overlap, the parts outside them."""
     out = []
     for m in CANDIDATE.finditer(text):
-        run = m[0]
-        if any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and not any(a < m.end() and m.start() < b for a, _, b in rules):
-            out.append((m.start(), m.end()))
+        at = m.start()
+        for a, b in [*((a, b) for a, _, b in rules if a < m.end() and m.start() < b), (m.end(), m.end())]:
+            part = text[at:max(at, a)]
+            if len(part) >= SHORTEST and any(c.isdigit() for c in part) and any(c.isalpha() for c in part):
+                out.append((at, a))
+            at = max(at, b)
     return out
 
 
+def windows(start: int, end: int) -> list[tuple[int, int]]:
+    """The parts of a candidate that the network reads: all of it if its window
+    has room for it and for the context after it, else parts of ``PART``
+    characters at every ``STRIDE``, the last of them at its end."""
+    if end - start <= PART:
+        return [(start, end)]
+    return [(a, a + PART) for a in (*range(start, end - PART, STRIDE), end - PART)]
+
+
 def encode(text: str, start: int, end: int) -> np.ndarray:
     """The window of codes around a candidate, from BEFORE characters ahead of
     it; 128 is added inside the candidate. Digits and letters keep their code."""
@@ -120,8 +138,11 @@ class Network:
     def margin(self, codes: np.ndarray) -> np.ndarray:
         return np.concatenate([np.zeros(0), *(self.forward(codes[k:k + 2048])[-1] for k in range(0, len(codes), 2048))])
 
+    def scaled(self, margin: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -50, 50)))
+
     def probability(self, codes: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.margin(codes) + self.offset, -50, 50)))
+        return self.scaled(self.margin(codes))
 
     def fit(self, codes: np.ndarray, label: np.ndarray, seed: int, epochs: int = 6, batch: int = 128, rate: float = 2e-3) -> None:
         """Adam on the logistic loss."""
@@ -159,9 +180,9 @@ class Network:
                     step = rate * (m[k2] / (1 - 0.9**t)) / (np.sqrt(v[k2] / (1 - 0.999**t)) + 1e-8)
                     setattr(self, k2, getattr(self, k2) - step)
 
-    def calibrate(self, codes: np.ndarray, label: np.ndarray, recall: float) -> None:
-        """Platt scaling and the threshold, on held-out findings."""
-        x, a, b = self.margin(codes), 1.0, 0.0
+    def calibrate(self, x: np.ndarray, label: np.ndarray, recall: float) -> None:
+        """Platt scaling and the threshold, on the margins of held-out findings."""
+        a, b = 1.0, 0.0
         target = np.where(label > 0, (label.sum() + 1) / (label.sum() + 2), 1 / ((1 - label).sum() + 2))
         for _ in range(50):  # Newton's method on two parameters
             p = 1 / (1 + np.exp(-np.clip(a * x + b, -50, 50)))
@@ -170,7 +191,7 @@ class Network:
             step = np.linalg.solve(np.array([[(w * x * x).sum() + 1e-6, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-6]]), g)
             a, b = a - step[0], b - step[1]
         self.slope, self.offset = float(a), float(b)
-        p = self.probability(codes)
+        p = self.scaled(x)
         self.threshold = max(0.5, float(np.quantile(p[label > 0], 1 - recall, method="lower")))
         found = p >= self.threshold
         self.held_out_recall = float(found[label > 0].mean())
@@ -207,6 +228,36 @@ def generated_findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
     return out
 
 
+def generated_long(n: int, seed: int) -> list[tuple[str, int, int, int]]:
+    """Windows of long key-like runs: of paths, queries and identifiers none is
+    a secret; where a key stands in such a run, windows mostly in it are."""
+    r = np.random.default_rng(seed + 1)
+    low, digit = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    keys = [(t[a:b]) for t, a, b, label in generated_findings(2 * n, seed + 2) if label and b - a >= 20]
+    pick = lambda xs: xs[int(r.integers(0, len(xs)))]
+    word = lambda: pick([str.lower, str.lower, str.title, str.upper])("".join(pick(low) for _ in range(int(r.integers(2, 10)))))
+    number = lambda: "".join(pick(digit) for _ in range(int(r.integers(1, 6))))
+    rule = lambda: pick("=-_") * int(r.integers(5, 60))
+
+    def run(least: int) -> str:
+        marks, out = pick(["/", "/", "-", "_", "/-", "/_=", "=", "+"]), ""
+        while len(out) < least:
+            out += (word() if r.random() < 0.75 else number() if r.random() < 0.8 else rule()) + pick(marks)
+        return out
+
+    out = []
+    for i in range(n):
+        ahead, key, after = run(int(r.integers(20, 90))), pick(keys) if i % 2 else "", pick(["", "", "/" + run(30)])
+        before, text = pick(["", "see ", "at: ", '"']), ahead + key + after
+        a, b = len(before) + len(ahead), len(before) + len(ahead) + len(key)
+        whole = before + text + pick([" and", ".", '"', "", "\n"])
+        for x, y in windows(len(before), len(before) + len(text)):
+            inside = min(b, y) - max(a, x) if key else 0
+            if inside <= 0 or inside >= min(len(key), PART) * 3 // 4:
+                out.append((whole, x, y, int(inside > 0)))
+    return out
+
+
 def corpus_findings(texts: list[str]) -> list[tuple[str, int, int, int]]:
     """Findings in texts: the rules' values are secrets; other candidates are
     none, but those right after a keyword of the rules are left out."""
@@ -224,12 +275,19 @@ def corpus_findings(texts: list[str]) -> list[tuple[str, int, int, int]]:
 
 
 def train(findings: list[tuple[str, int, int, int]], seed: int = 5, recall: float = 0.95) -> Network:
-    codes = np.array([encode(t, a, b) for t, a, b, _ in findings])
+    """A network for findings; a quarter of the texts is held out. Every window
+    of a finding is learned; held out, a finding counts by its best window."""
+    texts = np.unique([x[0] for x in findings], return_inverse=True)[1]
+    held = (np.random.default_rng(seed).permutation(texts.max() + 1) < (texts.max() + 1) // 4)[texts]
     label = np.array([x[3] for x in findings], float)
-    held = np.random.default_rng(seed).permutation(len(findings)) < len(findings) // 4
+    parts = [windows(a, b) for _, a, b, _ in findings]
+    of = np.repeat(np.arange(len(findings)), list(map(len, parts)))
+    codes = np.array([encode(t, x, y) for (t, *_), some in zip(findings, parts, strict=True) for x, y in some])
     net = Network.new(seed)
-    net.fit(codes[~held], label[~held], seed)
-    net.calibrate(codes[held], label[held], recall)
+    net.fit(codes[~held[of]], label[of][~held[of]], seed)
+    margin = np.full(len(findings), -np.inf)
+    np.maximum.at(margin, of[held[of]], net.margin(codes[held[of]]))
+    net.calibrate(margin[held], label[held], recall)
     return net
 
 
@@ -241,21 +299,46 @@ def trained(docs: DataFrame, sample_rows: int = 1000, most_findings: int = 4000,
     order = F.xxhash64(F.lit(seed), "doc_id")
     ids = [x[0] for x in rows.select("doc_id").where("doc_id is not null").orderBy(order, "doc_id").limit(sample_rows).collect()]
     texts = [x[0] for x in rows.where(F.col("doc_id").isin(ids)).select("text").limit(2 * sample_rows).collect()] if ids else []
-    return train(generated_findings(generated, seed) + corpus_findings(sorted(texts))[:most_findings], seed, recall)
+    return train(generated_findings(generated, seed) + generated_long(generated // 8, seed) + corpus_findings(sorted(texts))[:most_findings], seed, recall)
 
 
 # -- the scan --------------------------------------------------------------------------
 
 
+MOST_READ = 4096  # windows encoded at a time
+
+
+def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans, those that overlap or touch as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def whole_parts(text: str, start: int, end: int, a: int, b: int) -> tuple[int, int]:
+    """(a, b) grown within the run (start, end) so that no part between / and = is cut."""
+    ahead, after = re.search(r"[^/=]*$", text[start:a]), re.match(r"[^/=]*", text[b:end])
+    return a - len(ahead[0]), b + len(after[0])
+
+
 def spans_of(texts: list[str], net: Network) -> list[list[tuple[int, int, int]]]:
     """All spans (start, kind, end) of each text; kind 3 is the network's."""
     rules = [rule_spans(t) for t in texts]
     seen = [(i, a, b) for i, t in enumerate(texts) for a, b in candidates(t, rules[i])]
-    if seen:
-        p = net.probability(np.array([encode(texts[i], a, b) for i, a, b in seen]))
-        for (i, a, b), x in zip(seen, p, strict=True):
-            if x >= net.threshold:
-                rules[i].append((a, len(KINDS), b))
+    parts = [windows(a, b) for _, a, b in seen]
+    first = np.cumsum([0, *map(len, parts)])
+    read = [(i, a, b) for (i, _, _), some in zip(seen, parts, strict=True) for a, b in some]
+    p = np.concatenate([np.zeros(0), *(net.probability(np.array([encode(texts[i], a, b) for i, a, b in read[k:k + MOST_READ]])) for k in range(0, len(read), MOST_READ))])
+    for (i, a, b), some, at in zip(seen, parts, first, strict=False):
+        hit = [x for x, q in zip(some, p[at:at + len(some)], strict=True) if q >= net.threshold]
+        if hit and b - a <= WIDTH - BEFORE:
+            rules[i].append((a, len(KINDS), b))
+        elif hit:
+            rules[i] += [(x, len(KINDS), y) for x, y in united([whole_parts(texts[i], a, b, *x) for x in hit])]
     return [sorted(x) for x in rules]
 
 
