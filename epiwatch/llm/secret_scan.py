@@ -14,10 +14,11 @@ The network is trained here, in numpy, on labelled findings: generated ones of
 well-known formats of keys and of what looks like keys but is none (digests in
 paths, identifiers, versions, numbers), and findings in the corpus, from a
 bounded sample of ``documents`` rows: rule matches are secrets, other candidates
-count as none unless a rule's keyword stands before them. A part is held out:
-Platt scaling is fitted on it, and the threshold is the highest at which the
-recall of the held-out secrets is at least ``recall`` - and no lower than the
-least probability at which a finding is more likely a secret than not.
+count as none unless a rule's keyword stands before them or they have the shape
+of a known kind of key (KNOWN). A part is held out: Platt scaling is fitted on
+it, and the threshold is the highest at which the recall of the held-out
+secrets that the rules do not find (what the network decides) is at least
+``recall``.
 
 Cases: a null or empty text has no findings (the digest of an empty string);
 repeated rows give a row each; a null doc_id stays null; an empty table trains
@@ -43,6 +44,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+KNOWN = re.compile(r"gh[pousr]_|github_pat_|glpat-|xox[abeoprs]-|[sr]k_(?:live|test)_|AIza|eyJ|A[KS]IA|npm_|pypi-|hf_|SG[._]|-----BEGIN")
 MODEL = "model"
 
 WIDTH = 64
@@ -144,15 +146,15 @@ class Network:
     def probability(self, codes: np.ndarray) -> np.ndarray:
         return self.scaled(self.margin(codes))
 
-    def fit(self, codes: np.ndarray, label: np.ndarray, seed: int, epochs: int = 6, batch: int = 128, rate: float = 2e-3) -> None:
-        """Adam on the logistic loss."""
+    def fit(self, codes: np.ndarray, label: np.ndarray, seed: int, epochs: int = 6, batch: int = 128, rate: float = 2e-3, least_steps: int = 400) -> None:
+        """Adam on the logistic loss; few findings are gone through more often."""
         r = np.random.default_rng(seed)
         names = ("embed", "conv", "conv_bias", "hidden", "hidden_bias", "out", "out_bias")
         m = {k: np.zeros_like(getattr(self, k)) for k in names}
         v = {k: np.zeros_like(getattr(self, k)) for k in names}
         t = 0
         weight = np.where(label > 0, len(label) / max(1, 2 * label.sum()), len(label) / max(1, 2 * (1 - label).sum()))
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-least_steps * batch // len(codes)))):
             order = r.permutation(len(codes))
             for k in range(0, len(order), batch):
                 at = order[k:k + batch]
@@ -180,19 +182,27 @@ class Network:
                     step = rate * (m[k2] / (1 - 0.9**t)) / (np.sqrt(v[k2] / (1 - 0.999**t)) + 1e-8)
                     setattr(self, k2, getattr(self, k2) - step)
 
-    def calibrate(self, x: np.ndarray, label: np.ndarray, recall: float) -> None:
-        """Platt scaling and the threshold, on the margins of held-out findings."""
+    def calibrate(self, x: np.ndarray, label: np.ndarray, recall: float, decided: np.ndarray, floor: float = 0.0) -> None:
+        """Platt scaling and the threshold, on the margins of held-out findings;
+        ``decided``: those that no rule finds. Recall and precision are of these."""
         a, b = 1.0, 0.0
         target = np.where(label > 0, (label.sum() + 1) / (label.sum() + 2), 1 / ((1 - label).sum() + 2))
-        for _ in range(50):  # Newton's method on two parameters
+
+        def loss(a: float, b: float) -> float:
+            return float((np.logaddexp(0, a * x + b) - target * (a * x + b)).sum())
+
+        for _ in range(50):  # Newton's method on two parameters, steps halved until they help
             p = 1 / (1 + np.exp(-np.clip(a * x + b, -50, 50)))
             w = p * (1 - p) + 1e-9
             g = np.array([((p - target) * x).sum(), (p - target).sum()])
             step = np.linalg.solve(np.array([[(w * x * x).sum() + 1e-6, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-6]]), g)
+            while loss(a - step[0], b - step[1]) > loss(a, b) and abs(step).max() > 1e-9:
+                step = step / 2
             a, b = a - step[0], b - step[1]
         self.slope, self.offset = float(a), float(b)
         p = self.scaled(x)
-        self.threshold = max(0.5, float(np.quantile(p[label > 0], 1 - recall, method="lower")))
+        p, label = p[decided], label[decided]
+        self.threshold = max(floor, float(np.quantile(p[label > 0], 1 - recall, method="lower")))
         found = p >= self.threshold
         self.held_out_recall = float(found[label > 0].mean())
         self.held_out_precision = float(label[found].mean()) if found.any() else 0.0
@@ -260,7 +270,8 @@ def generated_long(n: int, seed: int) -> list[tuple[str, int, int, int]]:
 
 def corpus_findings(texts: list[str]) -> list[tuple[str, int, int, int]]:
     """Findings in texts: the rules' values are secrets; other candidates are
-    none, but those right after a keyword of the rules are left out."""
+    none, but those right after a keyword of the rules and those of known shapes
+    of keys are left out."""
     out = []
     for text in texts:
         rules = rule_spans(text)
@@ -269,15 +280,16 @@ def corpus_findings(texts: list[str]) -> list[tuple[str, int, int, int]]:
                 a = next(m.start(2) for m in [ASSIGN.match(text, a)])
             out.append((text, a, b, 1))
         for a, b in candidates(text, rules):
-            if not re.search(r"(?i:password|passwd|secret|token|api_?key)\W*$", text[max(0, a - 20):a]):
+            if not KNOWN.search(text, a, b) and not re.search(r"(?i:password|passwd|secret|token|api_?key)\W*$", text[max(0, a - 20):a]):
                 out.append((text, a, b, 0))
     return out
 
 
-def train(findings: list[tuple[str, int, int, int]], seed: int = 5, recall: float = 0.95) -> Network:
+def train(findings: list[tuple[str, int, int, int]], seed: int = 5, recall: float = 0.95, floor: float = 0.0) -> Network:
     """A network for findings; a quarter of the texts is held out. Every window
     of a finding is learned; held out, a finding counts by its best window."""
-    texts = np.unique([x[0] for x in findings], return_inverse=True)[1]
+    order = {t: k for k, t in enumerate(sorted({x[0] for x in findings}))}
+    texts = np.array([order[x[0]] for x in findings])
     held = (np.random.default_rng(seed).permutation(texts.max() + 1) < (texts.max() + 1) // 4)[texts]
     label = np.array([x[3] for x in findings], float)
     parts = [windows(a, b) for _, a, b, _ in findings]
@@ -287,19 +299,22 @@ def train(findings: list[tuple[str, int, int, int]], seed: int = 5, recall: floa
     net.fit(codes[~held[of]], label[of][~held[of]], seed)
     margin = np.full(len(findings), -np.inf)
     np.maximum.at(margin, of[held[of]], net.margin(codes[held[of]]))
-    net.calibrate(margin[held], label[held], recall)
+    ruled = {t: rule_spans(t) for t in {x[0] for x in findings}}
+    decided = np.array([not any(x < b and a < y for x, _, y in ruled[t]) for t, a, b, _ in findings])
+    net.calibrate(margin[held], label[held], recall, decided[held], floor)
     return net
 
 
-def trained(docs: DataFrame, sample_rows: int = 1000, most_findings: int = 4000, generated: int = 4000, seed: int = 5, recall: float = 0.95) -> Network:
-    """A network for ``docs``. Its labelled findings are bounded: at most
+def trained(docs: DataFrame, sample_rows: int = 1000, most_findings: int = 4000, generated: int = 4000, seed: int = 5, recall: float = 0.95, floor: float = 0.5) -> Network:
+    """A network for ``docs``. With ``floor`` 0 its threshold keeps the recall
+    whatever the probability. Its labelled findings are bounded: at most
     ``sample_rows`` rows (those of least hash of the doc_id, so the same at
     every run), of which ``most_findings`` findings, and ``generated`` ones."""
     rows = id_and_text(docs)
     order = F.xxhash64(F.lit(seed), "doc_id")
     ids = [x[0] for x in rows.select("doc_id").where("doc_id is not null").orderBy(order, "doc_id").limit(sample_rows).collect()]
     texts = [x[0] for x in rows.where(F.col("doc_id").isin(ids)).select("text").limit(2 * sample_rows).collect()] if ids else []
-    return train(generated_findings(generated, seed) + generated_long(generated // 8, seed) + corpus_findings(sorted(texts))[:most_findings], seed, recall)
+    return train(generated_findings(generated, seed) + generated_long(generated // 8, seed) + corpus_findings(sorted(texts))[:most_findings], seed, recall, floor)
 
 
 # -- the scan --------------------------------------------------------------------------
@@ -396,4 +411,4 @@ def redact(docs: DataFrame, net: Network) -> DataFrame:
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return scan(docs, trained(docs))
+    return scan(docs, trained(docs, floor=0.0))
