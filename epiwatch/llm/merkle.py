@@ -241,15 +241,17 @@ def _step(digests: str, states: str, slot: Column, fanout: int) -> Column:
                     F.substring(F.col(digests), slot * 32 + 33, F.lit(32 * fanout)).alias("right"))
 
 
-def ways(trees: Trees, fanout: int, above: DataFrame) -> DataFrame:
+def ways(trees: Trees, fanout: int, above: DataFrame | None = None) -> DataFrame:
     """``levels[0]`` with ``way``, the steps from its parent up to the root, and
     the other columns of ``above`` (grp, way, ...), the way from each tree's
-    top. A step is the state before a node's slot and its siblings' digests."""
-    cols = [c for c in above.columns if c not in ("grp", "way")]
+    top (none: the top is the root). A step is the state before a node's slot
+    and its siblings' digests."""
+    cols = [] if above is None else [c for c in above.columns if c not in ("grp", "way")]
     done: DataFrame | None = None
     for k in range(len(trees.levels) - 1, -1, -1):
         level = trees.levels[k]
-        ends = level.where(F.col("n") <= fanout ** (k + 1)).join(above, "grp")  # a row for each tree
+        ends = level.where(F.col("n") <= fanout ** (k + 1))  # a row for each tree
+        ends = ends.withColumn("way", F.array().cast(f"array<{STEP}>")) if above is None else ends.join(above, "grp")
         if done is not None:
             slot = F.expr(f"cast(idx % {fanout} as int)")
             up = done.select("grp", F.col("idx").alias("up"), F.col("digests").alias("beside"), F.col("states").alias("kept"), F.col("way").alias("rest"), *cols)
@@ -285,10 +287,7 @@ def manifest(docs: DataFrame, fanout: int = FANOUT) -> Manifest:
     of_sources = grown(tops, fanout, "sources", F.sort_array(F.collect_list(F.struct("pos", "source"))).alias("rows"))
     top = of_sources.tops.first()
     root = None if top is None else bytes(top["top"])
-    spark = docs.sparkSession
-    above = spark.range(1).select(F.lit("").alias("grp"), F.array().cast(f"array<{STEP}>").alias("way"))
-    runs = ways(of_sources, fanout, above)
-    member = runs.select("n", "digests", "states", "way", F.explode("rows").alias("r"))
+    member = ways(of_sources, fanout).select("n", "digests", "states", "way", F.explode("rows").alias("r"))
     slot = F.expr(f"cast(r.pos % {fanout} as int)")
     own = _step("digests", "states", slot, fanout)
     way = F.when(F.col("n") == 1, F.col("way")).otherwise(F.concat(F.array(own), "way"))

@@ -16,6 +16,7 @@ from epiwatch.llm.quality_rules import op3_quality_rules
 from epiwatch.llm.secret_scan import op1_secret_scan
 from epiwatch.llm.simhash_dedup import op4_simhash_dedup
 from epiwatch.llm.substring_dedup import op6_substring_dedup
+from epiwatch.llm.token_alignment import op12_token_alignment
 from epiwatch.llm.token_counts import op2_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_piece_codec": op9_piece_codec,
     "op10_ann_search": op10_ann_search,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_token_alignment": op12_token_alignment,
 }
 
 #: None of the operators can be said in SQL over whole tables; tests/llm holds
