@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from epiwatch.llm.ann_search import op10_ann_search
 from epiwatch.llm.line_dedup import op7_line_dedup
 from epiwatch.llm.merkle import op11_merkle_manifest
+from epiwatch.llm.ngram_join import op13_ngram_join
 from epiwatch.llm.ngram_model import op8_lm_scoring
 from epiwatch.llm.packing import op5_packing
 from epiwatch.llm.piece_codec import op9_piece_codec
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ann_search": op10_ann_search,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_token_alignment": op12_token_alignment,
+    "op13_ngram_join": op13_ngram_join,
 }
 
 #: None of the operators can be said in SQL over whole tables; tests/llm holds
