@@ -3,8 +3,8 @@
 Both tokenizers cut the same bytes. Where tokens of both end, the text parts
 into groups; two tokens are linked if their bytes overlap. The byte ends of a
 document are two ascending lists; the shorter one drives a galloping search into
-the longer: each end starts at its own rank there, doubles its step until the
-end is bracketed, and halves the bracket. The ranks found say all: where the
+the longer: each end starts there at the place of its rank in proportion, doubles its step
+until the end is bracketed, and halves the bracket. The ranks found say all: where the
 ends are equal a group ends, and between the ranks of a token's two ends lie the
 tokens that it overlaps. The lists of a batch of documents are searched side by
 side; a document's ends are offset by those before it, so they stay apart.
@@ -24,12 +24,14 @@ not read.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,17 +40,26 @@ from epiwatch.llm.chunks import pack, pack_sorted, unpack, unpack_sorted
 from epiwatch.llm.common import id_and_text, in_batches, read_table, totals, written
 from epiwatch.llm.token_counts import _byte_of_char
 
-CHUNK_CHARS = 5_000_000
+CHUNK_CHARS = 2_500_000
 MARK = "▁"
+#: Fixed value: the published pattern of the byte-level pre-tokenizer.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+LONG_TEXT = 20_000  # characters
 
 
 class Tokenizers:
     """A byte-level BPE (of the tokenizers library) and a SentencePiece model,
     with the bytes of every id. The second puts a space before the text; the
-    first is given one."""
+    first is given one.
+
+    Where the first's file has its merges in the order of ids, tiktoken with
+    this vocabulary gives the same ids faster; texts over ``LONG_TEXT`` go to
+    the tokenizers library, whose time does not grow with the square of a long
+    run without a break."""
 
     def __init__(self, a_path: str, b_path: str) -> None:
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -59,19 +70,35 @@ class Tokenizers:
         self.a_bytes = [b""] * self.a.get_vocab_size()
         for token, i in self.a.get_vocab().items():
             self.a_bytes[i] = bytes(map(to_byte.__getitem__, token)) if to_byte.keys() >= set(token) else token.encode()
+        with open(a_path, encoding="utf-8") as f:
+            spec = json.load(f)
+        merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+        vocabulary, plain = spec["model"]["vocab"], {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        self.fast = None
+        if (spec["normalizer"] is None and plain.items() <= spec["pre_tokenizer"].items()
+                and all(vocabulary["".join(m)] == 256 + k for k, m in enumerate(merges))):
+            ranks = {self.a_bytes[i]: i for i in range(256 + len(merges))}
+            self.fast = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         b = self.b
         self.b_bytes = [bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace(MARK, " ").encode()
                         for i in range(b.get_piece_size())]
         self.a_size, self.b_size = (np.array(list(map(len, t)), np.int64) for t in (self.a_bytes, self.b_bytes))
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+    def encode_a(self, text: str) -> list[int]:
+        if self.fast is not None and len(text) <= LONG_TEXT:
+            return self.fast.encode_ordinary(text)
+        return self.a.encode(text, add_special_tokens=False).ids
+
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of both; none of a text that is empty or whose bytes they change."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        b = self.b.encode(texts, num_threads=1)
-        for k, t in enumerate(texts):
-            raw = b" " + t.encode()
-            if not t or b"".join(map(self.a_bytes.__getitem__, a[k])) != raw or b"".join(map(self.b_bytes.__getitem__, b[k])) != raw:
-                a[k], b[k] = [], []
+        a: list[np.ndarray] = []
+        b: list[np.ndarray] = []
+        for text, ids_b in zip(texts, self.b.encode(texts, num_threads=1), strict=True):
+            spaced = " " + text
+            ids_a, raw = self.encode_a(spaced), spaced.encode()
+            same = text and all(b"".join(map(t.__getitem__, ids)) == raw for t, ids in ((self.a_bytes, ids_a), (self.b_bytes, ids_b)))
+            a.append(np.array(ids_a if same else [], np.int64))
+            b.append(np.array(ids_b if same else [], np.int64))
         return a, b
 
 
@@ -86,7 +113,7 @@ def gallop(values: np.ndarray, into: np.ndarray, at: np.ndarray) -> np.ndarray:
     as great as every value."""
     low, high = at.copy(), at.copy()
     up = np.flatnonzero(into[at] < values)
-    down = np.setdiff1d(np.arange(len(values)), up, assume_unique=True)
+    down = np.flatnonzero(into[at] >= values)
     step = 1
     while len(up):  # low is less; high goes on until it is not
         low[up] = high[up]
@@ -116,14 +143,13 @@ def align(short: np.ndarray, short_first: np.ndarray, long: np.ndarray, long_fir
     """For ends of documents side by side (``first``: where each begins): whether
     each end is common, in both lists, and for each token of the shorter lists
     the first token that it overlaps and how many."""
-    doc = np.repeat(np.arange(len(short_first) - 1), np.diff(short_first))
-    rank = np.arange(len(short)) - short_first[doc]
-    at = gallop(short, long, long_first[doc] + rank)  # a longer list has that rank
+    n_short, n_long = np.diff(short_first), np.diff(long_first)
+    rank = np.arange(len(short)) - np.repeat(short_first[:-1], n_short)
+    at = gallop(short, long, np.repeat(long_first[:-1], n_short) + rank * np.repeat(n_long, n_short) // np.repeat(n_short, n_short))
     common = long[at] == short
     start = np.empty(len(short), np.int64)
     start[1:] = (at + common)[:-1]
-    begins = short_first[:-1][np.diff(short_first) > 0]
-    start[begins] = long_first[:-1][np.diff(short_first) > 0]
+    start[short_first[:-1][n_short > 0]] = long_first[:-1][n_short > 0]
     common_long = np.zeros(len(long), bool)
     common_long[at[common]] = True
     return common, common_long, start, at - start + 1
@@ -134,7 +160,7 @@ class Aligned:
     both empty or neither): counts by document, ``links`` (pairs of ids as one
     number, document by document) and ``groups`` (their digest)."""
 
-    def __init__(self, tok: Tokenizers, a: list[list[int]], b: list[list[int]]) -> None:
+    def __init__(self, tok: Tokenizers, a: list[np.ndarray], b: list[np.ndarray]) -> None:
         self.n_a, self.n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
         self.n_groups, self.n_links = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
         self.groups = [""] * len(a)
@@ -151,10 +177,10 @@ class Aligned:
             doc = np.repeat(docs, self.n_links[docs])
             self.links = np.concatenate(parts)[np.argsort(doc, kind="stable")]
 
-    def _side(self, tok: Tokenizers, a: list[list[int]], b: list[list[int]], some: np.ndarray, a_short: bool) -> np.ndarray:
+    def _side(self, tok: Tokenizers, a: list[np.ndarray], b: list[np.ndarray], some: np.ndarray, a_short: bool) -> np.ndarray:
         ids, first, ends = [], [], []
         for lists, size in ((a, tok.a_size), (b, tok.b_size)):
-            ids.append(np.fromiter((i for d in some.tolist() for i in lists[d]), np.int64))
+            ids.append(np.concatenate([lists[d] for d in some.tolist()]))
             first.append(firsts(np.array([len(lists[d]) for d in some.tolist()])))
             ends.append(np.cumsum(size[ids[-1]]))  # both lists of a document have as many bytes
         s, t = (0, 1) if a_short else (1, 0)
@@ -210,9 +236,9 @@ def alignments(docs: DataFrame, a_path: str, b_path: str, chunk_chars: int = CHU
                     for out, some in zip(both, tok.encode(texts[x + u:x + v]), strict=True):
                         out.extend(some)
                 got = Aligned(tok, *both)
-                pairs, links = np.unique(got.links, return_inverse=True)
+                links, pairs = pd.factorize(got.links, sort=True)
                 doc = np.repeat(np.arange(y - x), got.n_links)
-                once = np.unique(doc * max(1, len(pairs)) + links)
+                once = pd.unique(doc * max(1, len(pairs)) + links)
                 held = np.bincount(once % max(1, len(pairs)), minlength=len(pairs))
                 counts = [[c.tolist()] for c in (got.n_a, got.n_b, got.n_groups, got.n_links)]
                 packed = [pack_sorted(pairs.astype(np.uint64)), pack(held.astype(np.uint32)), pack(links.astype(np.uint32))]
