@@ -8,7 +8,7 @@ is left the last piece is taken back; a bitfield keeps the places from which no
 sequence goes on, so none is tried twice. The library is not called on texts.
 
 No piece holds U+2581 after another character, nor some of the stops after a
-letter (both looked up when the model is read), so no merge crosses such a
+letter (looked up when the model is read, for the very letters that end a part), so no merge crosses such a
 place: a text is cut there, and the parts, which recur, are remembered in a
 table of bounded size.
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -75,9 +76,12 @@ class PieceCodec:
         self.number = [str(i) for i in range(len(model.pieces))]
         if any(MARK in p.lstrip(MARK) for p in self.score):
             raise ValueError("a piece goes on over a space")
-        inside = {b for p in self.score for a, b in zip(p, p[1:]) if a.isalpha()}  # noqa: B905
+        # Letters: what \w takes, but for digits and numbers such as superscripts, which pieces do join with a stop.
+        number = "".join(re.escape(c) for c in map(chr, range(128, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+        letter = f"[^\\W\\d_{number}]"
+        inside = {b for p in self.score for a, b in zip(p, p[1:]) if re.match(letter, a)}  # noqa: B905
         stops = "".join(re.escape(c) for c in ",.;:!?" if c not in inside) or MARK
-        self.parts = re.compile(f"{MARK}*\\w*[^\\W\\d_](?=[{stops}])|{MARK}*[^{MARK}]+|{MARK}+")
+        self.parts = re.compile(f"{MARK}*\\w*{letter}(?=[{stops}])|{MARK}*[^{MARK}]+|{MARK}+")
         self.whole = {p for p in self.score if self.merged(p) == [p]}
         self.shorter: dict[str, str | None] = {}
         self.holds: dict[tuple[str, str], bool] = {}

@@ -75,6 +75,21 @@ def test_encoding_and_decoding_equal_the_library():
         assert c.decode(ids) == library.decode(ids)
 
 
+def test_codec_numbers_and_pieces_beside_stops():
+    """Numbers that are no digits join with stops in some pieces, letters do not."""
+    library, c = sentencepiece.SentencePieceProcessor(model_file=PIECES), codec(PIECES)
+    odd = "²³¹¼½¾ⅧⅠ①②٣१"
+    texts = [f"10 m{a}{stop}{after}" for a in odd for stop in ",.;:!?" for after in ("", " x", "y", a)]
+    for i in range(3, library.get_piece_size()):
+        piece = library.id_to_piece(i).replace("▁", " ")
+        texts.append(f"{piece}{',.;:!?'[i % 6]}{piece}")
+    r = random.Random(8)
+    alphabet = odd + "abé ñ ,.;:!?_0A日"
+    texts += ["".join(r.choice(alphabet) for _ in range(r.randint(1, 30))) for _ in range(20_000)]
+    wrong = [t for t, ids in zip(texts, library.encode(texts), strict=True) if c.encode(t) != ids]
+    assert wrong == []
+
+
 def test_codec_rows(docs, rows, no_docs):
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
