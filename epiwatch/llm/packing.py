@@ -19,7 +19,9 @@ gives no rows.
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,42 +32,67 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epiwatch.llm.common import id_and_text, mix, read_table
+from epiwatch.llm.common import id_and_text, mix, read_table, written
+from epiwatch.llm.token_counts import _byte_of_char
 
 
-class _Encoder:
-    """Token ids as bytes. The tokenizer treats white space as a border, so
-    words between ASCII white space are encoded alone and remembered in a table
-    of bounded size.
+#: The pattern of the tokenizer's pre-tokenizer, and its mark of a word's end.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_END = "</w>"
 
-    It also lower-cases, and parts letters from stops. Where nothing else
-    depends on case (no special strings, no combining marks, whose composition
-    can), A-Z are lower-cased before the words are looked up, and a stop after
-    a-z is looked up apart: the ids are the same and fewer words differ."""
 
-    STOP = re.compile(rb"(?<=[a-z])(?=[,.;:!?])")
+class _Encoder:
+    """Token ids as bytes.
 
-    def __init__(self, path: str, most_words: int = 1_000_000) -> None:
-        from tokenizers import Tokenizer
+    Texts of Latin letters, which keep their form under NFC and lower-case alike
+    everywhere, are cut into words here and given to tiktoken with the
+    tokenizer's own vocabulary. The mark of a word's end is a zero byte there: a
+    last character and its mark are merged before all else, as their tokens come
+    first in the order of merges. All other texts, also those with a zero byte
+    or what may be a special string, go to the tokenizers library whole. Nothing
+    is remembered between texts."""
 
-        self.tokenizer, self.most_words = Tokenizer.from_file(path), most_words
-        self.known: dict[bytes, bytes] = {}
+    LATIN = [chr(c) for c in [*range(9, 14), *range(32, 127), *range(160, 384)] if c != 0x130]  # İ becomes two characters
+    OTHERS = "‐‑‒–—―‘’‚“”„•…"
 
-    def words(self, raw: bytes) -> list[bytes]:
-        if b"<|" not in raw and b"\xcc" not in raw and b"\xcd" not in raw:
-            raw = self.STOP.sub(b" ", raw.lower())
-        return raw.split()
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        words = [self.words(t.encode()) for t in texts]
-        if len(self.known) > self.most_words:
-            self.known.clear()
-        new = list({w for ws in words for w in ws} - self.known.keys())
-        for k in range(0, len(new), 5000):
-            some = new[k:k + 5000]
-            encoded = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, encoded, strict=True))
-        return [b"".join(map(self.known.__getitem__, ws)) for ws in words]
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.fast = self._fast(spec)
+        self.other = re.compile("[^" + re.escape("".join(self.LATIN) + self.OTHERS) + "]|<\\|")
+        low = sorted({x for c in self.LATIN for x in c.lower()})
+        letters, numbers = ("".join(re.escape(c) for c in low if unicodedata.category(c)[0] == kind) for kind in "LN")
+        blank = "".join(re.escape(c) for c in low if c.isspace())
+        self.words = re.compile(PATTERN.replace(r"[^\s\p{L}\p{N}]", f"[^{blank}{letters}{numbers}]").replace(r"\p{L}", letters).replace(r"\p{N}", numbers))
+
+    def _fast(self, spec: dict):
+        """None where the file is not of the kind that this handles."""
+        import tiktoken
+
+        vocabulary = spec["model"]["vocab"]
+        merges = ["".join(m if isinstance(m, list) else m.split(" ")) for m in spec["model"]["merges"]]
+        steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        split = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex")
+        if (spec["model"].get("end_of_word_suffix") != WORD_END or steps != ["NFC", "Replace", "Lowercase"] or split != PATTERN
+                or any(vocabulary[m] != 512 + k for k, m in enumerate(merges))):
+            return None
+        to_byte, special = _byte_of_char(), {t["content"] for t in spec["added_tokens"]}
+        ranks = {}
+        for token, i in vocabulary.items():
+            if token not in special:
+                end = token.endswith(WORD_END)
+                ranks[bytes(map(to_byte.__getitem__, token.removesuffix(WORD_END))) + b"\0" * end] = i
+        return tiktoken.Encoding("words", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> bytes:
+        if self.fast is None or self.other.search(text):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.fast.encode_ordinary("\0".join([*self.words.findall(text.lower()), ""]))
+        return np.array(ids, "<u4").tobytes()
 
 
 @lru_cache(2)
@@ -86,23 +113,22 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = 0
-        for batch in batches:
-            out: list[tuple] = []
-            ids = batch.column("doc_id").to_pylist()
-            texts = batch.column("text").to_pylist()
-            for k in range(0, len(texts), 500):
-                for doc_id, tokens in zip(ids[k:k + 500], _encoder(tokenizer).encode(texts[k:k + 500]), strict=True):
-                    tokens += end
+        row, encoder = 0, _encoder(tokenizer)
+        for whole in batches:
+            for k in range(0, whole.num_rows, 500):
+                batch = whole.slice(k, 500)
+                out: list[tuple] = []
+                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                    tokens = encoder.encode(text.as_py()) + end
                     for piece, at in enumerate(range(0, len(tokens), 4 * capacity)):
                         part = tokens[at:at + 4 * capacity]
                         out.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), row))
                         row += 1
-            cols = list(zip(*out, strict=True)) or [()] * 6
-            deal = mix(np.array(cols[5], np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.array(cols[4], np.uint64)) >> np.uint64(1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols[:5], (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)] + [pa.array(deal, pa.int64())],
-                names=["doc_id", "piece", "start", "length", "ids_crc32", "deal"])
+                cols = list(zip(*out, strict=True))
+                deal = mix(np.array(cols[5], np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.array(cols[4], np.uint64)) >> np.uint64(1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(cols[:5], (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)] + [pa.array(deal, pa.int64())],
+                    names=["doc_id", "piece", "start", "length", "ids_crc32", "deal"])
 
     return id_and_text(docs).mapInArrow(run, PIECES)
 
@@ -204,7 +230,8 @@ PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, seque
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, group_pieces: int = 8192) -> DataFrame:
     """A row for each piece with the sequence it is in and its place there."""
-    groups = max(1, -(-docs.count() // group_pieces))
+    every = written(pieces(docs, tokenizer, end_id, capacity), "pieces")
+    groups = max(1, -(-every.count() // group_pieces))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "deal"], kind="stable").reset_index(drop=True)
@@ -214,7 +241,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096,
         group["offset"] = group.groupby("sequence_id")["length"].cumsum() - group["length"]
         return group[[c.split()[0] for c in PACKED.split(", ")]]
 
-    dealt = pieces(docs, tokenizer, end_id, capacity).withColumn("grp", F.pmod("deal", F.lit(groups)))
+    dealt = every.withColumn("grp", F.pmod("deal", F.lit(groups)))
     return dealt.groupBy("grp").applyInPandas(run, PACKED)
 
 
