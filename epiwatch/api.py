@@ -8,9 +8,9 @@ is collected: results are lazy plans, and the per-scope analyses compute every
 territory at once when no scope is given.
 
 Series analyses (channel, zones, P-Score, trend, forecast) read the weekly
-series published with the master and scan no fact rows; the others scan the
-fact once. An analysed master may be passed instead of what ``load`` returns;
-its series are then aggregated on the spot.
+series published with the master; rankings, profiles, KPIs and insights read the
+rate cubes. None scans fact rows. An analysed master may be passed instead of
+what ``load`` returns; it is then aggregated on the spot.
 
     from epiwatch import api
     ok, msg, audit = api.run_etl(spark, "feed.parquet", "population.parquet", "/shared/master", cfg)
@@ -34,12 +34,13 @@ from .operators import pscore as _pscore
 from .operators import rankings as _rankings
 from .operators import trend as _trend
 from .operators.clean import require_columns
+from .operators.cubes import CAUSE_KEYS, rate_cube
 from .operators.rates import (TARGET, cause_week_totals, eval_year, scoped_series, select_scope, totals_from_cause_cube,
                               weekly_series)
 from .plans.etl import cube_key, dashboard_view, run_pipeline, series_key
-from .sources.refresh import CUBE, WEEKLY, WEEKLY_BY_CAUSE, read_current, read_manifest
+from .sources.refresh import CAUSES, CUBE, PLACES, WEEKLY, WEEKLY_BY_CAUSE, read_current, read_manifest
 
-__all__ = ["run_etl", "load", "Published", "selectors", "ranking", "profile", "kpis", "insights", "series", "channel", "zones",
+__all__ = ["run_etl", "load", "Published", "selectors", "ranking", "profile", "kpis", "insights", "overview", "series", "channel", "zones",
            "pscore", "pscore_summary", "smoothed", "forecast", "forecast_kpis", "GLOBAL_SCOPE"]
 
 
@@ -55,6 +56,8 @@ class Published:
 
     master: DataFrame
     cube: DataFrame
+    places: DataFrame
+    causes: DataFrame
     weekly: DataFrame | None
     weekly_by_cause: DataFrame | None
     years: tuple[int, ...]
@@ -71,6 +74,8 @@ def load(spark: SparkSession, master_root: str, cfg: Config) -> Published:
     about = read_manifest(spark, master_root)
     view = dashboard_view(master, cfg)
     cube = (read_current(spark, master_root, CUBE) if about["cube_key"] == cube_key(cfg) else cause_week_totals(view))
+    places = read_current(spark, master_root, PLACES)
+    causes = read_current(spark, master_root, CAUSES) if about["cube_key"] == cube_key(cfg) else rate_cube(view, CAUSE_KEYS)
     if about["series_key"] == series_key(cfg):
         weekly = read_current(spark, master_root, WEEKLY)
         by_cause = read_current(spark, master_root, WEEKLY_BY_CAUSE) if cfg.target_causes else None
@@ -79,13 +84,21 @@ def load(spark: SparkSession, master_root: str, cfg: Config) -> Published:
         by_cause = scoped_series(totals_from_cause_cube(cube, cfg, True), [TARGET]) if cfg.target_causes else None
     else:
         weekly, by_cause = weekly_series(view, cfg), weekly_series(view, cfg, True) if cfg.target_causes else None
-    return Published(view, cube, weekly, by_cause, tuple(about["years"]), about["rows"])
+    return Published(view, cube, places, causes, weekly, by_cause, tuple(about["years"]), about["rows"])
 
 
 def _fact(m: Published | DataFrame) -> DataFrame:
     return m.master if isinstance(m, Published) else m
 
 
+def _places(m: Published | DataFrame) -> DataFrame:
+    return m.places if isinstance(m, Published) else m
+
+
+def _causes(m: Published | DataFrame) -> DataFrame:
+    return m.causes if isinstance(m, Published) else m
+
+
 def _year(m: Published | DataFrame, cfg: Config, year):
     """Selected year, else the configured one, else the latest year: of the
     manifest, or of the frame that is given."""
@@ -96,7 +109,7 @@ def _year(m: Published | DataFrame, cfg: Config, year):
 
 def selectors(m: Published, cfg: Config) -> DataFrame:
     """The values to choose from: years (latest first), areas, age groups."""
-    return _rankings.selectors(m.master, m.cube)
+    return _rankings.selectors(m.places)
 
 
 def ranking(m: Published | DataFrame, cfg: Config, kind: str, year: int | None = None,
@@ -106,17 +119,17 @@ def ranking(m: Published | DataFrame, cfg: Config, kind: str, year: int | None =
     c = cfg.with_(week_window=weeks) if weeks else cfg
     y = _year(m, cfg, year)
     if kind == "areas":
-        return _rankings.top_areas(_fact(m), c, y)
+        return _rankings.top_areas(_places(m), c, y)
     if kind == "causes":
-        return _rankings.top_causes(_fact(m), c, y)
+        return _rankings.top_causes(_causes(m), c, y)
     if kind == "facilities":
-        return _rankings.top_facilities(_fact(m), c, y)
+        return _rankings.top_facilities(_places(m), c, y)
     if kind == "facilities_in_area":
         if area is None:
             raise ValueError("facilities_in_area needs an area")
-        return _rankings.facility_ranking(_fact(m), c, y, area)
+        return _rankings.facility_ranking(_places(m), c, y, area)
     if kind == "facilities_by_visits":
-        return _rankings.top_facilities_by_visits(_fact(m), c, y, age, area)
+        return _rankings.top_facilities_by_visits(_places(m), c, y, age, area)
     raise ValueError(f"unknown ranking {kind!r}")
 
 
@@ -127,28 +140,34 @@ def profile(m: Published | DataFrame, cfg: Config, kind: str, year: int | None =
     c = cfg.with_(week_window=weeks) if weeks else cfg
     y = _year(m, cfg, year)
     if kind == "who":
-        return _rankings.profile_who(_fact(m), c, y, area, age)
+        return _rankings.profile_who(_places(m), c, y, area, age)
     if kind == "causes_by_level":
-        return _rankings.cause_level_profile(_fact(m), c, y, area, age)
+        return _rankings.cause_level_profile(_causes(m), c, y, area, age)
     if kind == "week_by_level":
-        return _rankings.week_mean_by(_fact(m), c, y, CARE_LEVEL, area, age)
+        return _rankings.week_mean_by(_places(m), c, y, CARE_LEVEL, area, age)
     if kind == "week_by_facility":
-        return _rankings.week_mean_by(_fact(m), c, y, FACILITY, area, age)
+        return _rankings.week_mean_by(_places(m), c, y, FACILITY, area, age)
     if kind == "week_by_area":
-        return _rankings.week_mean_by(_fact(m), c, y, AREA, area, age)
+        return _rankings.week_mean_by(_places(m), c, y, AREA, area, age)
     if kind == "area_share":
-        return _rankings.area_share(_fact(m), c, y)
+        return _rankings.area_share(_places(m), c, y)
     raise ValueError(f"unknown profile {kind!r}")
 
 
 def kpis(m: Published | DataFrame, cfg: Config, year: int | None = None, weeks=None, area=None, age=None) -> DataFrame:
     c = cfg.with_(week_window=weeks) if weeks else cfg
-    return _rankings.kpi_totals(_fact(m), c, _year(m, cfg, year), area, age)
+    return _rankings.kpi_totals(_places(m), c, _year(m, cfg, year), area, age)
 
 
 def insights(m: Published | DataFrame, cfg: Config, year: int | None = None, weeks=None, area=None, age=None) -> DataFrame:
     c = cfg.with_(week_window=weeks) if weeks else cfg
-    return _rankings.insights(_fact(m), c, _year(m, cfg, year), area, age)
+    return _rankings.insights(_causes(m), c, _year(m, cfg, year), area, age)
+
+
+def overview(m: Published | DataFrame, cfg: Config, year: int | None = None, weeks: tuple[int, int] | None = None) -> DataFrame:
+    """Every area, the top causes and the top facilities by mean rate."""
+    c = cfg.with_(week_window=weeks) if weeks else cfg
+    return _rankings.overview(_places(m), _causes(m), c, _year(m, cfg, year))
 
 
 def series(m: Published | DataFrame, cfg: Config, scope: str | None = None, by_cause: bool = False,

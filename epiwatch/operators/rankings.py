@@ -1,5 +1,8 @@
 """Rankings, profiles and KPI aggregates.
 
+Every function takes an analysed fact or a rate cube (``cubes``) that has the
+columns it names; the results are the same.
+
 Every aggregate is a hash aggregate with map-side partial aggregation, so a
 hot key costs one partial row per task, not a skewed shuffle.  Ties are always
 broken by the key (ascending), which is also the "first" key of an arg-max.
@@ -15,7 +18,8 @@ from pyspark.sql import functions as F
 
 from ..config import (AGE_GROUP, AREA, CARE_LEVEL, CAUSE, FACILITY, LEVEL_HOSPITAL, LEVEL_PRIMARY,
                       RATE, VISITS, WEEK, YEAR, Config)
-from ..functions.numeric import cents, exact_mean_2dp, safe_div, stable
+from ..functions.numeric import safe_div, stable
+from .cubes import mean_rate, rate_parts
 from .rates import optional_area, optional_eq, year_weeks
 
 
@@ -35,7 +39,8 @@ def mean_rate_by(df: DataFrame, keys: Sequence[str], name: str = RATE) -> DataFr
     cond = None
     for k in keys:
         cond = F.col(k).isNotNull() if cond is None else cond & F.col(k).isNotNull()
-    return df.where(cond).groupBy(*keys).agg(exact_mean_2dp(RATE).alias(name))
+    total, rows = rate_parts(df)
+    return df.where(cond).groupBy(*keys).agg(mean_rate(total, rows).alias(name))
 
 
 def rounded(df: DataFrame, *cols: str) -> DataFrame:
@@ -51,17 +56,37 @@ def visits_by(df: DataFrame, keys: Sequence[str], name: str = VISITS) -> DataFra
     return df.where(cond).groupBy(*keys).agg(F.sum(VISITS).alias(name))
 
 
+def stretch(value: Column) -> Column:
+    """A number that rises with ``value``: equal only for values within about
+    one part in 64, so it cuts any range of rates or visits into a few thousand
+    stretches at most. Nulls come before all."""
+    size = F.rint(F.log2(F.abs(value) + F.lit(1e-9)) * F.lit(64.0)).cast("int") + F.lit(4096)
+    return F.when(value.isNull(), F.lit(-(2**30))).when(value < 0, -size).otherwise(size)
+
+
+def numbered(df: DataFrame, name: str, cut: Column, order: Sequence[Column]) -> DataFrame:
+    """``df`` with the place of each row by ``order``, from 1. ``cut`` is
+    ascending in that order: rows are numbered within each of its values, and
+    the rows of all values before are added, so no task orders the whole list.
+    What is gathered is a count for each value of ``cut``."""
+    keyed = df.withColumn("_cut", cut)
+    counts = keyed.groupBy("_cut").agg(F.count(F.lit(1)).alias("n")).agg(F.collect_list(F.struct("_cut", "n"))).scalar()
+    before = F.aggregate(F.filter("_counts", lambda c: c["_cut"] < F.col("_cut")), F.lit(0).cast("long"), lambda s, c: s + c["n"])
+    place = F.row_number().over(Window.partitionBy("_cut").orderBy(*order))
+    return keyed.withColumn(name, place).withColumn("_counts", counts).withColumn(name, (F.col(name) + before).cast("int")).drop("_cut", "_counts")
+
+
 def ranked(df: DataFrame, value: str, keys: Sequence[str], k: int | None = None,
            round_value: bool = True) -> DataFrame:
     """Descending by value, ties by keys, with the ``rank``; ``k`` keeps the
     top k (G1-G5). Ordering uses the exact value; the reported value is rounded
-    afterwards. The rank is counted over what is reported: the top k, or one
-    row for each key of a ranking (areas, facilities of an area)."""
+    afterwards. The rank of a top k is counted over those rows; that of a full
+    ranking stretch by stretch (``numbered``)."""
     order = [F.col(value).desc_nulls_last(), *[F.col(c).asc() for c in keys]]
-    out = df.orderBy(*order)
     if k is not None:
-        out = out.limit(k)
-    out = out.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+        out = df.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    else:
+        out = numbered(df, "rank", -stretch(F.col(value)), order)
     return rounded(out, value) if round_value else out
 
 
@@ -162,16 +187,6 @@ def arg_max(df: DataFrame, value: str, key: str, group: Sequence[str] = ()) -> D
             .select(*cols, F.col("_b.k").alias(key), F.col("max_" + value)))
 
 
-def _rate_sum_parts():
-    """Exact-mean parts (sum of hundredths, count) so means can be finished after a
-    grouping-sets aggregate."""
-    return [F.sum(cents(RATE)).alias("_rs"), F.count(RATE).alias("_rn")]
-
-
-def _finish_mean(name: str = RATE) -> Column:
-    return (F.col("_rs").cast("double") / F.lit(100.0) / F.nullif(F.col("_rn"), F.lit(0))).alias(name)
-
-
 def insights(m: DataFrame, cfg: Config, year, area=None, age=None) -> DataFrame:
     """Leading cause by visits, its share of the total, the leading age
     group by mean rate (when no age filter is set) and the total, as one row.
@@ -180,8 +195,8 @@ def insights(m: DataFrame, cfg: Config, year, area=None, age=None) -> DataFrame:
     global aggregate: a single scan and two small shuffles."""
     s = year_slice(m, year, cfg.week_window, area, age)
     both = (s.groupingSets([[CAUSE], [AGE_GROUP]], CAUSE, AGE_GROUP)
-            .agg(F.sum(VISITS).alias(VISITS), *_rate_sum_parts(), F.grouping_id().alias("_g"))
-            .select(CAUSE, AGE_GROUP, VISITS, "_g", _finish_mean()))
+            .agg(F.sum(VISITS).alias(VISITS), *rate_parts(s), F.grouping_id().alias("_g"))
+            .select(CAUSE, AGE_GROUP, VISITS, "_g", mean_rate().alias(RATE)))
     is_cause = (F.col("_g") == 1) & F.col(CAUSE).isNotNull()
     is_age = (F.col("_g") == 2) & F.col(AGE_GROUP).isNotNull()
     lead_c = F.min(F.when(is_cause & F.col(VISITS).isNotNull(),
@@ -198,58 +213,32 @@ def insights(m: DataFrame, cfg: Config, year, area=None, age=None) -> DataFrame:
     return out.where(F.col("leading_cause").isNotNull())
 
 
-def overview(m: DataFrame, cfg: Config, year) -> DataFrame:
-    """Area ranking, top-k causes and top-k facilities from one
-    grouping-sets aggregate over the slice: one scan and one shuffle of
-    partial aggregates; each ranking is then a sort (areas) or a per-task
-    top-k heap (causes, facilities) over the aggregated groups."""
-    s = year_slice(m, year, cfg.week_window)
-    agg = (s.groupingSets([[AREA], [CAUSE], [AREA, FACILITY]], AREA, CAUSE, FACILITY)
-           .agg(*_rate_sum_parts(), F.grouping_id().alias("_g"))
-           .select(AREA, CAUSE, FACILITY, "_g", "_rn", _finish_mean()))
-
-    def kind(gid: int, keys: list[str]) -> DataFrame:
-        # grouping_id bits follow (area, cause, facility); a set bit = grouped
-        # away.  The whole test also reads an aggregate output (_rn), so
-        # Catalyst cannot push any part of it below the aggregate: the three
-        # branches keep one identical aggregate and share its exchange (one
-        # scan of the slice).
-        cond = F.col("_g") == gid
-        for k in keys:
-            cond = cond & F.col(k).isNotNull()
-        return agg.where(F.when(F.col("_rn") >= 0, cond).otherwise(F.lit(False)))
-
+def overview(place: DataFrame, cause: DataFrame, cfg: Config, year) -> DataFrame:
+    """Area ranking, top-k causes and top-k facilities, each rolled up from
+    the rate cube that has its keys (an analysed fact may be given for either)."""
     null_s = F.lit(None).cast("string")
-    cols = ["ranking", "rank", "key", "key2", RATE]
-    areas = ranked(kind(3, [AREA]), RATE, [AREA])
-    causes = ranked(kind(5, [CAUSE]), RATE, [CAUSE], cfg.top_causes)
-    facs = ranked(kind(2, [AREA, FACILITY]), RATE, [AREA, FACILITY], cfg.top_facilities)
-    # An always-empty first branch holds the aggregate's original attribute
-    # ids, so the three real branches are renewed copies of one identical
-    # plan and share a single exchange (the optimizer drops the empty branch).
-    empty = agg.where(F.lit(False)).select(null_s.alias("ranking"), null_s.cast("int").alias("rank"), null_s.alias("key"),
-                                           null_s.alias("key2"), RATE)
-    return (empty
-            .unionByName(areas.select(F.lit("areas").alias("ranking"), "rank", F.col(AREA).alias("key"),
-                                      null_s.alias("key2"), RATE))
-            .unionByName(causes.select(F.lit("causes").alias("ranking"), "rank", F.col(CAUSE).alias("key"),
-                                       null_s.alias("key2"), RATE))
-            .unionByName(facs.select(F.lit("facilities").alias("ranking"), "rank", F.col(AREA).alias("key"),
-                                     F.col(FACILITY).alias("key2"), RATE))
-            .select(*cols))
-
-
-def selectors(m: DataFrame, cube: DataFrame) -> DataFrame:
+
+    def part(kind: str, df: DataFrame, key: str, key2: str | None = None) -> DataFrame:
+        return df.select(F.lit(kind).alias("ranking"), "rank", F.col(key).alias("key"),
+                         (F.col(key2) if key2 else null_s).alias("key2"), RATE)
+
+    return (part("areas", top_areas(place, cfg, year), AREA)
+            .unionByName(part("causes", top_causes(cause, cfg, year), CAUSE))
+            .unionByName(part("facilities", top_facilities(place, cfg, year), AREA, FACILITY)))
+
+
+def selectors(place: DataFrame) -> DataFrame:
     """The values a user can choose from, (kind, position, value): years
-    descending, areas and age groups ascending. Years and areas are read from
-    the small weekly cube; age groups from one distinct of one fact column."""
-    def listed(df: DataFrame, column: str, down: bool = False) -> DataFrame:
-        values = df.select(column).where(F.col(column).isNotNull()).distinct()
-        order = F.col(column).desc() if down else F.col(column).asc()
-        return values.select(F.lit(column).alias("kind"), F.row_number().over(Window.orderBy(order)).alias("position"),
-                             F.col(column).cast("string").alias("value"))
-
-    return listed(cube, YEAR, down=True).unionByName(listed(cube, AREA)).unionByName(listed(m, AGE_GROUP))
+    descending, areas and age groups ascending, from the place cube (or an
+    analysed fact). Places in the lists are counted by year or by the values'
+    first two characters."""
+    def listed(column: str, down: bool = False) -> DataFrame:
+        values = place.select(column).where(F.col(column).isNotNull()).distinct()
+        order, cut = (F.col(column).desc(), -F.col(column)) if down else (F.col(column).asc(), F.substring(F.col(column), 1, 2))
+        return (numbered(values, "position", cut, [order])
+                .select(F.lit(column).alias("kind"), "position", F.col(column).cast("string").alias("value")))
+
+    return listed(YEAR, down=True).unionByName(listed(AREA)).unionByName(listed(AGE_GROUP))
 
 
 def peak_area(m: DataFrame, cfg: Config, year) -> DataFrame:

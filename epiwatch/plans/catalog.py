@@ -62,6 +62,14 @@ def _m(spark, d):
     return landing.analysed(spark, d, CFG)
 
 
+def _places(spark, d):
+    return landing.place_cube(spark, d, CFG)
+
+
+def _causes(spark, d):
+    return landing.cause_rate_cube(spark, d, CFG)
+
+
 def _year(m):
     return eval_year(m, CFG)
 
@@ -215,105 +223,104 @@ def care_level(spark, d):
 
 @query
 def selector_values(spark, d):
-    m = _m(spark, d)
-    return rankings.selectors(m, landing.cause_cube(spark, d, CFG))
+    return rankings.selectors(_places(spark, d))
 
 
 # -- rankings and profiles -------------------------------------------------------
 
 @query
 def top_areas(spark, d):
-    m = _m(spark, d)
+    m = _places(spark, d)
     return rankings.top_areas(m, CFG, _year(m))
 
 
 @query
 def top5_causes(spark, d):
-    m = _m(spark, d)
+    m = _causes(spark, d)
     return rankings.top_causes(m, CFG, _year(m))
 
 
 @query
 def top10_facilities(spark, d):
-    m = _m(spark, d)
+    m = _places(spark, d)
     return rankings.top_facilities(m, CFG, _year(m))
 
 
 @query
 def top10_facilities_by_age(spark, d):
-    m = _m(spark, d)
+    m = _places(spark, d)
     return rankings.top_facilities_by_visits(m, CFG, _year(m), _first_age_group())
 
 
 @query
 def facility_ranking(spark, d):
-    m = _m(spark, d)
+    m = _places(spark, d)
     return rankings.facility_ranking(m, CFG, _year(m), _first_area(spark, d))
 
 
 @query
 def area_share(spark, d):
-    m = _m(spark, d)
+    m = _places(spark, d)
     return rankings.area_share(m, CFG, _year(m))
 
 
 @query
 def trend_by_level(spark, d):
-    m = _m(spark, d)
+    m = _places(spark, d)
     return rankings.week_mean_by(m, CFG, _year(m), CARE_LEVEL)
 
 
 @query
 def profile_age_level(spark, d):
-    m = _m(spark, d)
+    m = _places(spark, d)
     return rankings.profile_who(m, CFG, _year(m))
 
 
 @query
 def profile_cause_level(spark, d):
-    m = _m(spark, d)
+    m = _causes(spark, d)
     return rankings.cause_level_profile(m, CFG, _year(m))
 
 
 @query
 def facility_week(spark, d):
-    m = _m(spark, d)
+    m = _places(spark, d)
     return rankings.week_mean_by(m, CFG, _year(m), FACILITY, area=_first_area(spark, d))
 
 
 @query
 def area_week(spark, d):
-    m = _m(spark, d)
+    m = _places(spark, d)
     return rankings.week_mean_by(m, CFG, _year(m), AREA)
 
 
 @query
 def kpi_totals(spark, d):
-    m = _m(spark, d)
+    m = _places(spark, d)
     return rankings.kpi_totals(m, CFG, _year(m))
 
 
 @query
 def insights(spark, d):
-    m = _m(spark, d)
+    m = _causes(spark, d)
     return rankings.insights(m, CFG, _year(m))
 
 
 @query
 def overview_bundle(spark, d):
-    m = _m(spark, d)
-    return rankings.overview(m, CFG, _year(m))
+    m = _places(spark, d)
+    return rankings.overview(m, _causes(spark, d), CFG, _year(m))
 
 
 @query
 def peak_area(spark, d):
-    m = _m(spark, d)
+    m = _places(spark, d)
     return rankings.peak_area(m, CFG, _year(m))
 
 
 @query
 def share_of_leading_cause(spark, d):
-    m = _m(spark, d)
+    m = _causes(spark, d)
     s = rankings.year_slice(m, _year(m), CFG.week_window)
     by_cause = rankings.visits_by(s, [CAUSE])
     total = rankings.total_of(by_cause)
@@ -331,17 +338,17 @@ WHOLE = CFG.with_(week_window=(1, 53))
 
 @query
 def top_areas_whole_year(spark, d):
-    return rankings.top_areas(_m(spark, d), WHOLE, F.lit(WHOLE_YEAR))
+    return rankings.top_areas(_places(spark, d), WHOLE, F.lit(WHOLE_YEAR))
 
 
 @query
 def kpi_totals_whole_year(spark, d):
-    return rankings.kpi_totals(_m(spark, d), WHOLE, F.lit(WHOLE_YEAR))
+    return rankings.kpi_totals(_places(spark, d), WHOLE, F.lit(WHOLE_YEAR))
 
 
 @query
 def area_share_whole_year(spark, d):
-    return rankings.area_share(_m(spark, d), WHOLE, F.lit(WHOLE_YEAR))
+    return rankings.area_share(_places(spark, d), WHOLE, F.lit(WHOLE_YEAR))
 
 
 # -- weekly series, channel, zones --------------------------------------------

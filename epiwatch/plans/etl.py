@@ -127,13 +127,15 @@ def run_pipeline(spark, feed_path: str, population_path: str, out_root: str,
                  cfg: Config) -> tuple[bool, str, dict]:
     """J19 end to end on landed files: guarded reads (A6), ETL, staged publish (A5).
 
-    One version holds the master, the (area, cause, year, week) cube, the
-    weekly series (all causes; per cause target) and a manifest. The fact rows
+    One version holds the master, the (area, cause, year, week) cube, the rate
+    cubes by place and by cause, the weekly series (all causes; per cause
+    target) and a manifest. The fact rows
     are aggregated once, for the cube; the series are rolled up from it.
     Returns (ok, message, audit); ``api.load`` reads what was published.
     """
     from ..sources.parquet import read_table
-    from ..sources.refresh import CUBE, WEEKLY, WEEKLY_BY_CAUSE, publish
+    from ..operators.cubes import CAUSE_KEYS, PLACE_KEYS, rate_cube
+    from ..sources.refresh import CAUSES, CUBE, PLACES, WEEKLY, WEEKLY_BY_CAUSE, publish
 
     from ..config import FEED_COLUMNS
     from ..sources.store import partition_columns
@@ -155,6 +157,8 @@ def run_pipeline(spark, feed_path: str, population_path: str, out_root: str,
         view = dashboard_view(master, cfg)
         cause_week_totals(view).write.parquet(f"{version}/{CUBE}")
         cube = spark.read.parquet(f"{version}/{CUBE}")
+        for name, keys in ((PLACES, PLACE_KEYS), (CAUSES, CAUSE_KEYS)):
+            rate_cube(view, keys).hint("rebalance", YEAR).write.partitionBy(YEAR).parquet(f"{version}/{name}")
         for name, by_target in ((WEEKLY, False), (WEEKLY_BY_CAUSE, True)):
             if by_target and not cfg.target_causes:
                 continue

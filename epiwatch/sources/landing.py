@@ -12,7 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..config import Config, driver_defaults
+from ..config import YEAR, Config, driver_defaults
+from ..operators.cubes import CAUSE_KEYS, PLACE_KEYS, rate_cube
 from ..operators.forecast import forecast
 from ..operators.rates import (TARGET, area_week_totals, cause_week_totals, scoped_series,
                                totals_from_cause_cube)
@@ -21,7 +22,7 @@ from . import driver_tables
 from .store import fingerprint, materialise, materialise_df, read_published
 
 # Bump when the landing or ETL logic changes, so stored tables are rebuilt.
-STORE_VERSION = "9"
+STORE_VERSION = "10"
 
 RAW_SOURCES = ("lineitem", "orders", "customer", "supplier", "nation", "region", "part")
 POP_SOURCES = ("customer", "nation", "orders")
@@ -105,6 +106,22 @@ def cause_cube(spark: SparkSession, sf_dir: str, cfg: Config | None = None) -> D
                           lambda: cause_week_totals(analysed(spark, sf_dir, cfg)))
 
 
+def place_cube(spark: SparkSession, sf_dir: str, cfg: Config | None = None) -> DataFrame:
+    """Rates and visits by place and age group (``operators.cubes``), one
+    directory a year."""
+    cfg = cfg or driver_defaults()
+    return materialise_df(spark, "places", _key(spark, sf_dir, cfg, *ETL_OPTIONS),
+                          lambda: rate_cube(analysed(spark, sf_dir, cfg), PLACE_KEYS), partition_by=YEAR)
+
+
+def cause_rate_cube(spark: SparkSession, sf_dir: str, cfg: Config | None = None) -> DataFrame:
+    """Rates and visits by cause, area, care level and age group, one directory
+    a year."""
+    cfg = cfg or driver_defaults()
+    return materialise_df(spark, "causes", _key(spark, sf_dir, cfg, *ETL_OPTIONS, "cause_labels"),
+                          lambda: rate_cube(analysed(spark, sf_dir, cfg), CAUSE_KEYS), partition_by=YEAR)
+
+
 def forecasts(spark: SparkSession, sf_dir: str, cfg: Config | None = None,
               by_target: bool = False) -> DataFrame:
     """The harmonic forecast of every series (scope[, cause target]) and target

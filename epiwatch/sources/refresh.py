@@ -24,6 +24,7 @@ from .store import SUCCESS, _jvm_fs, path_exists
 POINTER = "CURRENT"
 MANIFEST = "MANIFEST.json"
 MASTER, CUBE, WEEKLY, WEEKLY_BY_CAUSE = "master", "cube", "weekly", "weekly_by_cause"
+PLACES, CAUSES = "places", "causes"
 
 
 def _write_text(spark: SparkSession, path: str, text: str) -> None:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from epiwatch import api
 from epiwatch import config as C
+from epiwatch.operators import rankings
 from epiwatch.operators.clean import MissingColumnsError
 from epiwatch.sources import landing, refresh, store
 
@@ -31,10 +32,16 @@ FORECASTS = {
     "forecast": lambda m, c: api.forecast(m, c), "forecast_kpis": lambda m, c: api.forecast_kpis(m, c),
     "by cause": lambda m, c: api.forecast(m, c, by_cause=True), "series": lambda m, c: api.series(m, c),
 }
-FACT = {
+CUBES = {
     "areas": lambda m, c, **k: api.ranking(m, c, "areas", **k), "causes": lambda m, c, **k: api.ranking(m, c, "causes", **k),
-    "kpis": lambda m, c, **k: api.kpis(m, c, **k), "who": lambda m, c, **k: api.profile(m, c, "who", **k),
-    "week_by_area": lambda m, c, **k: api.profile(m, c, "week_by_area", **k),
+    "facilities": lambda m, c, **k: api.ranking(m, c, "facilities", **k),
+    "in area": lambda m, c, **k: api.ranking(m, c, "facilities_in_area", area="Sur", **k),
+    "by visits": lambda m, c, **k: api.ranking(m, c, "facilities_by_visits", area="Norte", age="65oMas", **k),
+    "kpis": lambda m, c, **k: api.kpis(m, c, **k), "kpis of area": lambda m, c, **k: api.kpis(m, c, area="Sur", weeks=(3, 9), **k),
+    "insights": lambda m, c, **k: api.insights(m, c, **k), "insights of area": lambda m, c, **k: api.insights(m, c, area="Sur", **k),
+    "overview": lambda m, c, **k: api.overview(m, c, **k),
+    **{kind: lambda m, c, kind=kind, **k: api.profile(m, c, kind, **k)
+       for kind in ("who", "causes_by_level", "week_by_level", "week_by_facility", "week_by_area", "area_share")},
 }
 
 
@@ -47,8 +54,27 @@ def test_scans_of_the_fact(published, year, set_year):  # noqa: F811
         assert fact_scans(fn(m, cfg, year=year)) == 0, name
     for name, fn in FORECASTS.items():
         assert fact_scans(fn(m, cfg)) == 0, name
-    for name, fn in FACT.items():
-        assert fact_scans(fn(m, cfg, year=year)) == 1, name
+    for name, fn in CUBES.items():
+        assert fact_scans(fn(m, cfg, year=year)) == 0, name
+    assert fact_scans(api.selectors(m, cfg)) == 0
+
+
+def test_rankings_of_the_cubes_equal_those_of_the_fact(published):  # noqa: F811
+    m, cfg = published
+    for name, fn in CUBES.items():
+        got, want = ([tuple(r) for r in fn(x, cfg, year=2024).collect()] for x in (m, m.master))
+        assert set(got) == set(want) and len(got) == len(want) > 0, name
+
+
+def test_full_rankings_are_not_ordered_in_one_partition(spark, published):  # noqa: F811
+    m, cfg = published
+    plan = api.ranking(m, cfg, "areas", year=2024)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Window .*\[_cut", plan), plan
+    values = [(float(v), f"k{i:03}") for i, v in enumerate([0.0, 0.0, 1e-7, 3, 3.01, 3.01, 250, 9e8, 9e8, 17, 17.2])] + [(None, "none"), (-2.0, "below")]
+    df = spark.createDataFrame(values, "v double, key string")
+    got = [(r.key, r["rank"]) for r in rankings.ranked(df, "v", ["key"]).orderBy("rank").collect()]
+    order = sorted(values, key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    assert got == [(k, i) for i, (_, k) in enumerate(order, 1)]
 
 
 def test_published_series_equal_those_of_the_fact(published):  # noqa: F811
