@@ -8,15 +8,16 @@ broadcast when its size estimate allows it, so the fact rows are not shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..config import (AGE_GROUP, AREA, CARE_LEVEL, CAUSE, FACILITY, FACILITY_TYPE, GLOBAL_SCOPE,
                       POPULATION, POPULATION_COLUMNS, POPULATION_RENAMES, RATE, VISITS, YEAR,
                       Config)
 from ..functions.classify import care_level, recode_cause
 from ..functions.numeric import nan_to_null
-from ..operators.clean import clean_feed, normalise_keys, rename_present, require_columns
+from ..operators.clean import clean_feed, normalise_keys, rename_present, require_columns, standardise_feed
 from ..operators.joins import join_population
 from ..operators.rates import TARGET, area_week_totals, cause_week_totals, row_rate, scoped_series, totals_from_cause_cube
 from ..operators.reshape import unpivot_ages
@@ -113,6 +114,10 @@ def dashboard_view(master: DataFrame, cfg: Config) -> DataFrame:
             .withColumn(CARE_LEVEL, care_level(level_src)))
 
 
+#: The options that the master depends on, beside the tables it comes from.
+ETL_OPTIONS = ("service", "excluded_causes", "spelling", "spelling_columns", "age_columns", "drop_columns", "required_only")
+
+
 def cube_key(cfg: Config) -> str:
     """The options that the cause cube depends on, beside the master's."""
     return repr(cfg.cause_labels)
@@ -123,19 +128,38 @@ def series_key(cfg: Config) -> str:
     return repr((cfg.cause_labels, cfg.target_causes, cfg.denominator))
 
 
+def _year_of(df: DataFrame) -> Column:
+    kind = df.schema[YEAR].dataType
+    return F.col(YEAR) if isinstance(kind, IntegralType) else F.col(YEAR).try_cast("double").cast("int")
+
+
+def year_digests(df: DataFrame) -> dict[int | None, str]:
+    """A digest of the rows of each calendar year, whatever their order and
+    files: their number and two sums of row hashes. One aggregate; what comes to
+    the driver is a row for each year."""
+    cols = sorted(df.columns)
+    sums = [F.sum(F.xxhash64(F.lit(k), *cols).cast("decimal(38,0)")).cast("string") for k in (0, 1)]
+    rows = df.groupBy(_year_of(df).alias("y")).agg(F.count(F.lit(1)).cast("string").alias("n"), F.concat_ws(":", *sums).alias("s")).collect()
+    return {r["y"]: f"{r['n']}:{r['s']}" for r in rows}
+
+
 def run_pipeline(spark, feed_path: str, population_path: str, out_root: str,
                  cfg: Config) -> tuple[bool, str, dict]:
     """J19 end to end on landed files: guarded reads (A6), ETL, staged publish (A5).
 
     One version holds the master, the (area, cause, year, week) cube, the rate
     cubes by place and by cause, the weekly series (all causes; per cause
-    target) and a manifest. The fact rows
-    are aggregated once, for the cube; the series are rolled up from it.
-    Returns (ok, message, audit); ``api.load`` reads what was published.
+    target) and a manifest. The fact rows are aggregated for the cubes; the
+    series are rolled up from the first. Years whose feed and population rows
+    and options are as in the published version are not worked on again: the
+    manifest points to the version that has them. If nothing changed, nothing
+    is published. Returns (ok, message, audit); the audit counts the rows of the
+    years that were written. ``api.load`` reads what was published.
     """
-    from ..sources.parquet import read_table
     from ..operators.cubes import CAUSE_KEYS, PLACE_KEYS, rate_cube
-    from ..sources.refresh import CAUSES, CUBE, PLACES, WEEKLY, WEEKLY_BY_CAUSE, publish
+    from ..sources.parquet import read_table
+    from ..sources.refresh import (CAUSES, CUBE, MASTER, PLACES, WEEKLY, WEEKLY_BY_CAUSE, current_version, publish,
+                                   read_manifest, read_parts)
 
     from ..config import FEED_COLUMNS
     from ..sources.store import partition_columns
@@ -146,8 +170,25 @@ def run_pipeline(spark, feed_path: str, population_path: str, out_root: str,
     by_year = bool(parts) and FEED_COLUMNS.get(parts[0], parts[0]) == YEAR
     audit: dict = {}
 
+    feed = standardise_feed(raw)
+    pop_digests = year_digests(normalise_population(pop))
+    options = repr([(o, getattr(cfg, o)) for o in ETL_OPTIONS]) + cube_key(cfg)
+    digests = {str(y): f"{d}|{pop_digests.get(y)}|{options}" for y, d in year_digests(feed).items()} if YEAR in feed.columns else {}
+    old = read_manifest(spark, out_root) if current_version(spark, out_root) else {}
+    same = {y for y, d in digests.items() if old.get("digests", {}).get(y) == d}
+    if digests and same == set(digests) == set(old["digests"]) and old["series_key"] == series_key(cfg):
+        return True, "unchanged: the published version has these rows", {"rows": 0, "orphan_rows": 0}
+    if same == set(digests):  # years went, or the series are others: a version has at least one year of its own
+        same -= {max(same)} if same else set()
+    kept = {name: [y for y in years if str(y) in same] for name, years in old.get("parts", {}).items()}
+    kept = {name: years for name, years in kept.items() if years}
+    if same:
+        year = _year_of(feed)
+        changed = [int(y) for y in digests if y not in same and y != "None"]
+        feed = feed.where(year.isin(changed) | year.isNull() if "None" not in same else year.isin(changed))
+
     def _write(path: str):
-        audit.update(write_master(raw, pop, cfg, path, feed_by_year=by_year))
+        audit.update(write_master(feed, pop, cfg, path, feed_by_year=by_year))
 
     def _check(master: DataFrame) -> str | None:
         taken = not master.where(F.col(AREA) == GLOBAL_SCOPE).isEmpty()
@@ -155,18 +196,21 @@ def run_pipeline(spark, feed_path: str, population_path: str, out_root: str,
 
     def _derive(master: DataFrame, version: str) -> dict:
         view = dashboard_view(master, cfg)
-        cause_week_totals(view).write.parquet(f"{version}/{CUBE}")
-        cube = spark.read.parquet(f"{version}/{CUBE}")
-        for name, keys in ((PLACES, PLACE_KEYS), (CAUSES, CAUSE_KEYS)):
-            rate_cube(view, keys).hint("rebalance", YEAR).write.partitionBy(YEAR).parquet(f"{version}/{name}")
+        for name, cube in ((CUBE, cause_week_totals(view)), (PLACES, rate_cube(view, PLACE_KEYS)), (CAUSES, rate_cube(view, CAUSE_KEYS))):
+            cube.hint("rebalance", YEAR).write.partitionBy(YEAR).parquet(f"{version}/{name}")
+        counts = {r[YEAR]: r["count"] for r in master.groupBy(YEAR).count().collect()}  # a few calendar years
+        now = {**kept, version.rsplit("/", 1)[-1]: sorted(counts, key=str)}
+        every = read_parts(spark, out_root, now, CUBE)
         for name, by_target in ((WEEKLY, False), (WEEKLY_BY_CAUSE, True)):
             if by_target and not cfg.target_causes:
                 continue
-            totals = (totals_from_cause_cube(cube, cfg, by_target) if cfg.denominator == "row_sum"
-                      else area_week_totals(view, cfg, by_target))
+            totals = (totals_from_cause_cube(every, cfg, by_target) if cfg.denominator == "row_sum"
+                      else area_week_totals(dashboard_view(read_parts(spark, out_root, now, MASTER), cfg), cfg, by_target))
             scoped_series(totals, [TARGET] if by_target else []).write.parquet(f"{version}/{name}")
-        years = [r[0] for r in cube.select(YEAR).distinct().orderBy(YEAR).collect()]  # a few calendar years
-        return {"years": years, "series_key": series_key(cfg), "cube_key": cube_key(cfg)}
+        by_year_rows = {**{y: n for y, n in old.get("year_rows", {}).items() if y in same}, **{str(y): n for y, n in counts.items()}}
+        years = sorted(y for ys in now.values() for y in ys if y is not None)
+        return {"years": years, "rows": sum(by_year_rows.values()), "year_rows": by_year_rows, "parts": now, "digests": digests,
+                "series_key": series_key(cfg), "cube_key": cube_key(cfg)}
 
     ok, msg = publish(spark, out_root, _write, required=[AREA, YEAR, AGE_GROUP, VISITS, POPULATION, RATE],
                       check=_check, derive=_derive)

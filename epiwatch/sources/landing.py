@@ -17,7 +17,7 @@ from ..operators.cubes import CAUSE_KEYS, PLACE_KEYS, rate_cube
 from ..operators.forecast import forecast
 from ..operators.rates import (TARGET, area_week_totals, cause_week_totals, scoped_series,
                                totals_from_cause_cube)
-from ..plans.etl import dashboard_view, write_master
+from ..plans.etl import ETL_OPTIONS, dashboard_view, write_master
 from . import driver_tables
 from .store import fingerprint, materialise, materialise_df, read_published
 
@@ -45,8 +45,7 @@ def population(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise_df(spark, "population", key, lambda: driver_tables.population(spark, sf_dir))
 
 
-#: The options that each stored table depends on, beside the tables it comes from.
-ETL_OPTIONS = ("service", "excluded_causes", "spelling", "spelling_columns", "age_columns", "drop_columns", "required_only")
+#: The options that each stored table depends on, beside ETL_OPTIONS and the tables it comes from.
 SERIES_OPTIONS = ("cause_labels", "target_causes", "denominator")
 MODEL_OPTIONS = ("baseline_years", "excluded_years", "recent_year", "recent_weight", "base_weight", "base_year", "period",
                  "target_years", "threshold_years")

@@ -15,9 +15,11 @@ import json
 import time
 import uuid
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..config import YEAR
 from ..operators.clean import require_columns
 from .store import SUCCESS, _jvm_fs, path_exists
 
@@ -25,6 +27,9 @@ POINTER = "CURRENT"
 MANIFEST = "MANIFEST.json"
 MASTER, CUBE, WEEKLY, WEEKLY_BY_CAUSE = "master", "cube", "weekly", "weekly_by_cause"
 PLACES, CAUSES = "places", "causes"
+#: Tables with a folder for each year, which a version may leave to an earlier one.
+BY_YEAR = (MASTER, CUBE, PLACES, CAUSES)
+NO_YEAR = "__HIVE_DEFAULT_PARTITION__"
 
 
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
@@ -67,11 +72,24 @@ def current_version(spark: SparkSession, root: str) -> str | None:
     return None
 
 
+def read_parts(spark: SparkSession, root: str, parts: dict[str, list], table: str) -> DataFrame:
+    """A table by year, put together from the versions that have its years."""
+    frames = []
+    for name, years in sorted(parts.items()):
+        base = f"{root.rstrip('/')}/{name}/{table}"
+        folders = [f"{base}/{YEAR}={NO_YEAR if y is None else y}" for y in years]
+        frames.append(spark.read.option("basePath", base).parquet(*folders))
+    return reduce(DataFrame.unionByName, frames)
+
+
 def read_current(spark: SparkSession, root: str, table: str = MASTER) -> DataFrame:
     """A table of the published version."""
     v = current_version(spark, root)
     if v is None:
         raise FileNotFoundError(f"no published snapshot under {root}")
+    parts = read_manifest(spark, root).get("parts") if table in BY_YEAR else None
+    if parts and list(parts) != [v.rsplit("/", 1)[-1]]:
+        return read_parts(spark, root, parts, table)
     return spark.read.parquet(f"{v}/{table}")
 
 

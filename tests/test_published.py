@@ -219,3 +219,48 @@ def test_second_caller_waits_for_the_first(spark, scratch):
         assert store.materialise(spark, "tbl2", "k", write)  # the claim was released
     finally:
         spark.conf.unset("spark.epiwatch.namespace")
+
+
+def test_a_refresh_writes_only_the_years_that_changed(spark, scratch, monkeypatch):
+    def rows(late=3, years=(2018, 2019, 2022)):
+        return [_row(area=a, cause=c, year=y, week=w, fac=f"Hospital {a}", counts=(late if (y, w) == (2019, 5) else 1, 2, 3, 4, 5))
+                for y in years for w in range(1, 8) for a in ("Norte", "Sur") for c in ("Influenza (J09-J11)", "Neumonía (J12-J18)")]
+
+    cfg, root = C.surveillance_defaults(), f"{scratch}/one"
+    tables = (refresh.MASTER, refresh.CUBE, refresh.PLACES, refresh.CAUSES, refresh.WEEKLY, refresh.WEEKLY_BY_CAUSE)
+
+    def content(at):
+        out = {}
+        for t in tables:
+            df = refresh.read_current(spark, f"{at}/master", t)
+            out[t] = sorted((tuple(r) for r in df.select(sorted(df.columns)).collect()), key=str)
+        return out
+
+    def written_years():
+        v = refresh.current_version(spark, f"{root}/master")
+        return sorted(n for n in os.listdir(f"{v}/master") if n.startswith("year="))
+
+    assert _publish(spark, root, rows())[0] and len(written_years()) == 3
+    first = refresh.current_version(spark, f"{root}/master")
+    ok, message, audit = _publish(spark, root, rows())  # the same rows in other files
+    assert ok and "unchanged" in message and audit["rows"] == 0
+    assert refresh.current_version(spark, f"{root}/master") == first
+
+    ok, message, audit = _publish(spark, root, rows(late=9))
+    assert ok and written_years() == ["year=2019"] and audit["rows"] == len(rows()) // 3 * 5
+    assert _publish(spark, f"{scratch}/full", rows(late=9))[0]
+    assert content(root) == content(f"{scratch}/full")
+    m, n = api.load(spark, f"{root}/master", cfg), api.load(spark, f"{scratch}/full/master", cfg)
+    assert (m.years, m.rows) == (n.years, n.rows) == ((2018, 2019, 2022), len(rows()) * 5)
+    assert {tuple(r) for r in api.ranking(m, cfg, "causes", year=2018).collect()} == {tuple(r) for r in api.ranking(n, cfg, "causes", year=2018).collect()}
+
+    before = content(root)  # a failure leaves the old version
+    monkeypatch.setattr(refresh, "read_parts", lambda *a: 1 / 0)
+    ok, message, _ = _publish(spark, root, rows(late=11))
+    monkeypatch.undo()
+    assert not ok and "ZeroDivisionError" in message and content(root) == before
+
+    assert _publish(spark, root, rows(late=9, years=(2018, 2022)))[0]  # a year less
+    assert _publish(spark, f"{scratch}/less", rows(years=(2018, 2022)))[0]
+    assert content(root) == content(f"{scratch}/less")
+    assert api.load(spark, f"{root}/master", cfg).years == (2018, 2022)
