@@ -7,7 +7,7 @@ import numpy as np
 
 from epiwatch import config as C
 from epiwatch.operators import forecast
-from epiwatch.operators.wls import wls_fit, wls_window_fit
+from epiwatch.operators.wls import wls_fit
 
 CFG = C.Config(base_year=2014, recent_year=2023, excluded_years=(2020, 2021, 2022), target_years=(2025,))
 
@@ -52,7 +52,7 @@ def test_matches_numpy_lstsq_on_noisy_data(spark):
     assert max(abs(got[w] - exp[w]) for w in exp) < 1e-8
 
 
-def test_rank_deficient_series_uses_min_norm_fallback(spark):
+def test_rank_deficient_series_gets_the_minimum_norm_solution(spark):
     rows = [(2019, w, float(w)) for w in (3, 10, 20, 30, 40)]  # 5 distinct weeks < 6 columns
     s = spark.createDataFrame([("G",) + r for r in rows], "scope string, year int, week int, rate double")
     fc = forecast.forecast(s, ["scope"], CFG)
@@ -60,20 +60,54 @@ def test_rank_deficient_series_uses_min_norm_fallback(spark):
     exp = _numpy_forecast(rows, 2025)
     assert max(abs(got[w] - exp[w]) for w in exp) < 1e-6
     plan = fc._jdf.queryExecution().executedPlan().toString()
-    assert "FlatMapGroupsInPandas" in plan
+    assert "Pandas" not in plan and "Window" not in plan
 
 
-def test_window_solver_flags_deficiency(spark):
+def _fitted(spark, groups, n):
+    """fit and deficient by (series, row) of {series: [(y, w, x...)]}."""
+    rows = [(g, i, *map(float, r)) for g, some in groups.items() for i, r in enumerate(some)]
+    xs = [f"x{j}" for j in range(n)]
+    df = spark.createDataFrame(rows, "k string, i int, y double, w double, " + ", ".join(f"{c} double" for c in xs))
+    return {(r.k, r.i): r for r in wls_fit(df, ["k"], xs).collect()}
+
+
+def _lstsq(some):
+    a = np.array(some, dtype=float)
+    sw = np.sqrt(a[:, 1])
+    return a[:, 2:] @ np.linalg.lstsq(a[:, 2:] * sw[:, None], a[:, 0] * sw, rcond=None)[0]
+
+
+def test_solver_flags_dependent_columns_and_equals_lstsq(spark):
     rnd = random.Random(5)
-    rows = [("a", i, rnd.uniform(0, 9), 1.0, float(i), 2.0 * i, 1.0 + (i % 2)) for i in range(10)]
-    df = spark.createDataFrame(rows, "k string, i int, y double, x0 double, x1 double, x2 double, w double")
-    out = wls_window_fit(df, ["k"], ["x0", "x1", "x2"])      # x2 = 2 * x1: collinear
-    assert all(r.deficient for r in out.collect())
-    got = {r.i: r.fit for r in wls_fit(df, ["k"], ["x0", "x1", "x2"]).collect()}
-    X = np.array([[r[3], r[4], r[5]] for r in rows]); y = np.array([r[2] for r in rows])
-    sw = np.sqrt(np.array([r[6] for r in rows]))
-    beta = np.linalg.lstsq(X * sw[:, None], y * sw, rcond=None)[0]
-    assert max(abs(got[i] - float(X[i] @ beta)) for i in range(10)) < 1e-9
+    y = lambda: rnd.uniform(0, 9)
+    groups = {
+        "collinear": [(y(), 1 + i % 2, 1, i, 2 * i) for i in range(10)],
+        "zero column": [(y(), 1, 1, 0, i) for i in range(8)],
+        "one row": [(4.0, 5.0, 1, 2, 3)],
+        "equal rows": [(y(), 1, 1, 7, 3) for _ in range(6)],
+        "far from the origin": [(y(), 1 + i % 3, 1, 1e4 + i, (1e4 + i) ** 2) for i in range(30)],
+        "well posed": [(y(), 1 + i % 3, 1, i, math.sin(i)) for i in range(30)],
+    }
+    got = _fitted(spark, groups, 3)
+    assert {k for (k, _), r in got.items() if r.deficient} == {"collinear", "zero column", "one row", "equal rows"}
+    for k, some in groups.items():
+        if k == "far from the origin":  # the same parabola about its middle, where the columns are apart
+            some = [(a, b, 1, i - 15, (i - 15) ** 2) for i, (a, b, *_) in enumerate(some)]
+        assert max(abs(got[k, i].fit - v) for i, v in enumerate(_lstsq(some))) < (1e-5 if k == "far from the origin" else 1e-9), k
+
+
+def test_few_weeks_side_by_side_keep_their_digits(spark):
+    """Harmonics over nine neighbouring weeks are nearly dependent."""
+    rnd = random.Random(8)
+    some = [(rnd.uniform(5, 40), 5.0, *_design(2023, w)) for w in range(20, 29)]
+    got = _fitted(spark, {"g": some}, 6)
+    assert max(abs(got["g", i].fit - v) for i, v in enumerate(_lstsq(some))) < 1e-8
+
+
+def test_rows_without_weight_do_not_train(spark):
+    some = [(2.0 * i, 1.0, 1.0, i) for i in range(5)] + [(1e9, 0.0, 1.0, 10.0)]
+    got = _fitted(spark, {"g": some, "none": [(1.0, 0.0, 1.0, 1.0)]}, 2)
+    assert abs(got["g", 5].fit - 20.0) < 1e-9 and math.isnan(got["none", 0].fit)
 
 
 def test_mape_skips_zero_actual(spark):
@@ -92,7 +126,7 @@ def test_kpis_peak_first_week_and_bands(spark):
     assert r.mape is None and r.quality is None and r.epidemic_risk
 
 
-def test_window_solver_equals_mllib_weighted_normal_equations(spark):
+def test_solver_equals_mllib_weighted_normal_equations(spark):
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
     rnd = random.Random(2)

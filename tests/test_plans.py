@@ -61,13 +61,18 @@ def _forecast_plan(spark, by_target):
     return forecast.forecast(landing.weekly_series(spark, SF, driver_defaults(), by_target), keys, driver_defaults())
 
 
-@pytest.mark.parametrize("name", ["forecast", "forecast_by_cause", "endemic_channel", "moving_average",
-                                  "zone_by_week"])
+@pytest.mark.parametrize("by_target", [False, True])
+def test_forecast_has_no_window_and_no_python(spark, by_target):
+    df = _forecast_plan(spark, by_target)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    assert not _window_specs(plan)
+    assert not any(node in plan.toString() for node in ("Pandas", "Python", "Arrow"))
+
+
+@pytest.mark.parametrize("name", ["endemic_channel", "moving_average", "zone_by_week"])
 def test_every_window_is_partitioned_by_series(spark, name):
-    if name.startswith("forecast"):
-        df = _forecast_plan(spark, name.endswith("cause"))
-    else:
-        df = catalog.QUERIES[name](spark, SF)
+    df = catalog.QUERIES[name](spark, SF)
     df.collect()
     specs = _window_specs(df._jdf.queryExecution().executedPlan())
     assert specs, name
