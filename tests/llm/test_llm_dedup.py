@@ -110,6 +110,7 @@ def edit_distance(a: str, b: str) -> int:
 
 def test_simhash_of_lines(spark):
     lines = ["a b c", "x", " ".join(["one two"] * 100), " ".join(f"w{i % 90}" for i in range(600)), "é, (ß) 🙂!", "... ;", " ".join(str(i) for i in range(40_000))]
+    lines += [" ".join(f"v{i}" for i in range(n)) for width in line_module.WIDTHS for n in (line_module.most_words(width) + k for k in (-1, 0, 1))]
     df = spark.createDataFrame(list(enumerate(lines)), "k long, line string")
     found = {x.k: x.fp for x in simhashes(df, ["k"]).collect()}
     assert sorted(found) == list(range(len(lines)))
