@@ -6,8 +6,7 @@ separator between all words would else make unlike lines alike). The 64 bits are
 cut into ``radius + keep`` blocks; two lines within the radius agree on at least ``keep`` of them (pigeonhole), so each
 line goes under every choice of ``keep`` blocks, and lines are joined on these.
 A link needs at most ``radius`` differing bits and an edit similarity (1 -
-Levenshtein distance / longer length, of the normalised lines, stops included) of ``similarity``. Where a line of a pair is over LONG characters,
-the share of common word pairs stands for it (``alike``). One occurrence of each
+Levenshtein distance / longer length, of the normalised lines, stops included) of ``similarity``, whatever their length. One occurrence of each
 connected group of lines stays: the first by doc_id, then by place.
 
 Equal lines are one node, found by one exchange on the line's hash; all else
@@ -131,27 +130,31 @@ def _those_of(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     return some.join(wanted, "id")  # not a semi join, which Spark would move below the filter
 
 
-#: Longest line in characters for which the Levenshtein distance is worked out.
-LONG = 4096
-
-
 def alike(x: str, y: str, similarity: float) -> Column:
-    """Whether the edit similarity of two columns is at least ``similarity``. Texts of as
-    many words differ by no more edits than the longer of each unequal pair of
-    words has characters; where that is within the limit, as for copies with
-    some words replaced, the Levenshtein distance need not be worked out. It costs
-    the square of the length; where a text is over LONG characters, the share of
-    the distinct pairs of words that both have, of those of the text with more,
-    is taken instead."""
+    """Whether the edit similarity of two columns is at least ``similarity``, for texts of
+    any length. Texts of as many words differ by no more edits than the longer of each
+    unequal pair of words has characters; where that is within the limit, as for copies
+    with some words replaced, the Levenshtein distance need not be worked out. It costs the
+    product of two lengths and memory in proportion to one, so it is taken of what is left without
+    the words that both begin and both end with, and of very near texts within a smaller limit."""
     most = f"cast(floor((1 - {similarity}) * greatest(length({x}), length({y})) + 1e-9) as int)"
     words = f"zip_with(split({x}, ' '), split({y}, ' '), (a, b) -> if(a = b, 0, greatest(length(a), length(b))))"
     same = f"length({x}) - length(replace({x}, ' ', '')) = length({y}) - length(replace({y}, ' ', ''))"
     by_word = f"aggregate({words}, 0, (s, v) -> s + v) <= {most}"
-    w_x, w_y = (f"split(concat({t}, ' \n'), ' ')" for t in (x, y))
-    pairs_x, pairs_y = (f"array_distinct(zip_with(slice({w}, 1, size({w}) - 1), slice({w}, 2, size({w}) - 1), (a, b) -> xxhash64(a, b)))" for w in (w_x, w_y))
-    by_pairs = f"size(array_intersect({pairs_x}, {pairs_y})) >= {similarity} * greatest(size({pairs_x}), size({pairs_y}))"
-    return F.expr(f"CASE WHEN abs(length({x}) - length({y})) > {most} THEN false WHEN {same} AND {by_word} THEN true "
-                  f"WHEN greatest(length({x}), length({y})) > {LONG} THEN {by_pairs} ELSE levenshtein({x}, {y}, {most}) >= 0 END")
+
+    def run(a: str, b: str, most: str) -> str:
+        """How many words, ``most`` at most, two lists begin with alike."""
+        unequal = f"zip_with(slice({a}, 1, {most}), slice({b}, 1, {most}), (a, b) -> a <> b)"
+        return f"cast(coalesce(nullif(array_position({unequal}, true), 0) - 1, {most}) as int)"
+
+    fewer = "least(size(v.x), size(v.y))"
+    begin = f"transform(array(named_struct('x', split({x}, ' '), 'y', split({y}, ' '))), v -> struct(v.x, v.y, {run('v.x', 'v.y', fewer)} AS n))"
+    ends = run("reverse(v.x)", "reverse(v.y)", f"{fewer} - v.n")
+    # Each word with a space after it, so that a word left out takes its space along.
+    x_left, y_left = (f"array_join(transform(slice(v.{c}, v.n + 1, size(v.{c}) - v.n - v.m), w -> concat(w, ' ')), '')" for c in "xy")
+    left = f"transform(transform({begin}, v -> struct(v.x, v.y, v.n, {ends} AS m)), v -> struct({x_left} AS x, {y_left} AS y, {most} AS most))"
+    near = f"exists({left}, v -> (v.most >= 64 AND levenshtein(v.x, v.y, v.most div 64) >= 0) OR levenshtein(v.x, v.y, v.most) >= 0)"
+    return F.expr(f"CASE WHEN abs(length({x}) - length({y})) > {most} THEN false WHEN {same} AND {by_word} THEN true ELSE {near} END")
 
 
 def distinct_lines(docs: DataFrame) -> DataFrame:

@@ -257,6 +257,26 @@ def test_very_long_lines(spark):
     assert {x.doc: x.gone for x in removals(docs).collect()} == {2: [0]}
 
 
+def test_edit_similarity_at_every_length(spark):
+    """One measure for texts short and long: words taken out, changed and moved, at both sides of 4,096 characters."""
+    r = random.Random(14)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(4, 7)))
+    rows = []
+    for n in (40, 640, 760):
+        w = [word() for _ in range(n)]
+        changed = [x[:-1] + "z" if k % 3 == 0 else x for k, x in enumerate(w)]
+        half = n // 2
+        rows += [(" ".join(w), " ".join(v), want) for v, want in (
+            (changed[1:], True), ([changed[0], "q", *w[1:]], True), (w[2:-2], True), ([*w[1:half], *changed[half:]], True),
+            ([*w[half:], *w[:half]], False), ([*w[half:], "q", *w[:half]], False), ([x[:2] + "zz" + x[4:] for x in w[1:]], False))]
+    rows = [(i, x, y, want) for i, (x, y, want) in enumerate(rows)]
+    assert {len(x) > 4096 for _, x, _, _ in rows} == {True, False}
+    got = {x.i: x.ok for x in spark.createDataFrame(rows, "i long, x string, y string, want boolean").select("i", alike("x", "y", 0.8).alias("ok")).collect()}
+    assert got == {i: want for i, _, _, want in rows}
+    for i, x, y, want in rows[:7]:
+        assert (edit_distance(x, y) <= int(0.2 * max(len(x), len(y)) + 1e-9)) == want
+
+
 def test_op7_and_clashing_columns(spark, tmp_path):
     rows = line_rows()
     docs = spark.createDataFrame(rows, SCHEMA).withColumn("__doc", F.lit("a")).withColumn("gone", F.lit("b")).withColumn("hash", F.lit("c")).withColumn("left", F.lit(1))
