@@ -30,7 +30,7 @@ from ..operators.reshape import interpolate_linear
 from ..sources import landing
 from ..sources.parquet import MissingInputError
 from ..sources.refresh import publish, read_current
-from ..sources.store import checkpoint_root, clear_cache
+from ..sources.store import checkpoint_root, clear_cache, unsorted_write
 from .etl import build_master, joined, long_visits, normalise_population, run_pipeline
 
 CFG: Config = driver_defaults()
@@ -177,7 +177,8 @@ def refresh_roundtrip(spark, d):
     root = f"{checkpoint_root(spark)}/epiwatch/refresh-{uuid.uuid4().hex[:12]}"
     admin = {c: F.lit("x") for c in C.FEED_DROP_COLUMNS}
     source = {engine: name for name, engine in C.FEED_COLUMNS.items()}
-    _raw(spark, d).withColumnsRenamed(source).withColumns(admin).write.partitionBy(source[YEAR]).parquet(f"{root}/feed")
+    with unsorted_write(spark):  # the landed feed is by year
+        _raw(spark, d).withColumnsRenamed(source).withColumns(admin).write.partitionBy(source[YEAR]).parquet(f"{root}/feed")
     _pop(spark, d).withColumnsRenamed({AREA: "ComunaGlosa", YEAR: "anio", AGE_GROUP: "grupo_etario", POPULATION: "poblacion"}
                                       ).write.parquet(f"{root}/population")
     cfg = CFG.with_(drop_columns=C.FEED_DROP_COLUMNS)

@@ -8,6 +8,8 @@ broadcast when its size estimate allows it, so the fact rows are not shuffled.
 
 from __future__ import annotations
 
+from contextlib import nullcontext
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
@@ -78,10 +80,12 @@ def master_for_write(raw: DataFrame, pop: DataFrame, cfg: Config, feed_by_year:
     ``feed_by_year``: the feed is stored partitioned by year, so a scan task
     holds few years (small files of several may share a task) and writes few
     directories -- the ETL runs without any shuffle where the population side
-    is broadcast.  Otherwise the rows are
+    is broadcast.  It does not sort either: a scan task of compressed feed files
+    holds several times its size in long rows, and the rows keep the order of
+    the feed (landed by area and week).  Otherwise the rows are
     rebalanced on the year first (AQE splits a hot year into advisory-sized
-    tasks and merges small ones), so tasks do not each write every year.
-    Inside a task rows are sorted by area and week, so row-group statistics
+    tasks and merges small ones), so tasks do not each write every year, and
+    sorted inside a task by area and week.  In either order row-group statistics
     prune scope and week filters on later scans.  The orphan audit (D3) is an
     ``observe`` above any exchange, so no pass counts rows twice.
     """
@@ -93,17 +97,21 @@ def master_for_write(raw: DataFrame, pop: DataFrame, cfg: Config, feed_by_year:
     if observation is not None:
         out = out.observe(observation, F.count(F.lit(1)).alias("rows"),
                           F.count_if(F.col("_orphan")).alias("orphan_rows"))
+    out = out.drop("_orphan")
     order = [c for c in (YEAR, AREA, "week") if c in out.columns]
-    return out.drop("_orphan").sortWithinPartitions(*order)
+    return out if feed_by_year else out.sortWithinPartitions(*order)
 
 
 def write_master(raw: DataFrame, pop: DataFrame, cfg: Config, path: str,
                  feed_by_year: bool = False) -> dict:
     """Run the ETL and write the master (A4), partitioned by year; returns the
     orphan audit collected during the same pass (no extra scan)."""
+    from ..sources.store import unsorted_write
+
     obs = Observation("etl_audit")
-    (master_for_write(raw, pop, cfg, feed_by_year, obs)
-     .write.mode("overwrite").partitionBy(YEAR).parquet(path))
+    writer = master_for_write(raw, pop, cfg, feed_by_year, obs).write.mode("overwrite").partitionBy(YEAR)
+    with unsorted_write(raw.sparkSession) if feed_by_year else nullcontext():
+        writer.parquet(path)
     return dict(obs.get)
 
 

@@ -5,10 +5,10 @@ section 3): it plays the role of the published weekly feed and of the
 population projections.  Both are plain DataFrame jobs over the given tables.
 
 Join order is chosen for scale (Catalyst does not reorder without CBO stats):
-lineitem is joined to part first and to orders/customer second, then partially
-aggregated per supplier x type x week before the supplier dimension is joined,
-so the big shuffles carry narrow rows and the supplier join sees the reduced
-table.  nation/region are fixed-size dimensions and are broadcast.
+lineitem is joined to part first, to orders/customer second and to the supplier
+dimension third, and aggregated once, by the feed's own keys; the big shuffles
+carry narrow rows (year and week as one number, segment, facility type and
+service as small codes).  nation/region are fixed-size dimensions and are broadcast.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import broadcast_if_small
 
+FACILITY_TYPES = ("Hospital Base", "SAPU", "SAR", "Consultorio", "  ", "Instituto")
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
 
@@ -44,43 +45,38 @@ def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = _t(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     region = _t(spark, sf_dir, "region").select("r_regionkey", "r_name")
 
+    # Year and week as one number, the segment as its place in the list (none: null).
+    segment = F.nullif(F.array_position(F.array(*map(F.lit, SEGMENTS)), F.col("c_mktsegment")), F.lit(0)).cast("tinyint")
     order_info = (orders.join(cust, orders.o_custkey == cust.c_custkey)
-                  .select("o_orderkey", _year("o_orderdate").alias("year"),
-                          _week("o_orderdate").alias("week"), "c_mktsegment"))
+                  .select("o_orderkey", (_year("o_orderdate") * 64 + _week("o_orderdate")).alias("time"), segment.alias("segment")))
     lines = (li.join(part, li.l_partkey == part.p_partkey)
              .join(order_info, li.l_orderkey == order_info.o_orderkey)
-             .select("l_suppkey", "p_type", "year", "week", "c_mktsegment"))
-    seg_counts = [F.sum(F.when(F.col("c_mktsegment") == s, 1).otherwise(0)).alias(f"n_{s.lower()}")
-                  for s in SEGMENTS]
-    per_supplier = (lines.groupBy("l_suppkey", "p_type", "year", "week")
-                    .agg(F.count(F.lit(1)).alias("n_total"), *seg_counts))
+             .select("l_suppkey", "p_type", "time", "segment"))
 
     geo = (broadcast_if_small(nation)
            .join(broadcast_if_small(region),
                  F.col("n_regionkey") == F.col("r_regionkey"))
            .select("n_nationkey", "n_name", "r_name"))
     k = F.col("s_suppkey")
-    facility = (per_supplier.join(supp, per_supplier.l_suppkey == supp.s_suppkey)
-                .join(broadcast_if_small(geo), F.col("s_nationkey") == F.col("n_nationkey"))
-                .select(
-                    F.col("s_name").alias("facility"),
-                    F.concat(F.col("n_name"), F.when(k % 7 == 0, F.lit(" ")).otherwise(F.lit("")))
-                    .alias("area"),
-                    F.col("r_name").alias("region"),
-                    F.when(k % 2 == 1, F.concat(F.lit("  "), F.col("p_type")))
-                    .otherwise(F.col("p_type")).alias("cause"),
-                    F.when(k % 5 == 0, F.lit("Hospital Base"))
-                    .when(k % 5 == 1, F.lit("SAPU"))
-                    .when(k % 5 == 2, F.lit("SAR"))
-                    .when(k % 5 == 3, F.lit("Consultorio"))
-                    .when(k % 10 == 9, F.lit("  "))
-                    .otherwise(F.lit("Instituto")).alias("facility_type"),
-                    F.when(k % 10 == 3, F.lit("OTHER")).otherwise(F.lit("MAIN")).alias("service"),
-                    "year", "week", "n_total", *[f"n_{s.lower()}" for s in SEGMENTS]))
-    keys = ["facility", "area", "region", "cause", "facility_type", "service", "year", "week"]
-    return (facility.groupBy(*keys)
-            .agg(*[F.sum(c).cast("bigint").alias(c)
-                   for c in ["n_total"] + [f"n_{s.lower()}" for s in SEGMENTS]]))
+    kind = (F.when(k % 5 == 0, 0).when(k % 5 == 1, 1).when(k % 5 == 2, 2).when(k % 5 == 3, 3)
+            .when(k % 10 == 9, 4).otherwise(5))
+    facility = (supp.join(broadcast_if_small(geo), F.col("s_nationkey") == F.col("n_nationkey"))
+                .select("s_suppkey", F.col("s_name").alias("facility"),
+                        F.concat(F.col("n_name"), F.when(k % 7 == 0, F.lit(" ")).otherwise(F.lit("")))
+                        .alias("area"),
+                        F.col("r_name").alias("region"), (k % 2 == 1).alias("odd"),
+                        (kind * 2 + F.when(k % 10 == 3, 1).otherwise(0)).cast("tinyint").alias("kind")))
+    counts = [F.count(F.lit(1)).alias("n_total"),
+              *(F.count_if(F.col("segment") == i).alias(f"n_{s.lower()}") for i, s in enumerate(SEGMENTS, 1))]
+    feed = (lines.join(facility, lines.l_suppkey == facility.s_suppkey)
+            .withColumn("cause", F.when(F.col("odd"), F.concat(F.lit("  "), F.col("p_type"))).otherwise(F.col("p_type")))
+            .groupBy("facility", "area", "region", "cause", "kind", "time").agg(*counts))
+    types = F.array(*map(F.lit, FACILITY_TYPES))
+    return feed.select("facility", "area", "region", "cause",
+                       types[F.floor(F.col("kind") / 2).cast("int")].alias("facility_type"),
+                       F.when(F.col("kind") % 2 == 1, F.lit("OTHER")).otherwise(F.lit("MAIN")).alias("service"),
+                       F.floor(F.col("time") / 64).cast("int").alias("year"), F.pmod("time", F.lit(64)).cast("int").alias("week"),
+                       "n_total", *(f"n_{s.lower()}" for s in SEGMENTS))
 
 
 def population(spark: SparkSession, sf_dir: str) -> DataFrame:
