@@ -81,7 +81,9 @@ class PieceCodec:
         letter = f"[^\\W\\d_{number}]"
         inside = {b for p in self.score for a, b in zip(p, p[1:]) if re.match(letter, a)}  # noqa: B905
         stops = "".join(re.escape(c) for c in ",.;:!?" if c not in inside) or MARK
-        self.parts = re.compile(f"{MARK}*\\w*{letter}(?=[{stops}])|{MARK}*[^{MARK}]+|{MARK}+")
+        # A part before a stop: a run of \w whose last character is a letter. What is asked of that
+        # character comes after the stop is seen, as few places have one.
+        self.parts = re.compile(f"{MARK}*+\\w++(?=[{stops}])(?<=[^\\W\\d_])(?<![{number}])|{MARK}*[^{MARK}]+|{MARK}+")
         self.whole = {p for p in self.score if self.merged(p) == [p]}
         self.shorter: dict[str, str | None] = {}
         self.holds: dict[tuple[str, str], bool] = {}
