@@ -163,11 +163,11 @@ def components(edges: DataFrame) -> DataFrame:
     Random contraction: in each round a node moves to the node of least hash
     within two steps of it, and edges are renamed. A star is one node after a
     round, and as the hash differs by round, the number of nodes falls
-    geometrically whatever the shape. Rounds are cut by checkpoint(); nothing
-    is collected.
+    geometrically whatever the shape. Rounds are cut by tables (``written``: one job
+    each, where checkpoint() takes two and its last stage twice); nothing is collected.
     """
     shared_dir(edges.sparkSession)
-    left = edges.select("a", "b").where("a <> b").distinct().checkpoint()
+    left = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
     moves: list[DataFrame] = []
     while not left.isEmpty():
         def rank(c: str, k: int = len(moves)) -> Column:
@@ -175,12 +175,12 @@ def components(edges: DataFrame) -> DataFrame:
         both = left.union(left.select("b", "a"))
         one = both.groupBy("a").agg(F.min(rank("b")).alias("m")).select("a", F.least(rank("a"), F.col("m")).alias("m"))
         near = both.join(one.select(F.col("a").alias("b"), "m"), "b")
-        to = near.groupBy("a").agg(F.min("m").alias("m")).select(F.col("a").alias("node"), F.col("m")["node"].alias("root")).checkpoint()
+        to = written(near.groupBy("a").agg(F.min("m").alias("m")).select(F.col("a").alias("node"), F.col("m")["node"].alias("root")), "moves")
         moves.append(to)
-        left = (left.join(to.select(F.col("node").alias("a"), F.col("root").alias("x")), "a")
-                .join(to.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
-                .where("x <> y")
-                .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().checkpoint())
+        left = written(left.join(to.select(F.col("node").alias("a"), F.col("root").alias("x")), "a")
+                       .join(to.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
+                       .where("x <> y")
+                       .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
     if not moves:
         return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
     out = moves[0]

@@ -196,12 +196,12 @@ def line_groups(lines: DataFrame, radius: int = 2, keep: int = 2, similarity: fl
         pairs = pairs.where((F.col("root") != F.col("p.root")) & near("fp", "p.fp"))
         apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("p.fp")))
         best = pairs.groupBy("id").agg(F.min(F.struct(apart, F.xxhash64("id", "p.id"), F.col("p.id").alias("b")))["b"].alias("b"))
-        found = verified(best.select(F.col("id").alias("a"), "b")).checkpoint()
+        found = written(verified(best.select(F.col("id").alias("a"), "b")), "links")
         links = found if links is None else links.union(found)
-        groups = components(links).checkpoint()
+        groups = written(components(links), "groups")
         now = crowd.join(groups.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "fp", F.coalesce("root", "id").alias("root"))
         split = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-        now = now.join(split, "bucket").checkpoint()
+        now = written(now.join(split, "bucket"), "now")
         if now.isEmpty():
             return groups
 
