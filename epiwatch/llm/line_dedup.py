@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from epiwatch.llm.common import components, read_table, shared_dir, written
 
+BLANK = " \t\n\x0b\x0c\r"
 BLANKS = r"[\x20\x09-\x0D]+"
 LAST = 2**63 - 1  # orders rows without doc_id after all others
 
@@ -40,9 +41,9 @@ def _signed(x: int) -> int:
 
 
 #: Counts of bits are added up side by side: a long has a lane for each of the
-#: bits k, k + width, k + 2 width ..., so ``width`` sums count all 64 bits. Narrow
-#: lanes take fewer sums and count fewer words.
-WIDTHS = (8, 16)
+#: bits k, k + width, k + 2 width ..., so ``width`` sums count all 64 bits. Narrower
+#: lanes for short lines would take another pass over all lines, which costs more than they spare.
+WIDTHS = (16,)
 
 
 def _lanes(width: int) -> int:
@@ -59,32 +60,54 @@ def most_words(width: int) -> int:
 STOPS = ".,;:!?\"'()"
 
 
+def _added(a: str, b: str, c: str, ones: str, twos: str) -> list[Column]:
+    """A full adder for each bit of three longs: the sums' ones and twos."""
+    unequal = F.col(a).bitwiseXOR(F.col(b))
+    return [unequal.bitwiseXOR(F.col(c)).alias(ones), F.col(a).bitwiseAND(F.col(b)).bitwiseOR(unequal.bitwiseAND(F.col(c))).alias(twos)]
+
+
 def simhashes(lines: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, fp): the bitwise majority of xxhash64(word) over the distinct words of
-    ``line``, for rows of distinct ``keys``. Bits are counted in the narrowest lanes that
-    can count the line's words; lines of more words than any lane have a sum for each bit."""
+    ``line``, for rows of distinct ``keys``. Words are counted by sevens: full adders turn seven
+    hashes into the ones, twos and fours of their bits' counts, and a group's are summed in lanes
+    that can count the line's words; lines of more words than any lane have a sum for each bit."""
     n_words = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    words = F.array_distinct(F.split(F.translate("line", STOPS, ""), " "))
-    n = F.count(F.lit(1)).alias("n")
+    words = F.array_distinct(F.split(F.regexp_replace("line", f"[{STOPS}]", ""), " "))
     half = F.shiftright("n", 1)
 
-    def hashed(more_than: int, at_most: int | None):
-        some = n_words > more_than if at_most is None else (n_words > more_than) & (n_words <= at_most)
-        return lines.where(some).select(*keys, F.explode(words).alias("word")).select(*keys, F.xxhash64("word").alias("h")).groupBy(*keys)
+    def of_words(more_than: int, at_most: int | None) -> DataFrame:
+        over = [(F.octet_length("line") > n) & (n_words > n) for n in (more_than, at_most) if n]  # the bytes spare most lines the count
+        some = lines.where(over[0]) if more_than else lines
+        return some.where(~over[-1]) if at_most else some
+
+    def hashed(k: int) -> Column:
+        word = F.get("words", F.col("at") + k)
+        return F.when(word.isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(word)).alias(f"h{k}")
 
     def joined(bits: list[Column]) -> Column:
         return reduce(lambda a, b: a.bitwiseOR(b), bits).alias("fp")
 
     parts, more_than = [], 0
     for width in WIDTHS:
+        rows = of_words(more_than, most_words(width)).select(*keys, words.alias("words"))
+        rows = rows.select(*keys, "words", F.explode(F.sequence(F.lit(0), F.size("words") - 1, F.lit(7))).alias("at"))
+        rows = rows.select(*keys, F.least(F.size("words") - F.col("at"), F.lit(7)).cast("long").alias("n"), *(hashed(k) for k in range(7)))
+        rows = rows.select(*keys, "n", "h6", *_added("h0", "h1", "h2", "a1", "a2"), *_added("h3", "h4", "h5", "b1", "b2"))
+        rows = rows.select(*keys, "n", "a2", "b2", *_added("a1", "b1", "h6", "ones", "c2"))
+        rows = rows.select(*keys, "n", "ones", *_added("a2", "b2", "c2", "twos", "fours"))
         lanes = F.lit(_lanes(width))
-        sums = hashed(more_than, most_words(width)).agg(n, *(F.sum(F.shiftrightunsigned("h", k).bitwiseAND(lanes)).alias(f"s{k}") for k in range(width)))
+        counts = []
+        for k in range(width):
+            ones, twos, fours = (F.shiftrightunsigned(c, k).bitwiseAND(lanes) for c in ("ones", "twos", "fours"))
+            counts.append(F.sum(ones + F.shiftleft(twos, 1) + F.shiftleft(fours, 2)).alias(f"s{k}"))
+        sums = rows.groupBy(*keys).agg(F.sum("n").alias("n"), *counts)
         # A lane's count plus `short` reaches 2^(width - 2) where it is over half of n.
         short = (F.lit(most_words(width)) - half) * lanes
         bits = [F.shiftleft(F.shiftrightunsigned(F.col(f"s{k}") + short, width - 2).bitwiseAND(lanes), k) for k in range(width)]
         parts.append(sums.select(*keys, joined(bits)))
         more_than = most_words(width)
-    plain = hashed(more_than, None).agg(n, *(F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(1))).alias(f"b{k}") for k in range(64)))
+    plain = of_words(more_than, None).select(*keys, F.explode(words).alias("word")).select(*keys, F.xxhash64("word").alias("h"))
+    plain = plain.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(1))).alias(f"b{k}") for k in range(64)))
     each = [F.when(F.col(f"b{k}") > half, F.lit(_signed(1 << k))).otherwise(F.lit(0).cast("long")) for k in range(64)]
     return reduce(DataFrame.unionByName, parts).unionByName(plain.select(*keys, joined(each)))
 
@@ -104,11 +127,12 @@ def lines_of(docs: DataFrame) -> DataFrame:
     """(doc, hash, pos, line, id) of every line that is not blank; ``line`` is
     normalised, ``id`` its hash."""
     lines = documents(docs).select("doc", "hash", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    lines = lines.select("doc", "hash", "pos", F.btrim(F.lower("raw"), F.lit(" \t\n\x0b\x0c\r")).alias("line")).where("line <> ''")
-    odd = F.contains("line", F.lit("  "))
+    # Looked at from the left alone, and before the line is made: a filter on it would make it twice.
+    lines = lines.where(F.ltrim("raw", F.lit(BLANK)) != "").select("doc", "hash", "pos", F.lower("raw").alias("line"))
+    odd = F.startswith("line", F.lit(" ")) | F.endswith("line", F.lit(" ")) | F.contains("line", F.lit("  "))
     for c in "\t\x0b\x0c\r":
         odd = odd | F.contains("line", F.lit(c))
-    lines = lines.withColumn("line", F.when(odd, F.regexp_replace("line", BLANKS, " ")).otherwise(F.col("line")))
+    lines = lines.withColumn("line", F.when(odd, F.trim(F.regexp_replace("line", BLANKS, " "))).otherwise(F.col("line")))
     return lines.withColumn("id", F.xxhash64("line"))
 
 
@@ -245,7 +269,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_lines, n_removed, removed): lines that are not blank, and the
     places (from 0, comma-joined) of those removed, of every document."""
     docs = read_table(spark, sf_dir, "documents")
-    count = F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    count = F.size(F.filter(F.split("text", "\n"), lambda x: F.ltrim(x, F.lit(BLANK)) != ""))
     every = documents(docs).select("doc", "hash", F.when(F.col("text").isNull(), 0).otherwise(count).cast("long").alias("n_lines"))
     found = every.join(removals(docs), ["doc", "hash"], "left")
     return found.select(F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"), "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),

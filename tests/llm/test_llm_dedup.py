@@ -120,6 +120,34 @@ def test_simhash_of_lines(spark):
         assert found[x.k] % 2**64 == sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in h) > len(h))
 
 
+def test_simhash_counts_words_by_sevens(spark):
+    """Every number of words beside a multiple of seven, with words repeated and words that are
+    empty without their stops; lines are split in two passes, of which one is for very long ones."""
+    r = random.Random(21)
+    lines = [" ".join(f"{r.choice('abc')}{i}" for i in range(n)) for n in [*range(1, 31), *range(60, 72), *range(125, 129), 255, 256, 257]]
+    lines += [" ".join(r.choice(["a", "b,", "c.d", "...", "(e)", "é"]) for _ in range(n)) for n in range(1, 40)]
+    df = spark.createDataFrame(list(enumerate(lines)), "k long, line string")
+    prints = simhashes(df, ["k"])
+    found = {x.k: x.fp % 2**64 for x in prints.collect()}
+    words = [(k, sorted({re.sub("[.,;:!?\"'()]", "", w) for w in x.split(" ")})) for k, x in enumerate(lines)]
+    for x in spark.createDataFrame(words, "k long, w array<string>").select("k", F.transform("w", lambda w: F.xxhash64(w)).alias("h")).collect():
+        assert found[x.k] == sum(1 << b for b in range(64) if 2 * sum((v % 2**64) >> b & 1 for v in x.h) > len(x.h))
+    plan = prints._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_distinct") <= 2
+    assert "translate(" not in plan
+
+
+def test_lines_are_made_once(spark):
+    """White space of all kinds at all places, and the plan lower-cases a line at one place."""
+    blank = [" ", "\t", "\x0b", "\x0c", "\r", "  ", " \t ", "\r\x0b"]
+    texts = [f"{a}One{b}TWO thrée{c}" for a in ["", *blank] for b in blank for c in ["", *blank]] + [*blank, "", "\u00a0", "\u2003x", "\n\n", None]
+    docs = spark.createDataFrame([(k, t, None, None, 0) for k, t in enumerate(texts)], SCHEMA)
+    lines = line_module.lines_of(docs)
+    want = [(k, i, " ".join(words_of_line(x))) for k, t in enumerate(texts) for i, x in enumerate((t or "").split("\n")) if words_of_line(x)]
+    assert sorted((x.doc, x.pos, x.line) for x in lines.collect()) == want
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+
+
 def test_alike_is_the_edit_similarity(spark):
     r = random.Random(8)
     rows = []
